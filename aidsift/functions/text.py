@@ -99,11 +99,10 @@ def norm_text(c, punct: str = "word", trim_last: bool = True) -> Column:
     leading/trailing blank is left. ``punct="ascii"`` also turns every
     non-ASCII character into a separator.
     """
-    x = lower_trim(c)
     if punct == "ascii":
-        x = F.regexp_replace(x, r"[^a-z0-9]+", " ")
-    else:
-        x = collapse_ws(remove_punct(x, punct))
+        # every non [a-z0-9] run is a separator, so trimming first is moot
+        return F.trim(F.regexp_replace(F.lower(_c(c)), r"[^a-z0-9]+", " "))
+    x = collapse_ws(remove_punct(lower_trim(c), punct))
     return F.trim(x) if trim_last else x
 
 

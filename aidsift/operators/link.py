@@ -242,7 +242,8 @@ def link_cascade(a: DataFrame, b: DataFrame, *, a_id: str, a_block: str | None,
     return out.withColumns({
         "matched_identifier": F.coalesce(F.col("matched_identifier"), F.lit("")),
         "matched_text": F.coalesce(F.col("matched_text"), F.lit("")),
-        "match_type": F.coalesce(F.element_at(names, F.col("__stage") + 1), F.lit("")),
+        "match_type": F.when(F.col("__stage").isNull(), F.lit("")).otherwise(
+            F.try_element_at(names, F.col("__stage") + 1)),
     }).drop("__stage", "__first")
 
 
