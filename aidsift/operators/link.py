@@ -124,13 +124,17 @@ def _qgrams(s: Column, q: int) -> Column:
 
 def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str, text: str,
                   block_a: str | None = None, block_b: str | None = None,
-                  method: str = "token", q: int = 3, anchor: str = "rarest") -> DataFrame:
+                  method: str = "token", q: int = 3, anchor: str = "rarest",
+                  df_sample: float = 0.05) -> DataFrame:
     """JN15: all pairs (a_id, b_id) where lower(needle) is a substring of
     lower(text), within equal blocks. Returns ``a_id, b_id``.
 
     ``method`` = ``token`` | ``qgram`` | ``scan`` (see module doc). ``anchor``
-    = ``rarest`` (document frequency over ``b``, robust to hot tokens) or
-    ``longest`` (no frequency pass).
+    = ``rarest`` (document frequency over all of ``b``, robust to hot
+    tokens), ``sampled`` (the same frequencies estimated on a seeded
+    ``df_sample`` share of ``b``: a cheap statistics pass; the pairs stay
+    exact, only the choice of index key uses the estimate) or ``longest``
+    (no frequency pass).
     """
     A = a.select(F.col(a_id).alias("__a"), F.lower(F.col(needle)).alias("__s"),
                  *([F.col(block_a).alias("__blk")] if block_a else [])).where(F.col("__s").isNotNull())
@@ -149,19 +153,25 @@ def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str,
     if method == "token":
         A = A.withColumn("__keys", F.array_distinct(_interior_tokens(F.col("__s"))))
         A = A.withColumn("__keys", F.filter("__keys", lambda x: x != ""))
-        B_keys = B.select("__b", *blk, F.explode(F.array_distinct(F.split("__t", " "))).alias("__k"))
+        keys_of = lambda X: X.select("__b", *blk, F.explode(F.array_distinct(F.split("__t", " "))).alias("__k"))
     elif method == "qgram":
         A = A.withColumn("__keys", F.when(F.length("__s") >= q, F.array_distinct(_qgrams(F.col("__s"), q)))
                          .otherwise(F.array()))
-        B_keys = B.select("__b", *blk, F.explode(F.array_distinct(_qgrams(F.col("__t"), q))).alias("__k"))
+        keys_of = lambda X: X.select("__b", *blk, F.explode(F.array_distinct(_qgrams(F.col("__t"), q))).alias("__k"))
     else:
         raise ValueError(method)
 
+    B_keys = keys_of(B)
     indexable = A.where(F.size("__keys") > 0)
     rest = A.where(F.size("__keys") == 0).drop("__keys")
 
-    if anchor == "rarest":
-        df = B_keys.groupBy(*blk, "__k").agg(F.count(F.lit(1)).alias("__df"))
+    if anchor in ("rarest", "sampled"):
+        stats = B_keys
+        if anchor == "sampled":
+            # sample register rows *before* tokenising: a cheap statistics pass
+            from .sample import seeded_unit
+            stats = keys_of(B.where(seeded_unit(F.col("__b").cast("string"), "df") < df_sample))
+        df = stats.groupBy(*blk, "__k").agg(F.count(F.lit(1)).alias("__df"))
         ak = indexable.select("__a", *blk, F.explode("__keys").alias("__k"))
         ak = ak.join(df, blk + ["__k"], "left").fillna(0, ["__df"])
         best = ak.groupBy("__a").agg(F.min_by("__k", F.struct("__df", "__k")).alias("__anchor"))
@@ -186,7 +196,7 @@ def link_cascade(a: DataFrame, b: DataFrame, *, a_id: str, a_block: str | None,
                  b_text: str, b_block: str | None, year: str | None = None,
                  b_lo: str | None = None, b_hi: str | None = None,
                  max_matches: int = 5, min_len: int = 20,
-                 text_method: str = "token", id_method: str = "qgram",
+                 text_method: str = "token", id_method: str = "qgram", anchor: str = "rarest",
                  stage_names: Sequence[str] = STAGES) -> DataFrame:
     """JN17: cascading linkage.
 
@@ -218,7 +228,8 @@ def link_cascade(a: DataFrame, b: DataFrame, *, a_id: str, a_block: str | None,
                               F.col("__st.stage").alias("__stage"), F.col("__st.needle").alias("__s"))
     stacked = stacked.where(F.col("__s").isNotNull() & (F.length("__s") > min_len))
     stacked = stacked.withColumn("__sid", F.struct(F.col(a_id).alias("a"), F.col("__stage").alias("s")))
-    tj = contains_join(stacked, b, "__sid", "__s", b_pos, b_text, a_block, b_block, method=text_method)
+    tj = contains_join(stacked, b, "__sid", "__s", b_pos, b_text, a_block, b_block, method=text_method,
+                       anchor=anchor)
     parts.append(tj.select(F.col("__sid.a").alias(a_id), b_pos, F.col("__sid.s").alias("__stage")))
     pairs = parts[0]
     for p in parts[1:]:

@@ -71,13 +71,15 @@ def test_interval_join_long_and_short_spans(spark):
     assert got == [(1, 10), (1, 11), (2, 11)]
 
 
-@pytest.mark.parametrize("method", ["scan", "token", "qgram"])
-def test_contains_join_methods_agree(spark, method):
+@pytest.mark.parametrize("method,anchor", [("scan", "rarest"), ("token", "rarest"), ("token", "sampled"),
+                                           ("token", "longest"), ("qgram", "rarest")])
+def test_contains_join_methods_agree(spark, method, anchor):
     a = spark.createDataFrame([(1, "the quick brown fox"), (2, "Brown"), (3, "lazy dog sleeps"), (4, None)],
                               "aid int, s string")
     b = spark.createDataFrame([(10, "THE QUICK BROWN FOX jumps"), (11, "a brown fox"), (12, "the lazy dog sleeps here")],
                               "bid int, t string")
-    got = sorted(tuple(r) for r in K.contains_join(a, b, "aid", "s", "bid", "t", method=method).collect())
+    got = sorted(tuple(r) for r in K.contains_join(a, b, "aid", "s", "bid", "t", method=method,
+                                                   anchor=anchor, df_sample=0.5).collect())
     assert got == [(1, 10), (2, 10), (2, 11), (3, 12)]
 
 
