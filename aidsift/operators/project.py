@@ -61,10 +61,17 @@ def min_length(df: DataFrame, col: str, n: int) -> DataFrame:
 
 
 def year_in(df: DataFrame, col: str, lo: int | None = None, hi: int | None = None,
-            years: Sequence[int] | None = None) -> DataFrame:
-    """FLT4: year range and/or set; on a partition column this prunes files."""
+            years: Sequence[int] | None = None, date_col: str | None = None) -> DataFrame:
+    """FLT4: year range and/or set; on a partition column this prunes files.
+    With ``date_col`` (the date the year comes from) the range is also
+    stated on the raw date, a predicate Parquet can push down and use to
+    skip row groups."""
     c = F.col(col)
     cond = F.lit(True)
+    if date_col is not None and lo is not None:
+        cond = cond & (F.col(date_col) >= F.make_timestamp_ntz(F.lit(lo), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
+    if date_col is not None and hi is not None:
+        cond = cond & (F.col(date_col) < F.make_timestamp_ntz(F.lit(hi + 1), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0)))
     if lo is not None:
         cond = cond & (c >= lo)
     if hi is not None:

@@ -69,7 +69,7 @@ WHERE year(o_orderdate) BETWEEN 1996 AND 1999 AND year(o_orderdate) IN (1996, 19
 def year_filter(spark, sf):
     """FLT4: year range and set."""
     o = T(spark, sf, "orders").withColumn("yr", F.year("o_orderdate"))
-    return P.year_in(o, "yr", 1996, 1999, [1996, 1998, 1999]).select("o_orderkey", "yr")
+    return P.year_in(o, "yr", 1996, 1999, [1996, 1998, 1999], date_col="o_orderdate").select("o_orderkey", "yr")
 
 
 @query("literal_replace", """
