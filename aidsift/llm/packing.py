@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder
+from .tokens import encoder
 
 CAPACITY = 4096
 #: Rests in a task's pool, at most about 4 * CAPACITY bytes each, from which on full windows are taken from it.
@@ -171,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, c
     upper bits. No shuffle: a partition is packed where it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder(tokenizer, kind), np.array([end_id], dtype="<u4").tobytes()
+        encoding, end = encoder(tokenizer, kind), np.array([end_id], dtype="<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 36
         waiting = Pool(capacity)
 
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end_id: int = 2, c
         done: list[list[Piece]] = []
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
+                ids = encoding.encode(text.as_py() or "") + end
                 n = len(ids) // 4
                 whole = n - n % capacity
                 for at in range(0, whole, capacity):

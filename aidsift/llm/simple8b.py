@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tokens import Encoder
+from .tokens import encoder
 
 #: Ids in a word and bits of each, by selector. 0 is the escape,
 #: 14 and 15 are runs of id 0.
@@ -158,7 +158,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(tokenizer, kind), TaskContext.get().partitionId()
+        encoding, part = encoder(tokenizer, kind), TaskContext.get().partitionId()
         ids: list[bytes] = []
         names: list[int | None] = []
         lengths: list[int] = []
@@ -175,7 +175,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte",
 
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                got = encoder.encode(text.as_py() or "") + end
+                got = encoding.encode(text.as_py() or "") + end
                 ids.append(got)
                 names.append(name)
                 lengths.append(len(got) // 4)

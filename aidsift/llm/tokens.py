@@ -1,7 +1,7 @@
 """Token ids of whole texts with a public tokenizer, as little-endian uint32 bytes.
 
-Nearly all words of a text have been met before, so each task keeps the ids
-of words in a dictionary and has the tokenizer work on new ones only. A text
+Nearly all words of a text have been met before, so a Python worker keeps the
+ids of words, over all its tasks, and has the tokenizer work on new ones only. A text
 is cut only where the pre-tokenizer cuts too, so the ids are those of the
 whole text:
 
@@ -16,13 +16,14 @@ straight; all else goes through the whole tokenizer.
 
 from __future__ import annotations
 
+import functools
 import re
 import sys
 from array import array
 
 from tokenizers import Tokenizer
 
-#: Words kept by a task before it starts anew; about 200 bytes each.
+#: Words that a Python worker keeps, half of them recent; about 200 bytes each.
 CACHE_WORDS = 500_000
 _LONG_RUN = re.compile(r"\s\s(?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -50,6 +51,17 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class Words:
+    """Ids by word: the recent ones, and those before them until these fill up."""
+
+    def __init__(self):
+        self.recent: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        self.older, self.recent = self.recent, {}
+
+
 class Encoder:
     """``encode(text)`` gives a text's ids as uint32 bytes."""
 
@@ -57,14 +69,13 @@ class Encoder:
         if kind not in ("byte", "word"):
             raise ValueError(f"kind must be 'byte' or 'word', not {kind!r}")
         self.tok, self.kind, self.cache_words = load(path), kind, cache_words
-        self.letters = byte_letters()
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # of " " + the word
+        self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
+        self.bare, self.spaced = Words(), Words()  # spaced: of " " + the word
 
     def encode(self, text: str) -> bytes:
-        if len(self.bare) + len(self.spaced) > self.cache_words:
-            self.bare.clear()
-            self.spaced.clear()
+        for words in (self.bare, self.spaced):
+            if len(words.recent) > self.cache_words // 2:
+                words.age()
         if self.kind == "word":
             return self._ids(text.replace("\n", " ").split(" "), self.bare, "")
         if _LONG_RUN.search(text):
@@ -77,37 +88,53 @@ class Encoder:
                 out.append(self._ids(rest, self.spaced, " "))
         return b"".join(out)
 
-    def _ids(self, pieces, known: dict[str, bytes], before: str) -> bytes:
+    def _ids(self, pieces, words: Words, before: str) -> bytes:
+        known = words.recent
         try:
             return b"".join([known[x] for x in pieces])
         except KeyError:
-            self._learn([x for x in dict.fromkeys(pieces) if x not in known], known, before)
+            self._learn(set(pieces).difference(known), words, before)
             return b"".join([known[x] for x in pieces])
 
-    def _learn(self, new: list[str], known: dict[str, bytes], before: str) -> None:
-        hard = []
+    def _learn(self, new: set[str], words: Words, before: str) -> None:
+        known, older, hard = words.recent, words.older, []
         for x in new:
-            body = x.rstrip(_TAIL)
-            if body.isalpha() and max(body) < "Ā":
-                ids = known.get(body) or self._word(before + body)
-                if len(body) < len(x):
-                    tail = x[len(body):]
-                    if tail not in self.bare:
-                        self.bare[tail] = self._whole([tail])[0]
-                    known[body] = ids
-                    ids += self.bare[tail]
-                known[x] = ids
-            else:
+            if x in older:
+                known[x] = older[x]
+                continue
+            body = x if x.isalpha() else x.rstrip(_TAIL)
+            if not (body.isascii() or max(body, default="") < "Ā") or not body.isalpha():
                 hard.append(x)
+                continue
+            ids = known.get(body) or self._word(before, body)
+            if body is not x:
+                known[body] = ids
+                ids += self._tail(x[len(body):])
+            known[x] = ids
         if hard:
             known.update(zip(hard, self._whole([before + x for x in hard])))
 
-    def _word(self, word: str) -> bytes:
+    def _tail(self, tail: str) -> bytes:
+        known = self.bare.recent
+        if tail not in known:
+            known[tail] = self._whole([tail])[0]
+        return known[tail]
+
+    def _word(self, before: str, word: str) -> bytes:
         if self.kind == "word":
             word = word.lower()
-        shown = word.encode().decode("latin-1").translate(self.letters)
-        return _bytes([t.id for t in self.tok.model.tokenize(shown)])
+        if word.isascii():
+            shown = self.letters[32] + word if before else word
+        else:
+            shown = (before + word).encode().decode("latin-1").translate(self.letters)
+        return _bytes([t.id for t in self.tokenize(shown)])
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [_bytes(e.ids) for e in got]
+
+
+@functools.cache
+def encoder(path: str, kind: str) -> Encoder:
+    """The encoder of this Python worker."""
+    return Encoder(path, kind)
