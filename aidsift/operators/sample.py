@@ -17,6 +17,7 @@ task:
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,6 +43,13 @@ def seeded_unit(id_col, seed: int | str) -> Column:
     return h / F.lit(4294967296.0)
 
 
+def _join_groups(df: DataFrame, groups: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join per-group values back; NULL is a group like any other."""
+    g = groups.select(*[_c(b).alias(f"__g_{i}") for i, b in enumerate(by)], *[c for c in groups.columns if c not in by])
+    cond = reduce(lambda a, b: a & b, [df[b].eqNullSafe(g[f"__g_{i}"]) for i, b in enumerate(by)])
+    return df.join(g, cond, how).drop(*[f"__g_{i}" for i in range(len(by))])
+
+
 def ranked(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
            name: str = "rank") -> DataFrame:
     """Exact 1-based rank inside ``by`` groups following ``order`` (unique
@@ -63,7 +71,7 @@ def ranked(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (),
     s = s.withColumn("__g", F.col("__off") + local + 1)
     if by:
         start = s.groupBy(*by).agg(F.min("__g").alias("__start"))
-        s = s.join(start, list(by)).withColumn(name, F.col("__g") - F.col("__start") + 1).drop("__start")
+        s = _join_groups(s, start, list(by)).withColumn(name, F.col("__g") - F.col("__start") + 1).drop("__start")
     else:
         s = s.withColumn(name, F.col("__g"))
     return s.drop("__pid", "__mid", "__off", "__g")
@@ -78,7 +86,7 @@ def stratified_split(df: DataFrame, label: str, test_size: float, id_col: str, s
         return hash_split(df, test_size, id_col, seed, split_col)
     r = ranked(df.withColumn("__h", seeded_key(id_col, seed)), [F.col("__h"), F.col(id_col)], [label], "__r")
     n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    r = r.join(n, label)
+    r = _join_groups(r, n, [label])
     return r.withColumn(split_col, F.when(F.col("__r") <= F.floor(F.col("__n") * test_size), "test")
                         .otherwise("train")).drop("__h", "__r", "__n")
 
@@ -109,7 +117,7 @@ def rebalance(df: DataFrame, label: str, id_col: str, seed: int = 42, by: Sequen
     neg = df.where(~pos_cond | F.col(label).isNull())
     npos = pos.groupBy(*by).agg(F.count(F.lit(1)).alias("__npos")) if by else None
     if by:
-        negn = neg.join(npos, list(by), "inner")
+        negn = _join_groups(neg, npos, list(by))
         picked = sample_n(negn, F.col("__npos"), id_col, seed, by).drop("__npos")
     else:
         k = pos.select(F.count(F.lit(1))).scalar()
@@ -138,7 +146,7 @@ def dup_flag(df: DataFrame, key, order_col: str, name: str = "duplicated") -> Da
     """WN2: true for second and later occurrences of a key."""
     keys = [key] if isinstance(key, str) else list(key)
     first = df.groupBy(*keys).agg(F.min(order_col).alias("__first"))
-    return df.join(first, keys, "left").withColumn(name, F.col(order_col) > F.col("__first")).drop("__first")
+    return _join_groups(df, first, keys, "left").withColumn(name, F.col(order_col) > F.col("__first")).drop("__first")
 
 
 # --- ordering (ST1-ST6) -----------------------------------------------------

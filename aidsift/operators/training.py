@@ -46,10 +46,10 @@ def training_table(register: DataFrame, sheets: Mapping[str, DataFrame], keys: S
     return out, merged
 
 
-def explode_generated(df: DataFrame, text: str, label: str, min_len: int = 10,
+def explode_generated(df: DataFrame, text: str, label: str, min_len: int = 0,
                       id_cols: Sequence[str] = ()) -> DataFrame:
     """ML19 / UD6: one row per non-blank generated line longer than
-    ``min_len``, inheriting the record's label."""
+    ``min_len`` (0: every one), inheriting the record's label."""
     lines = F.posexplode(F.split(F.col(text), "\n")).alias("line_no", "line")
     e = df.select(*id_cols, label, lines).withColumn("line", trim_ws(F.col("line")))
     return e.where(F.col("line").isNotNull() & (F.length("line") > min_len))

@@ -231,3 +231,15 @@ def test_metrics_empty_denominators(spark):
     cm = spark.createDataFrame([(10, 0, 0, 0)], "tn long, fp long, fn long, tp long")
     r = A.metrics(cm).first()
     assert (r.precision, r.recall, r.f1) == (0.0, 0.0, 0.0)
+
+
+def test_null_groups_stay(spark):
+    """A NULL class is a class: nothing is lost from splits, rebalancing and duplicate flags."""
+    from aidsift.operators import sample as SM
+    df = spark.createDataFrame([(i, "a" if i % 3 else None, int(i % 4 == 0)) for i in range(24)], "id long, g string, y int")
+    split = SM.stratified_split(df, "g", 0.5, "id").collect()
+    assert len(split) == 24 and sum(r["split"] == "test" for r in split if r["g"] is None) == 4
+    both = SM.rebalance(df, "y", "id", by=["g"]).collect()
+    assert sum(r["g"] is None and r["y"] == 1 for r in both) == sum(r["g"] is None and r["y"] == 0 for r in both) == 2
+    flags = {r["id"]: r["duplicated"] for r in SM.dup_flag(df, "g", "id").collect()}
+    assert not flags[0] and flags[3] and not flags[1] and flags[2]
