@@ -139,7 +139,7 @@ def learn(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
 
     def first(frame: DataFrame) -> np.ndarray:  # at most max_rows rows
         got = frame.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).select("x").collect()
-        return np.array([r["x"] for r in got]).reshape(len(got), -1)
+        return np.array([r["x"] for r in got]).reshape(len(got), len(MEASURES))
 
     positive = first(rows.join(known.where("y = 1"), "doc_id", "left_semi"))
     unlabelled = first(rows)
