@@ -48,10 +48,12 @@ PERCENT = 75
 SKETCH = 24
 NEED = 7
 SHORT = 48
+#: Values, 32 bits of each, by which nodes of long lists are compared; all of a set unless it is larger.
+FULL = 1024
 #: Nodes of a long list that are compared as one block.
 BLOCK = 512
 #: Untested partners a node of a block may propose in a round.
-BEST = 12
+BEST = 2
 WIDE = 128
 WIDE_NEED = 70
 
@@ -96,14 +98,17 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``doc_id``, ``s``: the whole sets (binary) of the documents in ``ids``."""
+    """``doc_id``, ``s`` and ``f`` of the documents in ``ids``: the whole set and its
+    ``FULL`` smallest values, 32 bits of each (binary, ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), k)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "s"])
+            sets = list(shingle_sets(batch.column(1), k))
+            short = [np.unique(s[:FULL] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(short, pa.binary())],
+                                             names=["doc_id", "s", "f"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary")
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary, f binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -159,8 +164,8 @@ def _passes(x: list[np.ndarray], y: list[np.ndarray], n: np.ndarray, m: np.ndarr
 def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The pairs (a, b) whose sketches pass the estimate."""
     for pdf in batches:
-        keep = [bool(_passes([x], [y], np.array([n]), np.array([m]))[0, 0] > 0)
-                for x, y, n, m in zip(pdf.wide_a, pdf.wide_b, pdf.n_a, pdf.n_b)]
+        keep = [bool(_passes([np.frombuffer(x, np.uint32)], [np.frombuffer(y, np.uint32)], np.array([n]), np.array([m]))[0, 0] > 0)
+                for x, y, n, m in zip(pdf.f_a, pdf.f_b, pdf.n_a, pdf.n_b)]
         yield pdf[["a", "b"]][keep]
 
 
@@ -170,7 +175,7 @@ def _proposals(pdf: pd.DataFrame) -> pd.DataFrame:
     x, y = pdf[pdf.role == 0], pdf[pdf.role == 1]
     out: list[tuple[int, int]] = []
     if len(x) and len(y):
-        est = _passes(list(x.wide), list(y.wide), x.n.to_numpy(), y.n.to_numpy())
+        est = _passes(*([np.frombuffer(f, np.uint32) for f in z.f] for z in (x, y)), x.n.to_numpy(), y.n.to_numpy())
         est[x.comp.to_numpy()[:, None] == y.comp.to_numpy()[None, :]] = 0
         names = y.rep.to_numpy()
         for i in np.flatnonzero(est.any(axis=1)):
@@ -206,7 +211,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # nodes that may share long lists only
     many = in_long.where(F.col("hot") >= F.least(F.lit(NEED), F.ceil(F.col("n") * 6 / 7))).select("rep")
-    wide = written(nodes.join(many, "rep", "left_semi").select("rep", "n", "wide"), "wide")
+    source, many = _input(docs, id_col, text_col), written(many, "many")
+    whole = written(_set_table(source, many.toDF("doc_id"), words), "whole")
+    wide = nodes.join(many, "rep", "left_semi").select("rep", "n", "wide")
+    full_sets = whole.select(F.col("doc_id").alias("rep"), "f")
+    sized = written(wide.select("rep", "n").join(full_sets, "rep"), "sized")
     values = wide.select("rep", "n", F.size("wide").alias("size"), F.explode("wide").alias("v"))
     often = written(values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "often")
     rank = F.row_number().over(Window.partitionBy("rep", "n").orderBy("m", "v"))  # of the at most WIDE values of a node
@@ -222,17 +231,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def promising(frame: DataFrame) -> DataFrame:
         for side in "ab":
-            frame = frame.join(wide.select(*[F.col(c).alias(x) for c, x in (("rep", side), ("n", f"n_{side}"), ("wide", f"wide_{side}"))]), side)
-        return frame.select("a", "b", "n_a", "n_b", "wide_a", "wide_b").mapInPandas(_promising, "a long, b long")
+            frame = frame.join(sized.select(*[F.col(c).alias(x) for c, x in (("rep", side), ("n", f"n_{side}"), ("f", f"f_{side}"))]), side)
+        return frame.select("a", "b", "n_a", "n_b", "f_a", "f_b").mapInPandas(_promising, "a long, b long")
 
     stars = promising(stars)
     pairs = written(pairs.union(promising(near)).distinct(), "pairs")
-    hot = hot.join(wide, ["rep", "n"])
+    hot = hot.join(sized, ["rep", "n"])
 
-    source = _input(docs, id_col, text_col)
     first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct(), "first")
-    ids = pairs.select("a").union(pairs.select("b")).union(many).distinct().toDF("doc_id")
-    sets = written(_set_table(source, ids, words), "whole")
+    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id").join(many.toDF("doc_id"), "doc_id", "left_anti")
+    sets = whole.union(written(_set_table(source, ids, words), "whole")).select("doc_id", "s")
     links = written(_linked(first, sets, percent), "links")
     tested, comp = first, written(components(links), "components")
 
@@ -280,9 +288,9 @@ def _blocks(hot: DataFrame, heads: DataFrame, tested: DataFrame) -> DataFrame:
     spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
     block = rows.where("rep_comp != head_comp").join(done, "rep", "left").select(
         "v", (spread % n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("slice"), "rep", "n",
-        "wide", F.col("rep_comp").alias("comp"), "tested", F.lit(0).alias("role"))
+        "f", F.col("rep_comp").alias("comp"), "tested", F.lit(0).alias("role"))
     others = rows.select(
         "v", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), (spread % n_slices).alias("slice"), "rep", "n",
-        "wide", F.col("rep_comp").alias("comp"), F.lit(None).cast("array<long>").alias("tested"), F.lit(1).alias("role"))
+        "f", F.col("rep_comp").alias("comp"), F.lit(None).cast("array<long>").alias("tested"), F.lit(1).alias("role"))
     return (block.union(others.select(*block.columns)).groupBy("v", "block", "slice")
             .applyInPandas(_proposals, "a long, b long").distinct())
