@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,41 +104,74 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _unit(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The vectors ``flat[off[i]:off[i + 1]]``, none of them empty, at length 1."""
+    width = np.diff(off)
+    flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), off[:-1]), width)
+    return flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, off[:-1])), width)
+
+
+def _new_links(rows: pa.Table, cosine: float, tables: int) -> pa.RecordBatch:
+    """Of whole blocks, sorted by (key, bucket, lo, hi, node): each node's new
+    links and the smallest node that it reaches by them within its block."""
+    key, bucket, lo, hi, node, block, copies = (rows.column(c).to_numpy() for c in ("key", "bucket", "lo", "hi", "node", "block", "copies"))
+    vectors, code = rows.column("v").combine_chunks(), rows.column("codes").combine_chunks()
+    off = np.append(0, np.cumsum(np.asarray(vectors.value_lengths(), dtype=np.int64)))
+    flat = _unit(vectors.flatten().to_numpy(), off)
+    code = code.flatten().to_numpy().reshape(len(node), tables, 4)
+    cuts = _cuts(key, bucket, lo, hi)
+    left, right = [], []
+    for s, e in zip(cuts[:-1], cuts[1:]):
+        v = flat[off[s]:off[e]].reshape(e - s, -1)
+        if lo[s] == hi[s]:
+            i, j = np.nonzero(np.triu(v @ v.T >= cosine, 1))
+        else:
+            x, y = (np.flatnonzero(block[s:e] == k) for k in (lo[s], hi[s]))
+            i, j = np.nonzero(v[x] @ v[y].T >= cosine)
+            i, j = x[i], y[j]
+        left.append(s + i)
+        right.append(s + j)
+    i, j = np.concatenate(left), np.concatenate(right)
+    a, b = code[i], code[j]
+    in_a, in_b = (b[:, :, :1] == a).any(axis=2), (a[:, :, :1] == b).any(axis=2)  # j's own bucket is one of i's, and so on
+    first = np.where(in_a | in_b, np.arange(tables), tables).min(axis=1)
+    ok = first < tables
+    i, j, a, b, in_a, in_b, first = (z[ok] for z in (i, j, a, b, in_a, in_b, first))
+    at, far = np.arange(len(i)), np.iinfo(np.int64).max
+    shared = np.minimum(np.where(in_a[at, first], b[at, first, 0], far), np.where(in_b[at, first], a[at, first, 0], far))
+    i, j = i[shared == bucket[i]], j[shared == bucket[i]]
+    links = np.bincount(i, copies[j], len(node)) + np.bincount(j, copies[i], len(node))
+    root, linked = _roots(len(node), i, j), np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]]), pa.array(links[linked].astype(np.int64))],
+                                      names=["node", "other", "n"])
+
+
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of rows equal in ``columns`` begin, and the number of rows."""
+    new = np.zeros(len(columns[0]) + 1, dtype=bool)
+    new[[0, -1]] = True
+    for c in columns:
+        new[1:-1] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
 def _compare(cosine: float, tables: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
-        one, two = pdf.lo.iloc[0], pdf.hi.iloc[0]
-        here = np.int64(pdf.bucket.iloc[0])
-        x, y = (np.flatnonzero(pdf.block == k) for k in (one, two))
-        none = pd.DataFrame({"node": [], "other": [], "n": []}).astype({"node": "int64", "other": "Int64", "n": "int64"})
-        if not len(x) or not len(y):
-            return none
-        v = np.stack(pdf.v.to_numpy())
-        v = v / np.abs(v).max(axis=1, keepdims=True)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        i, j = np.nonzero(v[x] @ v[y].T >= cosine)
-        i, j = x[i], y[j]
-        keep = i < j if one == two else i != j
-        i, j = i[keep], j[keep]
-        code = np.stack(pdf.codes.to_numpy()).reshape(len(pdf), tables, 4)
-        a, b = code[i], code[j]
-        in_a, in_b = (b[:, :, :1] == a).any(axis=2), (a[:, :, :1] == b).any(axis=2)  # j's own bucket is one of i's, and so on
-        first = np.where(in_a | in_b, np.arange(tables), tables).min(axis=1)
-        at = np.arange(len(i))
-        ok = first < tables
-        i, j, a, b, in_a, in_b, first = (z[ok] for z in (i, j, a, b, in_a, in_b, first))
-        at = np.arange(len(i))
-        far = np.iinfo(np.int64).max
-        bucket = np.minimum(np.where(in_a[at, first], b[at, first, 0], far), np.where(in_b[at, first], a[at, first, 0], far))
-        i, j = i[bucket == here], j[bucket == here]
-        if not len(i):
-            return none
-        copies = pdf.copies.to_numpy()
-        links = np.bincount(i, copies[j], len(pdf)) + np.bincount(j, copies[i], len(pdf))
-        root, linked = _roots(len(pdf), i, j), np.flatnonzero(links)
-        node = pdf.node.to_numpy()
-        out = pd.DataFrame({"node": node[linked], "other": node[root[linked]], "n": links[linked].astype("int64")})
-        return out.astype({"other": "Int64"})
+    """Over a partition sorted by block: a batch's whole blocks at once; the last
+    block, which may go on, waits for the next batch. It has 2 * ``BLOCK`` rows or so."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if rest is None else pa.concat_tables([rest, rows])
+            if not len(rows):
+                continue
+            last = int(_cuts(*(rows.column(c).to_numpy() for c in ("key", "bucket", "lo", "hi")))[-2])
+            rest = rows.slice(last)
+            if last:
+                yield _new_links(rows.slice(0, last), cosine, tables)
+        if rest is not None and len(rest):
+            yield _new_links(rest, cosine, tables)
 
     return run
 
@@ -167,7 +199,8 @@ def linked_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "e
               .select("key", "bucket", "node", block.alias("block"), F.explode(F.sequence(F.lit(0), many - 1)).alias("to"))
               .select("key", "bucket", "node", "block", F.least("block", "to").alias("lo"), F.greatest("block", "to").alias("hi")))
     shared = shared.join(nodes.select("node", "v", "copies"), "node").join(coded, "node")
-    found = written(shared.groupBy("key", "bucket", "lo", "hi").applyInPandas(_compare(cosine, tables), "node long, other long, n long"), "found")
+    blocks = shared.repartition("key", "bucket", "lo", "hi").sortWithinPartitions("key", "bucket", "lo", "hi", "node")
+    found = written(blocks.mapInArrow(_compare(cosine, tables), "node long, other long, n long"), "found")
     sums = found.groupBy("node").agg(F.sum("n").alias("n"))
     comp = components(found, "node", "other")
     named = (nodes.select("label", "v", "node", "copies").join(sums, "node", "left")
