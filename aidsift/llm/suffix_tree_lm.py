@@ -44,6 +44,8 @@ CONTEXTS = 40_000
 DIVERGENCE = 6.0
 UNIGRAM = 0.5
 FREQUENT = 50_000
+#: Keys that a task's running counts may hold.
+HELD = 1 << 20
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
@@ -140,26 +142,42 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: fl
     return Tree(kind, child, logs)
 
 
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct keys of ``parts`` (keys, counts) with the sums of their counts."""
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
+    return key[first], np.add.reduceat(n[order], first) if len(first) else n
+
+
 def _counted(rows: DataFrame) -> DataFrame:
-    """``kind`` (0 word, 1 bytes, 2 rows), ``key``, ``n`` over the texts of ``rows``."""
+    """``kind`` (0 word, 1 bytes, 2 rows), ``key``, ``n`` over the texts of ``rows``.
+    A task sums what it meets in tables of at most about ``HELD`` keys and hands them on when full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(kind: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            every, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            key, at = np.unique(every, return_inverse=True)
-            n = np.bincount(at, n).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array(n)], names=["kind", "key", "n"])
+        held: list[list] = [[], []]
+        rows_seen = 0
+
+        def table(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))],
+                                              names=["kind", "key", "n"])
 
         for batch in batches:
+            rows_seen += batch.num_rows
             data, _ = flat(batch.column(0))
-            found: list[list] = [[], []]
             for w in words_of(batch.column(0), lower=True):
-                found[0].append(np.unique(w.hashes, return_counts=True))
-                found[1].append(np.unique(grams(*spelled(data, w.starts, w.ends, w.off)[:2]), return_counts=True))
-            for kind in (0, 1):
-                if found[kind]:
-                    yield table(kind, found[kind])
-            yield table(2, [(np.zeros(1, dtype=np.uint64), np.array([batch.num_rows]))])
+                for kind, keys in ((0, w.hashes), (1, grams(*spelled(data, w.starts, w.ends, w.off)[:2]))):
+                    held[kind].append(np.unique(keys, return_counts=True))
+                    if sum(len(key) for key, _ in held[kind]) > HELD:
+                        held[kind] = [_merged(held[kind])]
+                        if len(held[kind][0][0]) > HELD // 2:
+                            yield table(kind, *held[kind].pop())
+        for kind in (0, 1):
+            if held[kind]:
+                yield table(kind, *_merged(held[kind]))
+        if rows_seen:
+            yield table(2, np.zeros(1, dtype=np.uint64), np.array([rows_seen]))
 
     return rows.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
