@@ -153,17 +153,22 @@ def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str,
     if method == "token":
         A = A.withColumn("__keys", F.array_distinct(_interior_tokens(F.col("__s"))))
         A = A.withColumn("__keys", F.filter("__keys", lambda x: x != ""))
-        keys_of = lambda X: X.select("__b", *blk, F.explode(F.array_distinct(F.split("__t", " "))).alias("__k"))
+        keys_of = lambda X: X.select("__b", "__h", *blk, F.explode(F.array_distinct(F.split("__t", " "))).alias("__k"))
     elif method == "qgram":
         A = A.withColumn("__keys", F.when(F.length("__s") >= q, F.array_distinct(_qgrams(F.col("__s"), q)))
                          .otherwise(F.array()))
-        keys_of = lambda X: X.select("__b", *blk, F.explode(F.array_distinct(_qgrams(F.col("__t"), q))).alias("__k"))
+        keys_of = lambda X: X.select("__b", "__h", *blk, F.explode(F.array_distinct(_qgrams(F.col("__t"), q))).alias("__k"))
     else:
         raise ValueError(method)
 
-    B_keys = keys_of(B)
-    indexable = A.where(F.size("__keys") > 0)
+    # Needles are matched once per (block, needle) and mapped back to their rows at
+    # the end; a text is found again by id and hash, so ids may repeat on both sides.
+    needles = A.drop("__a").dropDuplicates([*blk, "__s"])
+    indexable = needles.where(F.size("__keys") > 0)
     rest = A.where(F.size("__keys") == 0).drop("__keys")
+    wanted = indexable.select(*blk, F.explode("__keys").alias("__k"))
+    B = B.withColumn("__h", F.xxhash64("__t"))
+    B_keys = keys_of(B).join(wanted.distinct(), blk + ["__k"], "left_semi")
 
     if anchor in ("rarest", "sampled"):
         stats = B_keys
@@ -172,17 +177,19 @@ def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str,
             from .sample import seeded_unit
             stats = keys_of(B.where(seeded_unit(F.col("__b").cast("string"), "df") < df_sample))
         df = stats.groupBy(*blk, "__k").agg(F.count(F.lit(1)).alias("__df"))
-        ak = indexable.select("__a", *blk, F.explode("__keys").alias("__k"))
+        ak = indexable.select(*blk, "__s", F.explode("__keys").alias("__k"))
         ak = ak.join(df, blk + ["__k"], "left").fillna(0, ["__df"])
-        best = ak.groupBy("__a").agg(F.min_by("__k", F.struct("__df", "__k")).alias("__anchor"))
-        indexable = indexable.join(best, "__a")
+        anchored = ak.groupBy(*blk, "__s").agg(F.min_by("__k", F.struct("__df", "__k")).alias("__k"))
     else:
-        indexable = indexable.withColumn("__anchor", F.element_at(F.array_sort(F.transform(
-            "__keys", lambda k: F.struct((-F.length(k)).alias("l"), k.alias("k")))), 1)["k"])
-    cand = indexable.select("__a", "__s", *blk, F.col("__anchor").alias("__k")) \
-        .join(B_keys, blk + ["__k"], "inner").select("__a", "__s", "__b")
-    hits = cand.join(B.select("__b", "__t"), "__b").where(F.contains(F.col("__t"), F.col("__s")))
-    out = hits.select("__a", "__b").unionByName(scan(rest))
+        anchored = indexable.select(*blk, "__s", F.element_at(F.array_sort(F.transform(
+            "__keys", lambda k: F.struct((-F.length(k)).alias("l"), k.alias("k")))), 1)["k"].alias("__k"))
+    cand = anchored.join(B_keys, blk + ["__k"]).select(*blk, "__s", F.col("__b").alias("__cb"), F.col("__h").alias("__ch")).distinct()
+    texts = B.select("__b", "__h", "__t", *[F.col(c).alias("__tblk") for c in blk])
+    same = (F.col("__h") == F.col("__ch")) & F.col("__b").eqNullSafe(F.col("__cb"))
+    if blk:
+        same = same & (F.col("__tblk") == F.col("__blk"))
+    hits = cand.join(texts, same).where(F.contains(F.col("__t"), F.col("__s"))).select(*blk, "__s", "__b")
+    out = A.select("__a", *blk, "__s").join(hits, blk + ["__s"]).select("__a", "__b").unionByName(scan(rest))
     return out.withColumnsRenamed({"__a": a_id, "__b": b_id})
 
 

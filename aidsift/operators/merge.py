@@ -104,8 +104,10 @@ def attach_features(df: DataFrame, feats: DataFrame, key: str = "text", how: str
 def dim_join(df: DataFrame, dim: DataFrame, keys, defaults: Mapping | None = None,
              max_dim_rows: int = 1_000_000) -> DataFrame:
     """JN4/JN5: left join to a dimension (broadcast when it is provably
-    small, else shuffled), then default the unmatched dimension columns."""
-    out = df.join(sized_broadcast(dim, max_dim_rows), _keys(keys), "left")
+    small, else shuffled), NULL = NULL, then default the unmatched dimension columns."""
+    keys = _keys(keys)
+    dim = sized_broadcast(dim.withColumnsRenamed({k: f"__dim_{k}" for k in keys}), max_dim_rows)
+    out = df.join(dim, _nullsafe_cond(df, dim, keys, [f"__dim_{k}" for k in keys]), "left").drop(*[f"__dim_{k}" for k in keys])
     return out.fillna(dict(defaults)) if defaults else out
 
 

@@ -71,7 +71,11 @@ def train_gbt_categorical(df: DataFrame, label: str, num: Sequence[str], cat: Se
                           grid: Mapping[str, Sequence] | None = None, train_ratio: float = 0.5,
                           seed: int = 42, max_categories: int = 64) -> PipelineModel:
     """ML9: trees on raw categoricals (indexed, marked categorical by
-    VectorIndexer) with a single train/validation split."""
+    VectorIndexer) with a single train/validation split. ``max_categories``
+    rises to the number of levels of the widest column."""
+    if cat:
+        levels = df.agg(*[F.count_distinct(c).alias(c) for c in cat]).first()
+        max_categories = max(max_categories, max(levels) + 2)  # and the missing and the unseen one
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_cat", handleInvalid="keep") for c in cat]
     asm = VectorAssembler(inputCols=list(num) + [f"{c}_cat" for c in cat], outputCol="raw_features")
     vi = VectorIndexer(inputCol="raw_features", outputCol="features", maxCategories=max_categories,

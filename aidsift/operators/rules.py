@@ -155,14 +155,20 @@ def _families(keywords, families):
             for name, cats in families.items()}
 
 
+def _words_only(text: Column, punct: str) -> Column:
+    """Normalised text with its leftover symbols as separators, as word boundaries see them."""
+    return F.trim(F.regexp_replace(text, r"[\p{S}\s]+", " ")) if punct == "unicode" else text
+
+
 def keyword_match(df: DataFrame, text: str, keywords: Sequence[tuple[str, str]],
                   families: Mapping[str, Sequence[str]] = LABEL_FAMILIES,
-                  method: str = "rlike", suffix: str = " keyword match") -> DataFrame:
+                  method: str = "rlike", suffix: str = " keyword match", punct: str = "word") -> DataFrame:
     """JN18: one boolean per label family: does the normalised ``text``
     contain any keyword of the family as whole tokens?
 
     ``text`` must already be normalised (single spaces, no edge blanks) and
-    ``keywords`` normalised the same way (``normalise_keywords``).
+    ``keywords`` normalised the same way (``normalise_keywords``). The R form
+    (``punct="unicode"``) leaves symbols in the text; they separate words here.
 
     * ``rlike``: one space-padded alternation per family; a narrow scan.
     * ``ngram``: all 1..n-token grams of the text tested against the keyword
@@ -171,9 +177,10 @@ def keyword_match(df: DataFrame, text: str, keywords: Sequence[tuple[str, str]],
     """
     fam = _families(keywords, families)
     out = {}
+    words = _words_only(F.col(text), punct)
     if method == "rlike":
         for name, kws in fam.items():
-            out[name + suffix] = (pad(F.col(text)).rlike(padded_pattern(kws))
+            out[name + suffix] = (pad(words).rlike(padded_pattern(kws))
                                   if kws else F.lit(False))
         return df.withColumns(out)
     if method != "ngram":
@@ -190,7 +197,7 @@ def keyword_match(df: DataFrame, text: str, keywords: Sequence[tuple[str, str]],
     for g in range(2, maxn + 1):
         grams = F.concat(grams, F.transform(
             F.sequence(F.lit(1), F.greatest(n - g + 1, F.lit(1))), gram(g)))
-    df2 = df.withColumn(tok, F.split(F.col(text), " ")).withColumn(tmp, grams).drop(tok)
+    df2 = df.withColumn(tok, F.split(words, " ")).withColumn(tmp, grams).drop(tok)
     for name, kws in fam.items():
         out[name + suffix] = (F.arrays_overlap(F.col(tmp), F.array(*[F.lit(k) for k in kws]))
                               if kws else F.lit(False))
@@ -211,7 +218,7 @@ def relief_flags(df: DataFrame, text: str, punct: str = "word", relief: str = "r
     """Contains relief / bad relief / debt relief (normalised text). The
     three word lists default to the reference's and are parameters."""
     bad_n = [k for k, _ in normalise_keywords([(p, "") for p in bad], punct)]
-    t = F.col(text)
+    t = _words_only(F.col(text), punct)
     return df.withColumns({
         "Contains bad relief": has_phrase(t, bad_n),
         "Contains debt relief": has_phrase(t, [debt]),
@@ -295,7 +302,7 @@ def rule_engine(df: DataFrame, text_cols: Sequence[str], keywords: Sequence[tupl
     from ..functions.text import join_text
     df = df.withColumn(text, norm_text(join_text(text_cols), punct))
     kws = normalise_keywords(keywords, punct, drop=(relief,) if variant == "r" else ())
-    df = keyword_match(df, text, kws, method=method)
+    df = keyword_match(df, text, kws, method=method, punct=punct)
     df = relief_flags(df, text, punct, relief, debt, bad)
     df = relief_rule(df, variant=variant)
     df = determine(df)

@@ -50,6 +50,17 @@ def chunk(df: DataFrame, text: str, max_tokens: int = 512,
     return d.withColumn("n_tokens", F.size(tokenizer(F.col(out)))).drop("__tok", "__size")
 
 
+def chunk_array(text: Column, max_tokens: int = 512) -> Column:
+    """ML1 as one array per row: the same balanced chunks as ``chunk``; a NULL
+    text has none."""
+    toks = whitespace_tokens(text)
+    n = F.size(toks)
+    size = F.ceil(n / F.ceil(n / F.lit(max_tokens))).cast("int")
+    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.greatest(size, F.lit(1)))
+    return F.when(text.isNull(), F.array().cast("array<string>")).when(n <= max_tokens, F.array(text)).otherwise(
+        F.transform(starts, lambda s: F.array_join(F.slice(toks, s + 1, size), " ")))
+
+
 def score_columns(df: DataFrame, text: str, scorer: ColumnScorer, suffix: str = " confidence") -> DataFrame:
     """Apply a Column scorer in place (JN20: no positional binding)."""
     return df.withColumns({f"{k}{suffix}": v for k, v in scorer(F.col(text)).items()})
@@ -114,19 +125,46 @@ def cascade_chunk(df: DataFrame, id_col: str, text: str, stages: Sequence[tuple[
 def cascade_doc(df: DataFrame, id_col: str, stages: Sequence[tuple[str, str, ColumnScorer]],
                 thresholds: Mapping[str, float] | None = None, max_tokens: int = 512,
                 t: float = 0.5) -> DataFrame:
-    """ML4: document-gated cascade: stage i+1 (on its own text column) runs
-    only for documents stage i predicted (semi join between stages, so the
-    costly later models see fewer rows). ``stages`` = (label, text, scorer)."""
+    """ML4: document-gated cascade. The first stage reads whole documents; the
+    later ones run only on documents it predicted, each on its own text
+    column, and from the third on only on chunks of that column whose class
+    the stage before predicted (confidence over ``t``; a minimum-confidence
+    gate of ``thresholds`` after the first stage shapes a document's
+    prediction, not the gating). A stage that reads another column than the
+    one before it is gated by document. A gated-out chunk counts 0. All
+    chunks of a document lie in one row, so scores are folded inside it: no
+    shuffle, one output row per input row. ``stages`` = (label, text, scorer)."""
     th = thresholds or {}
-    out = df.select(id_col)
-    alive = df
-    for label, text, scorer in stages:
-        ch = score_columns(chunk(alive.select(id_col, text), text, max_tokens), "chunk",
-                           lambda c, s=scorer, l=label: {l: s(c)[l]})
-        docs = chunks_to_docs(ch, id_col, [label], t, th)
-        out = out.join(docs, id_col, "left").fillna({f"{label} predicted": False, f"{label} confidence": 0.0})
-        alive = alive.join(docs.where(F.col(f"{label} predicted")).select(id_col), id_col, "left_semi")
-    return out
+
+    def confidence(scorer, label):
+        return lambda c: F.coalesce(scorer(c)[label].cast("double"), F.lit(0.0))
+
+    def above(name, bound):
+        return F.coalesce(F.exists(name, lambda x: x > bound), F.lit(False))
+
+    def where_above(conf):
+        return lambda c, x: F.when(x > t, conf(c)).otherwise(F.lit(0.0))
+
+    names = [f"__s{i}" for i in range(len(stages))]
+    bounds = [max(t, th.get(label, 0.0)) for label, _, _ in stages]
+    out, pieces = df, {}
+    for i, (label, text, scorer) in enumerate(stages):
+        if text not in pieces:
+            pieces[text] = f"__chunks{len(pieces)}"
+            out = out.withColumn(pieces[text], chunk_array(F.col(text), max_tokens))
+        conf, zero = confidence(scorer, label), F.transform(pieces[text], lambda c: F.lit(0.0))
+        if i == 0:
+            scores = F.transform(pieces[text], conf)
+        elif i == 1 or stages[i - 1][1] != text:
+            alive = above(names[i - 1], bounds[0] if i == 1 else t)
+            scores = F.when(alive, F.transform(pieces[text], conf)).otherwise(zero)
+        else:
+            scores = F.zip_with(pieces[text], names[i - 1], where_above(conf))
+        out = out.withColumn(names[i], scores)
+    result = []
+    for name, bound, (label, _, _) in zip(names, bounds, stages):
+        result += [above(name, bound).alias(f"{label} predicted"), F.coalesce(F.array_max(name), F.lit(0.0)).alias(f"{label} confidence")]
+    return out.select(id_col, *result)
 
 
 def joint(df: DataFrame, labels: Sequence[str], a_suffix: str = " confidence",

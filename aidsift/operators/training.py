@@ -29,21 +29,36 @@ def evaluation_set(base: DataFrame, extra: DataFrame | None, label: str, id_col:
 
 def training_table(register: DataFrame, sheets: Mapping[str, DataFrame], keys: Sequence[str],
                    text_cols: Sequence[str], type_col: str | None = None,
-                   type_map: Mapping[str, str] | None = None, empty: str = "Unrelated") -> tuple[DataFrame, DataFrame]:
-    """ML18: merge labelled sheets onto the register (null-safe full merges
-    with a conflict check on the sub-type), recode sub-types to labels,
+                   type_map: Mapping[str, str] | None = None, empty: str = "Unrelated",
+                   implied: Mapping[str, Sequence[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """ML18: merge labelled sheets onto the register (null-safe full merges:
+    labelled rows that the register lacks stay), recode sub-types to labels,
     build the text and the label list; rows with no label -> ``empty``.
-    Returns ``(table(text, labels), conflicts)``."""
-    merged = register
+    Columns that several sheets share, such as the sub-type, take the first
+    value set. ``implied`` names the labels that a sheet's rows get besides
+    its own. Returns ``(table(text, labels), conflicts)``; ``conflicts`` holds
+    the keys on which a sheet disagrees with an earlier one, and its name."""
+    keys, merged, conflicts = list(keys), register, []
     for name, sheet in sheets.items():
-        merged = M.full_merge(merged, sheet.withColumn(f"is_{name}", F.lit(True)), list(keys), "left")
-    parts = [F.when(F.col(f"is_{n}"), F.lit(n)) for n in sheets]
+        flagged = sheet.withColumn(f"is_{name}", F.lit(True))
+        shared = [c for c in sheet.columns if c in merged.columns and c not in keys]
+        if shared:
+            merged, clash = M.merge_coalesce(merged, flagged, keys, shared)
+            merged = merged.drop("conflict")
+            conflicts.append(clash.select(*keys, F.lit(name).alias("sheet")))
+        else:
+            merged = M.full_merge(merged, flagged, keys, "full")
+    if not conflicts:
+        conflicts.append(register.select(*keys, F.lit("").alias("sheet")).where(F.lit(False)))
+    from_sheets = {n: [n, *[m for m, up in (implied or {}).items() if n in up]] for n in
+                   dict.fromkeys([*[u for up in (implied or {}).values() for u in up], *sheets])}
+    parts = [F.when(F.coalesce(*[F.col(f"is_{m}") for m in of if m in sheets]), F.lit(n)) for n, of in from_sheets.items()]
     if type_col:
         parts.append(recode(type_col, type_map or {}))
     labels = F.concat_ws(",", *parts)
     out = merged.select(trim_ws(join_text(text_cols)).alias("text"),
                         F.when(labels == "", F.lit(empty)).otherwise(labels).alias("labels")).distinct()
-    return out, merged
+    return out, M.union_all(*conflicts)
 
 
 def explode_generated(df: DataFrame, text: str, label: str, min_len: int = 0,

@@ -102,30 +102,40 @@ def _limited():
     return F.concat_ws(" ", F.try_element_at(lines, F.lit(1)), F.try_element_at(lines, F.lit(2)))
 
 
-@query("cascade_doc", f"""WITH {SCORED_SQL},
+def _cascade_sql(limited: str) -> str:
+    """PAF where the document's CF holds; AA where the chunk's PAF does."""
+    return f"""WITH {SCORED_SQL},
 d1 AS (SELECT doc_id, coalesce(bool_or(c_crisis > 0.5), false) AS p_crisis, coalesce(max(c_crisis), 0) AS c_crisis
        FROM sc GROUP BY doc_id),
-lim AS (SELECT doc_id, concat_ws(' ', string_split(text, chr(10))[1], string_split(text, chr(10))[2]) AS lt FROM documents
-        WHERE doc_id IN (SELECT doc_id FROM d1 WHERE p_crisis)),
+lim AS (SELECT doc_id, {limited} AS lt FROM documents WHERE doc_id IN (SELECT doc_id FROM d1 WHERE p_crisis)),
 {chunk_sql('lim', 'lt', 'lc')},
-s2 AS (SELECT doc_id, coalesce(bool_or(c > 0.5), false) AS p_paf, max(c) AS c_paf FROM
-        (SELECT doc_id, {_conf_sql('chunk', 'PAF')} AS c FROM lc) GROUP BY doc_id),
-lim3 AS (SELECT * FROM lim WHERE doc_id IN (SELECT doc_id FROM s2 WHERE p_paf)),
-{chunk_sql('lim3', 'lt', 'lc3')},
-s3 AS (SELECT doc_id, coalesce(bool_or(c > 0.5), false) AS p_aa, max(c) AS c_aa FROM
-        (SELECT doc_id, {_conf_sql('chunk', 'AA')} AS c FROM lc3) GROUP BY doc_id),
-d3 AS (SELECT d1.doc_id, coalesce(s2.p_paf, false) AS p_paf, coalesce(s2.c_paf, 0) AS c_paf,
-              coalesce(s3.p_aa, false) AS p_aa, coalesce(s3.c_aa, 0) AS c_aa
-       FROM d1 LEFT JOIN s2 USING (doc_id) LEFT JOIN s3 USING (doc_id))
-SELECT d1.doc_id, d1.p_crisis, round(d1.c_crisis, 6) AS c_crisis, d3.p_paf, round(d3.c_paf, 6) AS c_paf,
-       d3.p_aa, round(d3.c_aa, 6) AS c_aa FROM d1 JOIN d3 USING (doc_id)""")
-def cascade_doc(spark, sf):
-    """ML4: document-gated cascade; CF on the full text, PAF and AA on the
-    limited text (first two lines) of documents the previous stage kept."""
-    d = T(spark, sf, "documents").select("doc_id", "text", _limited().alias("limited"))
+s2 AS (SELECT doc_id, chunk, {_conf_sql('chunk', 'PAF')} AS paf FROM lc),
+s3 AS (SELECT doc_id, paf, CASE WHEN paf > 0.5 THEN {_conf_sql('chunk', 'AA')} ELSE 0.0 END AS aa FROM s2),
+d3 AS (SELECT doc_id, bool_or(paf > 0.5 AND paf > 0.6) AS p_paf, max(paf) AS c_paf, bool_or(aa > 0.5) AS p_aa, max(aa) AS c_aa FROM s3 GROUP BY doc_id)
+SELECT d1.doc_id, d1.p_crisis, round(d1.c_crisis, 6) AS c_crisis, coalesce(d3.p_paf, false) AS p_paf, round(coalesce(d3.c_paf, 0), 6) AS c_paf,
+       coalesce(d3.p_aa, false) AS p_aa, round(coalesce(d3.c_aa, 0), 6) AS c_aa FROM d1 LEFT JOIN d3 USING (doc_id)"""
+
+
+def _cascade(spark, sf, limited):
+    d = T(spark, sf, "documents").select("doc_id", "text", limited.alias("limited"))
     stages = [("Crisis finance", "text", letter_scorer), ("PAF", "limited", letter_scorer),
               ("AA", "limited", letter_scorer)]
-    return _rename_docs(S.cascade_doc(d, "doc_id", stages))
+    return _rename_docs(S.cascade_doc(d, "doc_id", stages, {"PAF": 0.6}))
+
+
+@query("cascade_doc", _cascade_sql("concat_ws(' ', string_split(text, chr(10))[1], string_split(text, chr(10))[2])"))
+def cascade_doc(spark, sf):
+    """ML4: document-gated cascade; CF on the full text, PAF and AA on the
+    limited text (first two lines) of documents the first stage kept, AA on
+    chunks that PAF predicted, PAF minimum confidence 0.6."""
+    return _cascade(spark, sf, _limited())
+
+
+@query("cascade_doc_chunks", _cascade_sql("array_to_string(string_split(text, chr(10))[2:], ' ')"))
+def cascade_doc_chunks(spark, sf):
+    """ML4 with limited texts of many chunks: all lines but the first."""
+    lines = F.split(F.col("text"), "\n")
+    return _cascade(spark, sf, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), " "))
 
 
 def _joint_frame(spark, sf):

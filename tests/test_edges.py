@@ -1,6 +1,7 @@
 """Hand-made edge tables (FIXTURES.md §3) with literal expected rows."""
 
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -243,3 +244,55 @@ def test_null_groups_stay(spark):
     assert sum(r["g"] is None and r["y"] == 1 for r in both) == sum(r["g"] is None and r["y"] == 0 for r in both) == 2
     flags = {r["id"]: r["duplicated"] for r in SM.dup_flag(df, "g", "id").collect()}
     assert not flags[0] and flags[3] and not flags[1] and flags[2]
+
+
+@pytest.mark.parametrize("method", ["scan", "token", "qgram"])
+def test_contains_join_repeated_ids(spark, method):
+    """Two needles of one id, one id with two texts and equal rows: each pair of rows once."""
+    a = spark.createDataFrame([(1, "o", "the quick fox"), (1, "o", "a lazy dog"), (2, "o", "a lazy dog"), (3, "p", "a lazy dog")],
+                              "aid int, blk string, s string")
+    b = spark.createDataFrame([(7, "o", "see the quick fox run"), (7, "o", "a lazy dog"), (8, "o", "a lazy dog"), (8, "o", "a lazy dog"),
+                               (None, "o", "THE QUICK FOX")], "bid int, bblk string, t string")
+    got = Counter(tuple(r) for r in K.contains_join(a, b, "aid", "s", "bid", "t", "blk", "bblk", method=method).collect())
+    assert got == Counter([(1, 7), (1, None), (1, 7), (1, 8), (1, 8), (2, 7), (2, 8), (2, 8)])
+
+
+def test_cascade_doc_gates_chunks(spark):
+    """AA reads the chunks that PAF predicted, whatever PAF's minimum confidence; no text gives no class."""
+    def scorer(c):
+        return {k: F.when(F.contains(c, F.lit(k)), F.lit(0.7)).otherwise(F.lit(0.1)) for k in ("cf", "paf", "aa")}
+    df = spark.createDataFrame([(1, "cf", "paf x aa y"), (2, "cf", "paf aa x y"), (3, "x", "paf aa"), (4, None, None), (5, "cf", None)],
+                               "id int, text string, limited string")
+    out = SC.cascade_doc(df, "id", [("cf", "text", scorer), ("paf", "limited", scorer), ("aa", "limited", scorer)],
+                         {"paf": 0.9}, max_tokens=2).collect()
+    got = {r["id"]: (r["cf predicted"], r["paf predicted"], r["paf confidence"], r["aa predicted"], r["aa confidence"]) for r in out}
+    assert got == {1: (True, False, 0.7, False, 0.1), 2: (True, False, 0.7, True, 0.7), 3: (False, False, 0.0, False, 0.0),
+                   4: (False, False, 0.0, False, 0.0), 5: (True, False, 0.0, False, 0.0)}
+
+
+def test_training_table_merges(spark):
+    from aidsift.operators import training as TR
+    reg = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three")], "k int, title string")
+    paf = spark.createDataFrame([(1, "D"), (2, "D"), (9, "I")], "k int, typ string")
+    aa = spark.createDataFrame([(2, "I"), (1, None)], "k int, typ string")
+    out, conflicts = TR.training_table(reg, {"PAF": paf, "AA": aa}, ["k"], ["title"], "typ", {"D": "Direct", "I": "Indirect"},
+                                       implied={"AA": ["CF", "PAF"]})
+    assert sorted(tuple(r) for r in out.collect()) == [("", "PAF,Indirect"), ("one", "CF,PAF,AA,Direct"), ("three", "Unrelated"),
+                                                       ("two", "CF,PAF,AA,Direct")]
+    assert [tuple(r) for r in conflicts.collect()] == [(2, "AA")]
+
+
+@pytest.mark.parametrize("method", ["rlike", "ngram"])
+def test_keywords_beside_symbols(spark, method):
+    kws = R.normalise_keywords([("relief", "CF"), ("flood response", "CF"), ("risk", "AA")], "unicode")
+    df = spark.createDataFrame([("cash+relief",), ("flood=response",), ("a risk+ cover",), ("brisk",)], "raw string")
+    df = df.select(X.norm_text("raw", "unicode").alias("text"))
+    got = [tuple(r) for r in R.keyword_match(df, "text", kws, method=method, punct="unicode",
+                                             families={"CF": ["CF"], "AA": ["AA"]}).drop("text").collect()]
+    assert got == [(True, False), (True, False), (False, True), (False, False)]
+
+
+def test_dim_join_null_key(spark):
+    a = spark.createDataFrame([(1, None), (2, "x"), (3, "y")], "id int, k string")
+    d = spark.createDataFrame([(None, 5), ("x", 6)], "k string, v int")
+    assert sorted((r["id"], r["v"]) for r in M.dim_join(a, d, "k", {"v": 0}).collect()) == [(1, 5), (2, 6), (3, 0)]
