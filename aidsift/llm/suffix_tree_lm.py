@@ -4,8 +4,10 @@ Symbols are bytes. A text is its words (A-Z lower-cased), each spelled and
 closed by a blank, and then the end, a newline; so the probability of the
 bytes is that of the words. The tree holds contexts of up to ``DEPTH`` bytes.
 
-1. Spark counts every context of ``DEPTH`` bytes with its next byte, and every
-   word, over all training texts; shorter contexts are sums of longer ones.
+1. Spark counts every context of ``STEPS[0]`` bytes with its next byte, and every
+   word, over all training texts; shorter contexts are sums of longer ones. Each
+   further step reads all training texts again and counts the contexts of up to its
+   bytes whose parts of the former step's length are all frequent; no other can be.
 2. A context is looked at if at least 1 / ``CONTEXTS`` of all positions have it
    (so a level has at most ``CONTEXTS`` of them, which bounds what the driver
    gathers and the tasks hold), and retained if its next bytes diverge from its
@@ -39,7 +41,8 @@ from pyspark.sql import functions as F
 from .store import written
 from .wordhash import flat, words as words_of
 
-DEPTH = 7
+STEPS = (4, 5, 7)
+DEPTH = STEPS[-1]
 CONTEXTS = 40_000
 DIVERGENCE = 6.0
 UNIGRAM = 0.5
@@ -48,6 +51,7 @@ FREQUENT = 50_000
 HELD = 1 << 20
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
+_LOW[0] = 1  # a NUL is spelled so, as 0 stands for what lies before a row
 
 
 def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -72,7 +76,7 @@ def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, off: np.ndar
 
 def _inside(begin: np.ndarray) -> np.ndarray:
     """Of each byte, how many bytes of its row stand before it."""
-    return np.arange(begin[-1]) - np.repeat(begin[:-1], np.diff(begin))
+    return np.arange(begin[-1], dtype=np.int32) - np.repeat(begin[:-1].astype(np.int32), np.diff(begin))
 
 
 def grams(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
@@ -102,16 +106,16 @@ class Tree:
             deeper = self.child[state[live], kind[live - k]]
             live, deeper = live[deeper > 0], deeper[deeper > 0]
             state[live] = deeper
-        logs = self.logs[state, kind].astype(np.float64)
+        logs = self.logs[state, kind]
         logs[inside == 0] = 0
-        return np.add.reduceat(logs, tokens) if len(tokens) else np.zeros(0)
+        return np.add.reduceat(logs, tokens, dtype=np.float64) if len(tokens) else np.zeros(0)
 
 
 def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float) -> Tree:
     """A tree of counts: ``levels[k]`` has (context, next byte, count) of the frequent
     contexts of k bytes."""
     _, after, n = levels[0]
-    kind = np.zeros(256, dtype=np.int64)
+    kind = np.zeros(256, dtype=np.int16)
     kind[np.sort(after)] = np.arange(1, len(after) + 1)
     width, missing = len(after) + 1, 256 - len(after)
     root = np.zeros(width)
@@ -151,8 +155,23 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """``kind`` (0 word, 1 bytes, 2 rows), ``key``, ``n`` over the texts of ``rows``.
+def _deeper(packed: np.ndarray, frequent: np.ndarray, step: int, depth: int) -> np.ndarray:
+    """Of packed contexts those that hold more than ``step`` bytes, ``depth`` at most, all of whose
+    runs of ``step`` bytes are ``frequent`` (ascending), cut to as many bytes as that holds for."""
+    context, after = packed >> np.uint64(8), packed & np.uint64(255)
+    size, live, mask = np.zeros(len(packed), dtype=np.uint64), np.arange(len(packed)), np.uint64((1 << (8 * step)) - 1)
+    for i in range(depth - step + 1 if len(frequent) else 0):
+        part = (context[live] >> np.uint64(8 * i)) & mask
+        live = live[frequent[np.minimum(np.searchsorted(frequent, part), len(frequent) - 1)] == part]
+        size[live] = step + i
+    far = size > step
+    cut = (np.uint64(1) << (np.uint64(8) * size[far])) - np.uint64(1)
+    return ((context[far] & cut) << np.uint64(8)) | after[far]
+
+
+def _counted(rows: DataFrame, depth: int, frequent: np.ndarray | None = None, step: int = 0) -> DataFrame:
+    """``kind`` (0 word, 1 bytes, 2 rows), ``key``, ``n`` over the texts of ``rows``; with
+    ``frequent`` contexts of ``step`` bytes the deeper contexts (kind 1) only.
     A task sums what it meets in tables of at most about ``HELD`` keys and hands them on when full."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +186,12 @@ def _counted(rows: DataFrame) -> DataFrame:
             rows_seen += batch.num_rows
             data, _ = flat(batch.column(0))
             for w in words_of(batch.column(0), lower=True):
-                for kind, keys in ((0, w.hashes), (1, grams(*spelled(data, w.starts, w.ends, w.off)[:2]))):
+                packed = grams(*spelled(data, w.starts, w.ends, w.off)[:2])
+                if frequent is None:
+                    wanted = [(0, w.hashes), (1, packed & np.uint64((1 << (8 * depth + 8)) - 1))]
+                else:
+                    wanted = [(1, _deeper(packed, frequent, step, depth))]
+                for kind, keys in wanted:
                     held[kind].append(np.unique(keys, return_counts=True))
                     if sum(len(key) for key, _ in held[kind]) > HELD:
                         held[kind] = [_merged(held[kind])]
@@ -176,7 +200,7 @@ def _counted(rows: DataFrame) -> DataFrame:
         for kind in (0, 1):
             if held[kind]:
                 yield table(kind, *_merged(held[kind]))
-        if rows_seen:
+        if rows_seen and frequent is None:
             yield table(2, np.zeros(1, dtype=np.uint64), np.array([rows_seen]))
 
     return rows.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
@@ -186,7 +210,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
           divergence: float = DIVERGENCE) -> DataFrame:
     """Per row: ``doc_id``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).cast("binary").alias("text"))
-    counts = written(_counted(rows.where("train")), "counts")
+    train_rows = rows.where("train")
+    counts = written(_counted(train_rows, STEPS[0]), "counts")
     totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     ends = totals[2]["n"] if 2 in totals else 0
     n_all = ends + (totals[0]["n"] if 0 in totals else 0)
@@ -194,16 +219,20 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     n_bytes = totals[1]["n"] if 1 in totals else 0
 
     levels = []
-    packed = counts.where("kind = 1").select("n", F.shiftrightunsigned("key", 8).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("next"))
-    for k in range(DEPTH + 1):
-        of = packed.select(F.col("c").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("c"), "next", "n")
-        of = of.where(F.col("c") >= (1 << (8 * (k - 1)) if k else 0)).groupBy("c", "next").agg(F.sum("n").alias("n"))
-        of = (of.groupBy("c").agg(F.sum("n").alias("all"), F.collect_list(F.struct("next", "n")).alias("after"))  # 256 at most
-              .where(F.col("all") * contexts >= n_bytes).select("c", "after.next", "after.n").toArrow().combine_chunks())  # at most `contexts` rows
-        many = of["next"].combine_chunks()
-        sizes = np.asarray(pc.list_value_length(many), dtype=np.int64)
-        levels.append((np.repeat(np.asarray(of["c"], dtype=np.int64), sizes), np.asarray(many.flatten(), dtype=np.int64),
-                       np.asarray(of["n"].combine_chunks().flatten(), dtype=np.int64)))
+    for step, depth in zip((-1, *STEPS), STEPS):
+        if step > 0:
+            deeper = _counted(train_rows, depth, np.unique(levels[step][0]).astype(np.uint64), step)
+        packed = (written(deeper, "contexts") if step > 0 else counts.where("kind = 1")).select(
+            "n", F.shiftrightunsigned("key", 8).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("next"))
+        for k in range(step + 1, depth + 1):
+            of = packed.select(F.col("c").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("c"), "next", "n")
+            of = of.where(F.col("c") >= (1 << (8 * (k - 1)) if k else 0)).groupBy("c", "next").agg(F.sum("n").alias("n"))
+            of = (of.groupBy("c").agg(F.sum("n").alias("all"), F.collect_list(F.struct("next", "n")).alias("after"))  # 256 at most
+                  .where(F.col("all") * contexts >= n_bytes).select("c", "after.next", "after.n").toArrow().combine_chunks())  # at most `contexts` rows
+            many = of["next"].combine_chunks()
+            sizes = np.asarray(pc.list_value_length(many), dtype=np.int64)
+            levels.append((np.repeat(np.asarray(of["c"], dtype=np.int64), sizes), np.asarray(many.flatten(), dtype=np.int64),
+                           np.asarray(of["n"].combine_chunks().flatten(), dtype=np.int64)))
     tree = grow(levels, divergence)
     del levels
     often = counts.where("kind = 0").where(F.col("n") * FREQUENT > n_all).select("key", "n").collect()  # fewer than FREQUENT rows
