@@ -98,17 +98,18 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``doc_id``, ``s`` and ``f`` of the documents in ``ids``: the whole set and its
-    ``FULL`` smallest values, 32 bits of each (binary, ascending)."""
+    """``doc_id``, ``n``, ``s`` and ``f`` of the documents in ``ids``: the size of the set, the
+    whole set and its ``FULL`` smallest values, 32 bits of each (binary, ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(1), k))
             short = [np.unique(s[:FULL] >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(short, pa.binary())],
-                                             names=["doc_id", "s", "f"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
+                 pa.array(short, pa.binary())], names=["doc_id", "n", "s", "f"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, s binary, f binary")
+    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, s binary, f binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -214,8 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source, many = _input(docs, id_col, text_col), written(many, "many")
     whole = written(_set_table(source, many.toDF("doc_id"), words), "whole")
     wide = nodes.join(many, "rep", "left_semi").select("rep", "n", "wide")
-    full_sets = whole.select(F.col("doc_id").alias("rep"), "f")
-    sized = written(wide.select("rep", "n").join(full_sets, "rep"), "sized")
+    sized = whole.select(F.col("doc_id").alias("rep"), "n", "f")
     values = wide.select("rep", "n", F.size("wide").alias("size"), F.explode("wide").alias("v"))
     often = written(values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "often")
     rank = F.row_number().over(Window.partitionBy("rep", "n").orderBy("m", "v"))  # of the at most WIDE values of a node
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = values.where(f"m <= {SHORT}").select("v", "rep", "n")
     near = (rare.toDF("v", "a", "n_a").join(rare.toDF("v", "b", "n_b"), "v")
             .where("a < b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b").distinct())
-    hot = written(values.where(f"m > {SHORT}").select("v", "rep", "n"), "long")
+    hot = values.where(f"m > {SHORT}").select("v", "rep", "n")
     heads = written(hot.groupBy("v").agg(F.min("rep").alias("head"), F.count("*").alias("m")), "heads")
     stars = hot.join(heads, "v").where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
 
@@ -282,7 +282,7 @@ def _blocks(hot: DataFrame, heads: DataFrame, tested: DataFrame) -> DataFrame:
     apart = rows.join(top, "v").where("rep_comp != head_comp").groupBy("v").agg(F.count("*").alias("apart"))
     rows = written(rows.join(top, "v").join(apart, "v"), "blocks")
     done = tested.select(F.col("a").alias("rep"), F.col("b").alias("o")).union(tested.select("b", "a"))
-    left = written(rows.where("rep_comp != head_comp").select("rep").distinct(), "left")
+    left = rows.where("rep_comp != head_comp").select("rep")
     done = done.join(left, "rep", "left_semi").groupBy("rep").agg(F.collect_set("o").alias("tested"))
     n_blocks, n_slices = F.ceil(F.col("apart") / BLOCK), F.ceil(F.col("m") / (4 * BLOCK))
     spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
