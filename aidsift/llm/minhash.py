@@ -53,7 +53,7 @@ FULL = 1024
 #: Nodes of a long list that are compared as one block.
 BLOCK = 512
 #: Untested partners a node of a block may propose in a round.
-BEST = 2
+BEST = 8
 WIDE = 128
 WIDE_NEED = 70
 
@@ -157,7 +157,8 @@ def _passes(x: list[np.ndarray], y: list[np.ndarray], n: np.ndarray, m: np.ndarr
     union = np.maximum(in_x + in_y - overlap, 1)
     est = overlap / union
     whole = np.maximum((n + m) / (1 + est), union)
-    slack = 0.02 + 5 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / union * (1 - union / whole))
+    # 32 bits may take two of a set's values for one, hardly ever more than two such pairs
+    slack = 2 / union + 5 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / union * (1 - union / whole))
     good = (est >= PERCENT / 100 - slack) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
     return np.where(good, est, 0.0)
 
@@ -258,8 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         found = written(_linked(later, sets, percent), "links")
         if not found.isEmpty():
-            links = links.union(found)
-            comp = written(components(links), "components")
+            stars = comp.select(F.col("component_id").alias("a"), F.col("id").alias("b"))
+            comp = written(components(stars.union(found)), "components")
         if not long_lists:
             break
         tested = written(tested.union(later), "tested")
