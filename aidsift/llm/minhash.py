@@ -211,8 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .where(F.col("overlap") + F.least("hot_a", "hot_b") >= _need("n_a", "n_b")).select("a", "b").distinct())
     pairs = written(pairs, "pairs")
 
-    # nodes that may share long lists only
-    many = in_long.where(F.col("hot") >= F.least(F.lit(NEED), F.ceil(F.col("n") * 6 / 7))).select("rep")
+    # nodes that may share long lists only; two linked sets share 3/4 of the larger one at least, and so of either
+    many = in_long.where(F.col("hot") >= F.least(F.lit(NEED), F.ceil(F.col("n") * 3 / 4))).select("rep")
     source, many = _input(docs, id_col, text_col), written(many, "many")
     whole = written(_set_table(source, many.toDF("doc_id"), words), "whole")
     wide = nodes.join(many, "rep", "left_semi").select("rep", "n", "wide")

@@ -106,6 +106,15 @@ def test_near_duplicates_long_lists(spark, monkeypatch):
     check_near(documents(spark, rows))
 
 
+@pytest.mark.parametrize("larger, smaller", [(8, 7), (9, 8), (10, 9), (12, 10)])
+def test_near_duplicates_short_texts_of_a_hot_line(spark, larger, smaller):
+    line = [f"w{chr(97 + i)}" for i in range(12)]
+    rows = [(1, " ".join(line[:larger])), (2, " ".join(line[:smaller]))]
+    rows += [(10 + i, " ".join(line[:smaller]) + " " + prose(15, 500 + i)) for i in range(minhash.SHORT + 5)]  # sets small enough to be indexed whole
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(spark, rows)).collect()}
+    assert got == {i: 1 if i == 2 else i for i, _ in rows}
+
+
 def test_near_duplicates_table(spark):
     check_near(spark.read.parquet(f"{SF}/documents.parquet"))
 
