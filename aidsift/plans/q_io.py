@@ -18,6 +18,23 @@ def _lines(i):
     return F.try_element_at(F.split(F.col("text"), "\n"), F.lit(i))
 
 
+def _rest(i):
+    """All lines from the ``i``-th, joined by blanks."""
+    lines = F.split(F.col("text"), "\n")
+    return F.array_join(F.slice(lines, i, F.greatest(F.size(lines), F.lit(1))), " ")
+
+
+def _training_table(spark, sf, texts):
+    d = T(spark, sf, "documents")
+    reg = d.select("doc_id", "source", *[c.alias(n) for n, c in texts.items()])
+    lab = T(spark, sf, "labels").join(d.select("doc_id", "source", "lang"), "doc_id")
+    cf = lab.where(F.col("quality") == 1).select("doc_id", "source")
+    paf = lab.where(F.col("toxic") == 1).select("doc_id", "source", F.col("lang").alias("typ"))
+    out, _ = TR.training_table(reg, {"Crisis financing": cf, "PAF": paf}, ["doc_id", "source"],
+                               list(texts), "typ", {"en": "Direct", "fr": "Indirect", "de": "Both"})
+    return out.select(F.md5("text").alias("text_key"), "labels").distinct()
+
+
 @query("training_table", """
 WITH r AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS title, string_split(text, chr(10))[2] AS short FROM documents),
 cf AS (SELECT l.doc_id, d.source FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1),
@@ -31,15 +48,27 @@ SELECT DISTINCT md5(trim(concat_ws(' ', title, short))) AS text_key,
        ELSE concat_ws(',', CASE WHEN is_cf THEN 'Crisis financing' END, CASE WHEN is_paf THEN 'PAF' END, typ) END AS labels
 FROM m""")
 def training_table(spark, sf):
-    """ML18: labelled sheets merged onto the register, label list per text."""
-    d = T(spark, sf, "documents")
-    reg = d.select("doc_id", "source", _lines(1).alias("title"), _lines(2).alias("short"))
-    lab = T(spark, sf, "labels").join(d.select("doc_id", "source", "lang"), "doc_id")
-    cf = lab.where(F.col("quality") == 1).select("doc_id", "source")
-    paf = lab.where(F.col("toxic") == 1).select("doc_id", "source", F.col("lang").alias("typ"))
-    out, _ = TR.training_table(reg, {"Crisis financing": cf, "PAF": paf}, ["doc_id", "source"],
-                               ["title", "short"], "typ", {"en": "Direct", "fr": "Indirect", "de": "Both"})
-    return out.select(F.md5("text").alias("text_key"), "labels").distinct()
+    """ML18: labelled sheets merged onto the register, label list per text.
+    The text is the first two lines; ``training_table_whole`` has all."""
+    return _training_table(spark, sf, {"title": _lines(1), "short": _lines(2)})
+
+
+@query("training_table_whole", """
+WITH r AS (SELECT doc_id, source, string_split(text, chr(10))[1] AS title, string_split(text, chr(10))[2] AS short,
+             array_to_string(string_split(text, chr(10))[3:], ' ') AS long FROM documents),
+cf AS (SELECT l.doc_id, d.source FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1),
+paf AS (SELECT l.doc_id, d.source, CASE d.lang WHEN 'en' THEN 'Direct' WHEN 'fr' THEN 'Indirect' WHEN 'de' THEN 'Both' END AS typ
+        FROM labels l JOIN documents d USING (doc_id) WHERE l.toxic = 1),
+m AS (SELECT r.*, cf.doc_id IS NOT NULL AS is_cf, paf.doc_id IS NOT NULL AS is_paf, paf.typ FROM r
+      LEFT JOIN cf ON r.doc_id IS NOT DISTINCT FROM cf.doc_id AND r.source IS NOT DISTINCT FROM cf.source
+      LEFT JOIN paf ON r.doc_id IS NOT DISTINCT FROM paf.doc_id AND r.source IS NOT DISTINCT FROM paf.source),
+t AS (SELECT concat_ws(' ', title, short, long) AS text,
+        concat_ws(',', CASE WHEN is_cf THEN 'Crisis financing' END, CASE WHEN is_paf THEN 'PAF' END, typ) AS labels FROM m)
+SELECT DISTINCT md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text_key, CASE WHEN labels = '' THEN 'Unrelated' ELSE labels END AS labels
+FROM t""")
+def training_table_whole(spark, sf):
+    """ML18 on whole texts: the first line, the second and all the rest."""
+    return _training_table(spark, sf, {"title": _lines(1), "short": _lines(2), "long": _rest(3)})
 
 
 @query("synthetic_explode", """

@@ -296,3 +296,16 @@ def test_dim_join_null_key(spark):
     a = spark.createDataFrame([(1, None), (2, "x"), (3, "y")], "id int, k string")
     d = spark.createDataFrame([(None, 5), ("x", 6)], "k string, v int")
     assert sorted((r["id"], r["v"]) for r in M.dim_join(a, d, "k", {"v": 0}).collect()) == [(1, 5), (2, 6), (3, 0)]
+
+
+def test_training_table_has_whole_texts(spark, tmp_path):
+    from hashlib import md5
+
+    from aidsift.plans.registry import load_all
+    texts = ["one", "one\ntwo", "one\ntwo\nthree\n\nfive ", "one\ntwo\nother", None, " \n\n"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {(r["text_key"], r["labels"]) for r in load_all()["training_table_whole"][0](spark, str(tmp_path)).collect()}
+    want = [("one", "Unrelated"), ("one two", "Unrelated"), ("one two three  five", "Crisis financing"), ("one two other", "PAF,Direct"), ("", "Unrelated")]
+    assert got == {(md5(t.encode()).hexdigest(), x) for t, x in want}
