@@ -71,6 +71,15 @@ def training_table_whole(spark, sf):
     return _training_table(spark, sf, {"title": _lines(1), "short": _lines(2), "long": _rest(3)})
 
 
+def _synthetic_explode(spark, sf, *min_len):
+    c = T(spark, sf, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"),
+                                                F.when(F.length("text") > 100, "long").otherwise("short").alias("label"))
+    a = c.where(F.col("role") == "assistant").join(u, ["conv_id", "turn"])
+    return TR.explode_generated(a, "text", "label", *min_len, id_cols=["conv_id", "turn"]).select(
+        "conv_id", "turn", "label", F.col("line_no").cast("bigint").alias("line_no"), "line")
+
+
 @query("synthetic_explode", """
 WITH u AS (SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN 'long' ELSE 'short' END AS label FROM conversations WHERE role = 'user'),
 a AS (SELECT c.conv_id, c.turn, u.label, c.text FROM conversations c JOIN u ON c.conv_id = u.conv_id AND c.turn = u.turn + 1
@@ -81,13 +90,21 @@ SELECT conv_id, turn, label, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g
 WHERE length(regexp_replace(line, '^\\s+|\\s+$', '', 'g')) > 10""")
 def synthetic_explode(spark, sf):
     """ML19: generated responses split into lines, each inheriting the
-    prompting record's label."""
-    c = T(spark, sf, "conversations")
-    u = c.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"),
-                                                F.when(F.length("text") > 100, "long").otherwise("short").alias("label"))
-    a = c.where(F.col("role") == "assistant").join(u, ["conv_id", "turn"])
-    return TR.explode_generated(a, "text", "label", 10, ["conv_id", "turn"]).select(
-        "conv_id", "turn", "label", F.col("line_no").cast("bigint").alias("line_no"), "line")
+    prompting record's label; lines of more than 10 characters."""
+    return _synthetic_explode(spark, sf, 10)
+
+
+@query("synthetic_explode_all", """
+WITH u AS (SELECT conv_id, turn, CASE WHEN length(text) > 100 THEN 'long' ELSE 'short' END AS label FROM conversations WHERE role = 'user'),
+a AS (SELECT c.conv_id, c.turn, u.label, c.text FROM conversations c JOIN u ON c.conv_id = u.conv_id AND c.turn = u.turn + 1
+      WHERE c.role = 'assistant'),
+e AS (SELECT conv_id, turn, label, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no,
+             unnest(string_split(text, chr(10))) AS line FROM a)
+SELECT conv_id, turn, label, line_no, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS line FROM e
+WHERE regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> ''""")
+def synthetic_explode_all(spark, sf):
+    """ML19 with the operator's default: every non-blank line."""
+    return _synthetic_explode(spark, sf)
 
 
 @query("prompt_template", """

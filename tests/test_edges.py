@@ -309,3 +309,12 @@ def test_training_table_has_whole_texts(spark, tmp_path):
     got = {(r["text_key"], r["labels"]) for r in load_all()["training_table_whole"][0](spark, str(tmp_path)).collect()}
     want = [("one", "Unrelated"), ("one two", "Unrelated"), ("one two three  five", "Crisis financing"), ("one two other", "PAF,Direct"), ("", "Unrelated")]
     assert got == {(md5(t.encode()).hexdigest(), x) for t, x in want}
+
+
+def test_synthetic_explode_keeps_short_lines(spark, tmp_path):
+    from aidsift.plans.registry import load_all
+    lines = ["x" * n for n in range(1, 12)]
+    rows = [(1, 0, "user", "ask"), (1, 1, "assistant", "\n".join(lines) + "\n \t\n\n  ok  ")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((r["line_no"], r["label"], r["line"]) for r in load_all()["synthetic_explode_all"][0](spark, str(tmp_path)).collect())
+    assert got == [*((i, "short", x) for i, x in enumerate(lines)), (13, "short", "ok")]
