@@ -4,17 +4,16 @@ Symbols are bytes. A text is its words (A-Z lower-cased), each spelled and
 closed by a blank, and then the end, a newline; so the probability of the
 bytes is that of the words. The tree holds contexts of up to ``DEPTH`` bytes.
 
-1. Spark counts every context of ``STEPS[0]`` bytes with its next byte, and every
-   word, over all training texts; shorter contexts are sums of longer ones. Each
-   further step reads all training texts again and counts the contexts of up to its
-   bytes whose parts of the former step's length are all frequent; no other can be.
-2. A context is looked at if at least 1 / ``CONTEXTS`` of all positions have it
-   (so a level has at most ``CONTEXTS`` of them, which bounds what the driver
-   gathers and the tasks hold), and retained if its next bytes diverge from its
-   suffix's: n * KL over ``DIVERGENCE`` nats. Suffixes of retained contexts stay.
+1. Rows are dealt into chunks of about ``CHUNK`` bytes. A chunk gives each distinct run of
+   ``DEPTH`` bytes and the next one that it has, with how often its training rows hold it.
+2. A context is looked at if it occurs ``LEAST`` times in training, however large that is, and
+   retained if its next bytes diverge from its suffix's: n * KL over ``DIVERGENCE`` nats.
+   Suffixes of retained contexts stay, and all contexts of up to ``SHORT`` bytes, whose number the alphabet bounds.
 3. Next-symbol distributions are smoothed towards the suffix's by Witten-Bell
    weights, and the root's by one count for each byte, so all are proper.
-4. A text is scored byte by byte in the state of its longest retained suffix.
+4. The runs are a Spark table, in shards by the last ``SHORT`` + 1 bytes of the context. All longer contexts that end
+   so are in one shard, which grows its part of the tree and scores its runs; neither the driver nor a task holds more of it.
+5. The scores go back to the chunks. A byte is scored in the state of its longest retained suffix.
    A token's probability is that of its bytes mixed with the word unigram's,
    (1 - ``UNIGRAM``) to ``UNIGRAM``, which knows whole words better than spelling does.
 
@@ -35,15 +34,19 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
 from .wordhash import flat, words as words_of
 
-STEPS = (4, 5, 7)
-DEPTH = STEPS[-1]
-CONTEXTS = 40_000
+DEPTH = 7
+LEAST = 20
+SHORT = 2
+CHUNK = 8 << 20
+#: Runs of a shard, on average.
+SHARD = 1 << 19
 DIVERGENCE = 6.0
 UNIGRAM = 0.5
 FREQUENT = 50_000
@@ -97,23 +100,20 @@ class Tree:
     child: np.ndarray  # [state, kind of the byte before]
     logs: np.ndarray  # [state, kind of the next byte], log10
 
-    def scores(self, b: np.ndarray, begin: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-        """The log10 probability of each token."""
-        inside, kind = _inside(begin), self.kind[b]
-        state, live = np.zeros(len(b), dtype=np.int32), np.flatnonzero(inside > 0)
+    def scores(self, packed: np.ndarray) -> np.ndarray:
+        """The log10 probability of the last byte of each packed run after the others."""
+        state, live = np.zeros(len(packed), dtype=np.int32), np.arange(len(packed))
         for k in range(1, DEPTH + 1):
-            live = live[inside[live] >= k]
-            deeper = self.child[state[live], kind[live - k]]
+            before = self.kind[(packed[live] >> np.uint64(8 * k)) & np.uint64(255)]
+            deeper = self.child[state[live], before]  # bytes that training lacks, and 0, lead nowhere
             live, deeper = live[deeper > 0], deeper[deeper > 0]
             state[live] = deeper
-        logs = self.logs[state, kind]
-        logs[inside == 0] = 0
-        return np.add.reduceat(logs, tokens, dtype=np.float64) if len(tokens) else np.zeros(0)
+        return self.logs[state, self.kind[packed & np.uint64(255)]]
 
 
-def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float) -> Tree:
+def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float, short: int = 0) -> Tree:
     """A tree of counts: ``levels[k]`` has (context, next byte, count) of the frequent
-    contexts of k bytes."""
+    contexts of k bytes. Contexts of up to ``short`` bytes are all retained."""
     _, after, n = levels[0]
     kind = np.zeros(256, dtype=np.int16)
     kind[np.sort(after)] = np.arange(1, len(after) + 1)
@@ -133,7 +133,7 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: fl
         contexts.append(unique)
         smooth.append((counts + kinds * base) / (total + kinds))
         parents.append(up)
-        keep.append(gain >= divergence)
+        keep.append((gain >= divergence) | (k <= short))
     for k in range(len(levels) - 1, 1, -1):
         keep[k - 1][parents[k][keep[k]]] = True
     states = np.concatenate([[0], np.cumsum([x.sum() for x in keep])])
@@ -155,101 +155,125 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return key[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _deeper(packed: np.ndarray, frequent: np.ndarray, step: int, depth: int) -> np.ndarray:
-    """Of packed contexts those that hold more than ``step`` bytes, ``depth`` at most, all of whose
-    runs of ``step`` bytes are ``frequent`` (ascending), cut to as many bytes as that holds for."""
-    context, after = packed >> np.uint64(8), packed & np.uint64(255)
-    size, live, mask = np.zeros(len(packed), dtype=np.uint64), np.arange(len(packed)), np.uint64((1 << (8 * step)) - 1)
-    for i in range(depth - step + 1 if len(frequent) else 0):
-        part = (context[live] >> np.uint64(8 * i)) & mask
-        live = live[frequent[np.minimum(np.searchsorted(frequent, part), len(frequent) - 1)] == part]
-        size[live] = step + i
-    far = size > step
-    cut = (np.uint64(1) << (np.uint64(8) * size[far])) - np.uint64(1)
-    return ((context[far] & cut) << np.uint64(8)) | after[far]
+def level(packed: np.ndarray, n: np.ndarray, k: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, next byte, count) of the contexts of ``k`` bytes that occur ``least`` times in packed runs."""
+    has = (n > 0) & (packed >= np.uint64(1 << (8 * k)) if k else True)
+    key, n = _merged([(packed[has] & np.uint64((1 << (8 * k + 8)) - 1), n[has])])
+    c = (key >> np.uint64(8)).astype(np.int64)
+    _, at = np.unique(c, return_inverse=True)
+    often = np.bincount(at, n)[at] >= least if len(c) else np.zeros(0, dtype=bool)
+    return c[often], (key & np.uint64(255)).astype(np.int64)[often], n[often]
 
 
-def _counted(rows: DataFrame, depth: int, frequent: np.ndarray | None = None, step: int = 0) -> DataFrame:
-    """``kind`` (0 word, 1 bytes, 2 rows), ``key``, ``n`` over the texts of ``rows``; with
-    ``frequent`` contexts of ``step`` bytes the deeper contexts (kind 1) only.
-    A task sums what it meets in tables of at most about ``HELD`` keys and hands them on when full."""
+def _chunked(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``chunk``: rows that follow each other, up to about ``CHUNK`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = [[], []]
+        base, at = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            size = at + np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = int(size[-1]) if len(size) else at
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + size // CHUNK)], names=["doc_id", "train", "text", "chunk"])
+
+    return rows.mapInArrow(run, "doc_id long, train boolean, text binary, chunk long")
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """``kind`` (0 word, 1 bytes, 2 rows), ``chunk``, ``key``, ``n``: words and rows of training
+    texts, and each run of bytes of a chunk with its count in training texts, which may be 0.
+    A task sums words in a table of at most about ``HELD`` keys and hands it on when full."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
         rows_seen = 0
 
-        def table(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))],
-                                              names=["kind", "key", "n"])
+        def table(kind: int, chunk: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(np.full(len(key), chunk, dtype=np.int64)),
+                                               pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "chunk", "key", "n"])
 
         for batch in batches:
-            rows_seen += batch.num_rows
-            data, _ = flat(batch.column(0))
-            for w in words_of(batch.column(0), lower=True):
-                packed = grams(*spelled(data, w.starts, w.ends, w.off)[:2])
-                if frequent is None:
-                    wanted = [(0, w.hashes), (1, packed & np.uint64((1 << (8 * depth + 8)) - 1))]
-                else:
-                    wanted = [(1, _deeper(packed, frequent, step, depth))]
-                for kind, keys in wanted:
-                    held[kind].append(np.unique(keys, return_counts=True))
-                    if sum(len(key) for key, _ in held[kind]) > HELD:
-                        held[kind] = [_merged(held[kind])]
-                        if len(held[kind][0][0]) > HELD // 2:
-                            yield table(kind, *held[kind].pop())
-        for kind in (0, 1):
-            if held[kind]:
-                yield table(kind, *_merged(held[kind]))
-        if rows_seen and frequent is None:
-            yield table(2, np.zeros(1, dtype=np.uint64), np.array([rows_seen]))
-
-    return rows.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", contexts: int = CONTEXTS,
+            chunks = batch.column(2).to_numpy()
+            bounds = np.concatenate([[0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]])
+            for lo, hi in zip(bounds[:-1], bounds[1:]):
+                if hi == lo:
+                    continue
+                train = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
+                text = batch.column(1).slice(lo, hi - lo)
+                rows_seen += int(train.sum())
+                runs = []
+                for w in words_of(text, lower=True):
+                    b, begin, _ = spelled(flat(text)[0], w.starts, w.ends, w.off)
+                    of = train[w.first:w.first + w.rows]
+                    key, at = np.unique(grams(b, begin), return_inverse=True)
+                    runs.append((key, np.bincount(at, np.repeat(of, np.diff(begin) - 1), len(key)).astype(np.int64)))
+                    held.append(np.unique(w.hashes[np.repeat(of, np.diff(w.off))], return_counts=True))
+                    if sum(len(k) for k, _ in held) > HELD:
+                        held = [_merged(held)]
+                        if len(held[0][0]) > HELD // 2:
+                            yield table(0, 0, *held.pop())
+                if runs:
+                    yield table(1, int(chunks[lo]), *(_merged(runs) if len(runs) > 1 else runs[0]))
+        if held:
+            yield table(0, 0, *_merged(held))
+        if rows_seen:
+            yield table(2, 0, np.zeros(1, dtype=np.uint64), np.array([rows_seen]))
+
+    return rows.select("train", "text", "chunk").mapInArrow(run, "kind int, chunk long, key long, n long")
+
+
+def _run_scores(runs: DataFrame, n_runs: int, least: int, divergence: float) -> DataFrame:
+    """``chunk``, ``key``, ``s``: the log10 probability of each run's last byte."""
+    short = (runs.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * SHORT + 8)) - 1)).alias("key"))
+             .agg(F.sum("n").alias("n")).toArrow())  # as many as the alphabet has runs of SHORT + 1
+    key, n = short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy()
+    shared = runs.sparkSession.sparkContext.broadcast([level(key, n, k, least if k else 0) for k in range(SHORT + 1)])
+
+    def run(table: pa.Table) -> pa.Table:
+        packed, at = np.unique(table["key"].to_numpy().view(np.uint64), return_inverse=True)
+        n = np.bincount(at, table["n"].to_numpy(), len(packed)).astype(np.int64)
+        tree = grow([*shared.value, *(level(packed, n, k, least) for k in range(SHORT + 1, DEPTH + 1))], divergence, SHORT)
+        return pa.table({"chunk": table["chunk"], "key": table["key"], "s": pa.array(tree.scores(packed)[at].astype(np.float32))})
+
+    ending = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * SHORT + 8)) - 1))
+    return (runs.select("chunk", "key", "n", F.pmod(F.xxhash64(ending), F.lit(n_runs // SHARD + 1)).alias("shard"))
+            .groupBy("shard").applyInArrow(run, "chunk long, key long, s float"))
+
+
+def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
           divergence: float = DIVERGENCE) -> DataFrame:
     """Per row: ``doc_id``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).cast("binary").alias("text"))
-    train_rows = rows.where("train")
-    counts = written(_counted(train_rows, STEPS[0]), "counts")
+    rows = written(_chunked(rows), "chunks")
+    found = written(_counted(rows), "runs")
+    counts = written(found.where("kind != 1").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     ends = totals[2]["n"] if 2 in totals else 0
     n_all = ends + (totals[0]["n"] if 0 in totals else 0)
     n_kinds = (ends > 0) + (totals[0]["v"] if 0 in totals else 0)
-    n_bytes = totals[1]["n"] if 1 in totals else 0
-
-    levels = []
-    for step, depth in zip((-1, *STEPS), STEPS):
-        if step > 0:
-            deeper = _counted(train_rows, depth, np.unique(levels[step][0]).astype(np.uint64), step)
-        packed = (written(deeper, "contexts") if step > 0 else counts.where("kind = 1")).select(
-            "n", F.shiftrightunsigned("key", 8).alias("c"), F.col("key").bitwiseAND(F.lit(255)).alias("next"))
-        for k in range(step + 1, depth + 1):
-            of = packed.select(F.col("c").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("c"), "next", "n")
-            of = of.where(F.col("c") >= (1 << (8 * (k - 1)) if k else 0)).groupBy("c", "next").agg(F.sum("n").alias("n"))
-            of = (of.groupBy("c").agg(F.sum("n").alias("all"), F.collect_list(F.struct("next", "n")).alias("after"))  # 256 at most
-                  .where(F.col("all") * contexts >= n_bytes).select("c", "after.next", "after.n").toArrow().combine_chunks())  # at most `contexts` rows
-            many = of["next"].combine_chunks()
-            sizes = np.asarray(pc.list_value_length(many), dtype=np.int64)
-            levels.append((np.repeat(np.asarray(of["c"], dtype=np.int64), sizes), np.asarray(many.flatten(), dtype=np.int64),
-                           np.asarray(of["n"].combine_chunks().flatten(), dtype=np.int64)))
-    tree = grow(levels, divergence)
-    del levels
+
+    runs = found.where("kind = 1")
+    spelling_of = _run_scores(runs, runs.count(), least, divergence)
     often = counts.where("kind = 0").where(F.col("n") * FREQUENT > n_all).select("key", "n").collect()  # fewer than FREQUENT rows
     often.sort(key=lambda r: r["key"])
     often_key, often_n = np.array([r["key"] for r in often], dtype=np.int64), np.array([r["n"] for r in often], dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((tree.kind, tree.child, tree.logs, often_key, np.append(often_n + 1.0, 1.0)))
+    shared = docs.sparkSession.sparkContext.broadcast((often_key, np.append(often_n + 1.0, 1.0)))
     room = float(n_all + n_kinds + 1)
     item = pa.struct([("key", pa.int64()), ("s", pa.float32())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, child, logs, known, weight = shared.value
-        model = Tree(kind, child, logs)
-        for batch in batches:
+    empty = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("hits", pa.int64()), ("base", pa.float64()),
+                       ("mixed", pa.float64()), ("rare", pa.list_(item))])
+
+    def run(texts: pa.Table, runs: pa.Table) -> pa.Table:
+        (known, weight), out = shared.value, []
+        order = np.argsort(runs["key"].to_numpy().view(np.uint64))
+        keys, logs = runs["key"].to_numpy().view(np.uint64)[order], runs["s"].to_numpy()[order]
+        for batch in texts.to_batches():
             data, _ = flat(batch.column(2))
             for w in words_of(batch.column(2), lower=True):
                 b, begin, tokens = spelled(data, w.starts, w.ends, w.off)
-                spelling = model.scores(b, begin, tokens)
+                packed = grams(b, begin)
+                each = np.zeros(len(b), dtype=np.float64)
+                each[_inside(begin) > 0] = logs[np.searchsorted(keys, packed)]
+                spelling = np.add.reduceat(each, tokens) if len(tokens) else np.zeros(0)
                 h, row = w.hashes.view(np.int64), w.row_of()
                 is_end = np.zeros(len(tokens), dtype=bool)
                 is_end[w.off[1:] + np.arange(w.rows)] = True
@@ -263,12 +287,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 rest = ~is_known
                 off = np.concatenate([[0], np.cumsum(np.bincount(row[rest], minlength=w.rows))]).astype(np.int32)
                 values = pa.StructArray.from_arrays([pa.array(h[rest]), pa.array(spelling[~is_end][rest].astype(np.float32))], names=["key", "s"])
-                yield pa.RecordBatch.from_arrays(
+                out.append(pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(w.first, w.rows), batch.column(1).slice(w.first, w.rows), pa.array(np.diff(w.off).astype(np.int64) + 1),
                      pa.array(hits), pa.array(base.astype(np.float64)), pa.array(score), pa.ListArray.from_arrays(pa.array(off), values).cast(pa.list_(item))],
-                    names=["doc_id", "train", "n_tokens", "hits", "base", "mixed", "rare"])
+                    names=["doc_id", "train", "n_tokens", "hits", "base", "mixed", "rare"]))
+        return pa.Table.from_batches(out, None if out else empty)
 
-    scored = rows.mapInArrow(run, "doc_id long, train boolean, n_tokens long, hits long, base double, mixed double, rare array<struct<key:long,s:float>>")
+    scored = rows.groupBy("chunk").cogroup(spelling_of.groupBy("chunk")).applyInArrow(run, "doc_id long, train boolean, n_tokens long, hits long, base double, mixed double, rare array<struct<key:long,s:float>>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.inline("rare"))
     unigram = (F.coalesce("n", F.lit(0)) + 1) * F.lit(UNIGRAM / room)

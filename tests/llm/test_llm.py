@@ -397,6 +397,25 @@ def test_language_model(spark, odd):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_rare_contexts_of_a_large_corpus_count(spark):
+    """Contexts of 30 among 1.6 million positions are part of the tree."""
+    rows = [(i, "a b " * 20_000) for i in range(20)] + [(100, "zq " * 30), (200, "zq " * 50)]
+    got = {r["doc_id"]: r for r in suffix_tree_lm.score(documents(spark, rows), F.coalesce(F.col("doc_id") != 200, F.lit(True))).collect()}
+    assert not got[200]["train"] and got[200]["n_tokens"] == 51 and got[200]["base_score"] < -4 * 51
+    assert got[200]["score"] > -51
+
+
+def test_shards_and_chunks_do_not_change_scores(spark, odd, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select("doc_id", "text").where("doc_id != 10"))
+    want, train = [], F.crc32(F.col("doc_id").cast("string")) % 7 != 2
+    for chunk, shard in ((suffix_tree_lm.CHUNK, suffix_tree_lm.SHARD), (50_000, 40_000)):
+        monkeypatch.setattr(suffix_tree_lm, "SHARD", shard)
+        monkeypatch.setattr(suffix_tree_lm, "CHUNK", chunk)
+        rows = suffix_tree_lm.score(docs, train).collect()
+        want.append(sorted((r["doc_id"] or -1, r["n_tokens"], round(r["score"], 3)) for r in rows))
+    assert want[0] == want[1]
+
+
 def test_tree_is_proper():
     """The next-byte probabilities of each state sum to one; every byte has some."""
     data = np.frombuffer(b"\nabra cad \n\nabba cab \n", dtype=np.uint8)
