@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
@@ -83,6 +83,11 @@ def long_runs(data: np.ndarray, off: np.ndarray, size: int = 20) -> np.ndarray:
     return ends[off[1:] - lo] > ends[off[:-1] - lo]
 
 
+def text_hash(text: Column) -> Column:
+    """128 bits of a text's SHA-256."""
+    return F.substring(F.sha2(text.cast("string").cast("binary"), 256), 1, 32)
+
+
 SPANS = "array<struct<start:long,end:long,kind:string,h:string>>"
 
 
@@ -103,17 +108,17 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, owner_col: str, repo_co
                     found += _extra(text, found) if runs else []
                 found.sort(key=lambda s: (s[0], KINDS.index(s[2])))
                 out.append([{"start": s, "end": e, "kind": k, "h": hashlib.sha256(v.encode()).hexdigest()[:32]} for s, e, k, v in found])
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(out, kind)],
-                                             names=["doc_id", "owner", "repo", "found"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 1, 2, 4)], pa.array(out, kind)],
+                                             names=["doc_id", "owner", "repo", "text_hash", "found"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"),
-                       F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, owner string, repo string, found {SPANS}")
+                       F.col(repo_col).cast("string").alias("repo"), F.col(text_col).cast("string").alias("text"), text_hash(F.col(text_col)).alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id long, owner string, repo string, text_hash string, found {SPANS}")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
                  repo_col: str = "lang", max_owners: int = MAX_OWNERS) -> DataFrame:
-    """``doc_id``, ``spans`` (array of start, end, kind, live) of each row, by start
+    """``doc_id``, ``text_hash``, ``spans`` (array of start, end, kind, live) of each row, by start
     and then kind. A repository is an owner's ``repo_col``."""
     rows = written(scanned(docs, id_col, text_col, owner_col, repo_col).withColumn("row", F.monotonically_increasing_id()), "scanned")
     each = rows.where(F.size("found") > 0).select("row", "owner", "repo", F.explode("found").alias("s"))
@@ -129,18 +134,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                    "then -1 when x.kind = y.kind then 0 else 1 end)")
     spans = spans.groupBy("row").agg(order.alias("spans"))
     empty = F.array().cast("array<struct<start:long,end:long,kind:string,live:boolean,owners:long,repos:long>>")
-    return rows.select("row", "doc_id").join(spans, "row", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))
+    return rows.select("row", "doc_id", "text_hash").join(spans, "row", "left").select("doc_id", "text_hash", F.coalesce("spans", empty).alias("spans"))
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", placeholder: str = "<SECRET>", **options) -> DataFrame:
     """``docs`` with the live spans of its texts replaced; widely copied examples stay.
-    Rows that share an id and differ in text get the spans of their own text only
-    where ids are unique; a repeated id redacts by patterns of its own text."""
+    Spans are joined by id, null or not, and a hash of the text, so rows that share an id each get those of their own text."""
     found = (find_secrets(docs, id_col, text_col, **options)
-             .select(F.col("doc_id").alias("_id"), F.explode("spans").alias("s")).where("s.live")
-             .groupBy("_id").agg(F.sort_array(F.collect_set(F.struct("s.start", "s.end"))).alias("_spans")))
+             .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.explode("spans").alias("s")).where("s.live")
+             .groupBy("_id", "_hash").agg(F.sort_array(F.collect_set(F.struct("s.start", "s.end"))).alias("_spans")))
     found = written(found, "live")
-    joined = docs.join(found, docs[id_col] == found["_id"], "left")
+    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_id"]) & (text_hash(docs[text_col]) == found["_hash"]), "left")
     # spans may overlap: each takes what the ones before it have left
     step = F.aggregate(
         F.col("_spans"), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),

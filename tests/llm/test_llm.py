@@ -294,6 +294,18 @@ def test_secrets(spark):
     assert clean[0] is None and clean[2] == "é <SECRET>\" end" and clean[7] == "key <SECRET> here" and clean[8] == texts[8]
 
 
+def test_redaction_of_null_and_repeated_ids(spark):
+    a, b = "token = q1w2e3r4t5y6", "a long beginning, then passwd=zx81cv92bn"
+    rows = [(None, a), (None, "nothing here"), (None, None), (7, a + " one"), (7, b), (7, "clean text of the same id, longer than all the others"), (7, b), (8, None)]
+    frame = spark.createDataFrame([(i, t, "en", "me", 1, "h") for i, t in rows], "doc_id long, text string, lang string, source string, h int, text_hash string")
+    out = secret_scan.redacted(frame)
+    assert out.columns == frame.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    want = [(0, "<SECRET>"), (0, "nothing here"), (0, ""), (7, "<SECRET> one"), (7, "a long beginning, then <SECRET>"), (7, rows[5][1]),
+            (7, "a long beginning, then <SECRET>"), (8, "")]
+    assert got == sorted(want)
+
+
 def brute_distance(item, words):
     """The least edit distance of the item to any part of the words."""
     row = [0] * (len(words) + 1)
