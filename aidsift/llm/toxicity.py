@@ -6,9 +6,10 @@ word beginnings of ``STEMS`` letters, form the lexicon; a logistic regression
 weighs a document's matches.
 
 Matching: the lexicon is a trie; a Levenshtein automaton (one edit from five
-letters on, two from ten; the first letter as it is) runs over it as a set of
+letters on, two from ten) runs over it from the root as a set of
 (trie node, edits), and these sets are the states of a DFA that is built as
-words need it. Most words leave it after three letters.
+words need it. Words are runs of letters; neighbours with one or two digits or
+signs between them, which cost an edit each, are also matched as one misspelt word.
 
 Context: a match with a quotation mark or a reporting word within ``WINDOW``
 words counts as quoted, a feature of its own, so that quotation does not
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from .store import written
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Up to two digits or signs between letters; more are more edits than any term may have.
+GAP = re.compile(r"(?<=[^\W\d_])(?:[^\w\s]|[\d_]){1,2}(?=[^\W\d_])")
 STEMS = (5, 6)
 WINDOW = 6
 #: Rows of labels that learning reads at most, and terms that the lexicon holds at most.
@@ -74,6 +77,7 @@ class Matcher:
                 self.stem[node] = True
             else:
                 self.term[node] = max(self.term[node], d)
+        self.limit[0] = max(map(edits, terms), default=0)
         self.memo: dict[str, int] = {}
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
@@ -122,12 +126,8 @@ class Matcher:
         return got
 
     def _match(self, word: str) -> int:
-        first = self.children[0].get(word[0])
-        if first is None:
-            return 0
-        node = first
-        stem = self.stem[node]
-        for c in word[1:]:
+        node, stem = 0, False
+        for c in word:
             node = self.children[node].get(c, 0)
             if not node:
                 break
@@ -136,14 +136,27 @@ class Matcher:
             return 1
         if stem:
             return 3
-        state, step, dead = self._state(self._closed({(first, 0)})), self._step, self.dead
-        for c in word[1:]:
+        state, step, dead = self._state(self._closed({(0, 0)})), self._step, self.dead
+        for c in word:
             state = step(state, c)
             if state == dead:
                 return 0
         return 2 if any(e <= self.term[n] for n, e in self.sets[state]) else 0
 
 
+def glued(matcher: Matcher, low: str, spans: list[re.Match]) -> dict[int, int]:
+    """Of misspelt terms with digits or signs between their letters: the first of the
+    words that make them up, and the one behind the last. Words that match as they are do not take part."""
+    starts, out, match = {m.start(): i for i, m in enumerate(spans)}, {}, matcher.match
+    gaps = {starts[g.end()]: len(g[0]) for g in GAP.finditer(low)}  # by the word behind the gap
+    for i, size in gaps.items():
+        ends = [i + 1, i + 2] if size == 1 and gaps.get(i + 1) == 1 else [i + 1]
+        for e in ends:
+            if match(low[spans[i - 1].start():spans[e - 1].end()]) == 2 and not any(match(m[0]) for m in spans[i - 1:e]):
+                out[i - 1] = e
+    return out
+
+
 FEATURES = 5
 
 
@@ -167,13 +180,15 @@ def features(matcher: Matcher, text: str) -> list[float]:
     all in quotation, and the share of matched words."""
     match = matcher.match
     low = text.lower()
-    words = WORD.findall(low)
+    spans = list(WORD.finditer(low))
+    words = [m[0] for m in spans]
     hit = {w: k for w in set(words) if (k := match(w))}
-    if not hit:
+    joined = glued(matcher, low, spans)
+    if not hit and not joined:
         return [0.0] * FEATURES
-    counts, spans = [0, 0, 0, 0], list(WORD.finditer(low))
+    counts = [0, 0, 0, 0]
     for i, m in enumerate(spans):
-        if k := hit.get(m[0]):
+        if k := hit.get(m[0]) or 2 * (i in joined):
             near = spans[max(0, i - WINDOW):i + WINDOW + 1]
             around = low[near[0].start():near[-1].end() + 1]
             quoted = bool(QUOTES & set(around)) or any(x[0] in REPORTING for x in near)

@@ -368,6 +368,14 @@ def test_matcher():
         assert m.match(w) == exact, w
 
 
+def test_matcher_first_letters_digits_and_signs():
+    m = toxicity.Matcher(["stupid", "disgusting", "scum"], [])
+    assert [m.match(w) for w in ("ztupid", "tupid", "xstupid", "stupid", "dstupit", "zcum")] == [2, 2, 2, 1, 0, 0]
+    for text, n in (("a st0pid man", 1), ("so st-upid!", 1), ("d1sgu.sting", 1), ("dis**gusting", 1), ("st00pid", 0), ("you-st0pid-man", 1),
+                    ("stupid-like", 0), ("5tupid", 1), ("stu pid", 0), ("x.y.z", 0)):
+        assert toxicity.features(m, text)[1] == math.log1p(n), text
+
+
 def test_toxicity(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 5
