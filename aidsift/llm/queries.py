@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from aidsift.sources.tables import table
 
-from . import (crosspolytope, decontaminate, minhash, packing, quality_pu, secret_scan, simple8b, substring_dedup, suffix_tree_lm,
-               toxicity)
+from . import (conversation, crosspolytope, decontaminate, importance, line_rules, minhash, packing, quality_pu, secret_scan, simple8b,
+               substring_dedup, suffix_tree_lm, toxicity)
 from .store import shared_path
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -86,6 +86,23 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents with 20 words or more, drawn towards the benchmark's words."""
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, min_words=20, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures of each document and whether it is kept; the host is its source."""
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation's faults after damage and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    return conversation.audited(rows, conversation.damaged(rows))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -93,7 +110,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_suffix_tree_lm, op4_substring_dedup, op5_token_files, op6_packing,
-                                   op7_quality, op8_secrets, op9_embedding_links, op10_near_duplicates, pipeline)}
+                                   op7_quality, op8_secrets, op9_embedding_links, op10_near_duplicates, op11_importance_resampling,
+                                   op12_quality_rules, op13_conversation_repair, pipeline)}
 
 #: Oracles in DuckDB SQL, where SQL gives the rows on whole tables.
 ORACLES: dict[str, str] = {}
