@@ -4,9 +4,9 @@ Base rules look at one text: words, symbols, repeated lines and words in
 repeated 5-word windows. The method looks across texts: each line is
 normalised (A-Z lowered, words joined by one blank) and hashed, the distinct
 documents of each host (``source``) that hold it are counted, and a line that
-more than ``max_share`` of the host's documents and more than ``min_docs`` of
+more than ``max_share`` percent of the host's documents and more than ``min_docs`` of
 them hold is removed as boilerplate. A document with fewer than
-``MIN_WORDS`` words left, or less than ``min_left`` of its words, is depleted and
+``MIN_WORDS`` words left, or less than ``min_left`` percent of its words, is depleted and
 rejected. Documents of one host with the same text are one document, so
 copies of a text do not make boilerplate of it; they are the work of
 the near-duplicate operator.
@@ -40,8 +40,8 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT = 20  # percent of the words
 MIN_DOCS = 10
-MAX_SHARE = 0.05
-MIN_LEFT = 0.2
+MAX_SHARE = 5  # percent of the host's documents
+MIN_LEFT = 20  # percent of the words
 SALTS = 32
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -129,7 +129,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
                                 "n_repeat_words long, lines array<struct<h:long,n:long>>").withColumn("row", F.monotonically_increasing_id())
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: int = MAX_SHARE) -> DataFrame:
     """``host, h, n_docs``: lines above the limits of their host, of the rows of ``measured``."""
     held = rows.select("host", "same", F.explode("lines.h").alias("h")).distinct()
     counted = held.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
@@ -137,7 +137,7 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, max_share: float =
     # one host may own a third of the lines: its one row is repeated under every salt
     hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     counted = counted.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int"))
-    return counted.join(hosts, ["host", "salt"]).where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h", "n_docs")
+    return counted.join(hosts, ["host", "salt"]).where(100 * F.col("n_docs") > max_share * F.col("host_docs")).select("host", "h", "n_docs")
 
 
 def _removed(rows: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _removed(rows: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS,
-          max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+          max_share: int = MAX_SHARE, min_left: int = MIN_LEFT) -> DataFrame:
     """A row per document: base figures, ``n_left`` words outside removed lines, ``base_failed``, ``kept``."""
     rows = written(measured(docs, id_col, text_col, host_col), "lines")
     frequent = written(frequent_lines(rows, min_docs, max_share), "frequent")
@@ -157,12 +157,12 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     left = F.col("n_words") - F.coalesce("gone", F.lit(0))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     out = rows.drop("lines", "host", "same").join(gone, "row", "left").withColumns({"n_left": left, "base_failed": base})
-    depleted = (F.col("n_left") < MIN_WORDS) | (F.col("n_left") < min_left * F.col("n_words"))
+    depleted = (F.col("n_left") < MIN_WORDS) | (100 * F.col("n_left") < min_left * F.col("n_words"))
     return out.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("row", "gone")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS,
-            max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+            max_share: int = MAX_SHARE, min_left: int = MIN_LEFT) -> DataFrame:
     """``docs`` without rejected documents, and their texts without the removed lines.
 
     What is removed depends on host and text alone, so removals are joined by both
@@ -174,7 +174,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     gone = _removed(rows, frequent).groupBy("row").agg(F.sum("n").alias("gone"), F.collect_set("h").alias("hot"))
     each = distinct.join(gone, "row", "left").withColumn("left", F.col("n_words") - F.coalesce("gone", F.lit(0)))
     good = each.where((F.col("n_words") >= MIN_WORDS) & (100 * F.col("n_repeat") <= MAX_REPEAT * F.col("n_words"))
-                      & (F.col("left") >= MIN_WORDS) & (F.col("left") >= min_left * F.col("n_words")))
+                      & (F.col("left") >= MIN_WORDS) & (100 * F.col("left") >= min_left * F.col("n_words")))
     good = written(good.select(F.struct("host", "same").alias("key"), "hot"), "good")
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)

@@ -10,6 +10,7 @@ from aidsift.sources.tables import table
 
 from . import (conversation, crosspolytope, decontaminate, importance, line_rules, minhash, packing, quality_pu, secret_scan, simple8b,
                substring_dedup, suffix_tree_lm, toxicity)
+from .sql import ORACLES  # noqa: F401  (part of this module's interface)
 from .store import shared_path
 
 BYTE_TOKENIZER = "byte_bpe_50k.json"
@@ -113,5 +114,3 @@ QUERIES = {f.__name__: f for f in (op1_decontamination, op2_toxicity, op3_suffix
                                    op7_quality, op8_secrets, op9_embedding_links, op10_near_duplicates, op11_importance_resampling,
                                    op12_quality_rules, op13_conversation_repair, pipeline)}
 
-#: Oracles in DuckDB SQL, where SQL gives the rows on whole tables.
-ORACLES: dict[str, str] = {}
