@@ -11,8 +11,8 @@ delimiters, so it matches whole words alone; the payload of a match is the
 word's CRC and length. CRC-32 is linear: the CRC of a pair follows from the
 payloads of two neighbours (``compose``), so no pair is ever built as a string.
 
-The automaton holds the ``max_words`` most frequent words of up to
-``MAX_WORD`` bytes, which bounds its memory in a task. A word outside it gets
+The automaton holds the most frequent words of up to ``MAX_WORD`` bytes, ``max_words``
+at most, which bounds its memory in a task. A word outside it gets
 its payload from its bytes: buckets are exact for every word at any size.
 
 * A null or empty text has no features: weight 0, never drawn.
@@ -44,6 +44,7 @@ BUCKETS = 10_000
 MAX_WORDS = 100_000
 MAX_WORD = 64
 SEGMENT = 1 << 20
+HELD_WORDS = 500_000  # distinct words that a task counts before it passes them on
 
 _IN_WORD = np.zeros(256, dtype=bool)
 _IN_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -175,13 +176,13 @@ def features(texts: list[bytes], words: Dictionary) -> tuple[np.ndarray, np.ndar
 
 
 def _batches(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    """Texts of a batch, at most about eight segments of bytes (or one text) at a time."""
+    """Texts of a batch, about two segments of bytes (or one text) at a time."""
     col, at, out, size = batch.column(column), 0, [], 0
     for i in range(len(col)):
         text = col[i].as_buffer()
         out.append(text.to_pybytes() if text is not None else b"")
         size += len(out[-1])
-        if size > 8 * SEGMENT:
+        if size > 2 * SEGMENT:
             yield at, out
             at, out, size = i + 1, [], 0
     if out:
@@ -193,19 +194,34 @@ def _bytes(df: DataFrame, text_col: str, *more):
 
 
 def vocabulary(texts: DataFrame, text_col: str = "text", max_words: int = MAX_WORDS) -> list[bytes]:
-    """The ``max_words`` most frequent words of at most ``MAX_WORD`` bytes; ties to the smaller."""
+    """The most frequent words of at most ``MAX_WORD`` bytes: all whose count reaches a level that ``max_words`` words at most reach.
+
+    The level comes from a histogram of counts, so no more than ``max_words`` words
+    ever leave the executors.
+    """
+    def rows(seen: Counter):
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
     def count(batches):
+        seen = Counter()
         for batch in batches:
             for _, part in _batches(batch, 0):
-                seen = Counter()
                 for text in part:
-                    seen.update(text.translate(LETTERS).split())
-                seen = [(w, n) for w, n in seen.items() if len(w) <= MAX_WORD]
-                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.binary()), pa.array([n for _, n in seen], pa.int64())],
-                                                 names=["word", "n"])
+                    seen.update(w for w in text.translate(LETTERS).split() if len(w) <= MAX_WORD)
+                if len(seen) > HELD_WORDS:
+                    yield rows(seen)
+                    seen = Counter()
+        yield rows(seen)
 
     counted = _bytes(texts, text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(max_words).collect()]
+    counted = written(counted.where("n > 1").withColumn("level", F.floor(F.log2("n") * 8)), "words")
+    level, total = None, 0
+    for r in sorted(counted.groupBy("level").count().collect(), reverse=True):
+        total += r["count"]
+        if total > max_words:
+            break
+        level = r["level"]
+    return [] if level is None else sorted(bytes(r["word"]) for r in counted.where(F.col("level") >= level).select("word").collect())
 
 
 _LOADED: dict[str, Dictionary] = {}
