@@ -8,27 +8,27 @@ description), where a stage wins with 1..5 matches.
 Spark form: no per-row loops. Substring tests run as *equi-joins on an
 index key* followed by an exact ``contains`` check:
 
+* ``hash``: anchors of hashed grams (``operators/substring.py``); serves
+  needles of every length.
 * ``token``: if needle ``s`` (split on single blanks) has >= 3 pieces, each
   interior piece is a whole blank-separated token of any text containing
   ``s``. Join on (block, anchor token) against the exploded distinct tokens
   of the texts, then verify. The anchor is the needle's rarest interior
   token (document frequency), so hot tokens never drive the fan-out.
-* ``qgram``: every q-gram of ``s`` is a q-gram of any text containing ``s``;
-  join on (block, the needle's rarest q-gram); for short strings such as
-  identifiers.
-* ``scan``: block equi-join with ``contains`` as a residual; used only for
-  needles the indexes cannot serve (too few tokens / characters).
+  Needles without interior tokens take ``hash``.
 
-All three give the same pairs, so counts (and the 1..5 rule) are exact.
+Both give the same pairs, so counts (and the 1..5 rule) are exact.
 """
 
 from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .substring import substring_pairs
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -68,38 +68,48 @@ def date_bounds(c, sep: str = "|", lo: int = 9999, hi: int = 0) -> tuple[Column,
     return (F.coalesce(F.array_min(years), F.lit(lo)), F.coalesce(F.array_max(years), F.lit(hi)))
 
 
+def _aligned(lo: Column, hi: Column) -> Column:
+    """The whole numbers from ``lo`` to ``hi`` as aligned blocks (level, number): block n of level k holds
+    the 2^k numbers from n * 2^k. An interval of s numbers is at most 2 log2(s) blocks."""
+    start = F.struct(lo.cast("long").alias("l"), (hi.cast("long") + 1).alias("r"), F.array().cast("array<struct<k:int,n:bigint>>").alias("out"))
+
+    def level(acc, k):
+        odd_l = (acc["l"] < acc["r"]) & (acc["l"].bitwiseAND(F.lit(1)) == 1)
+        left = acc["l"] + odd_l.cast("long")
+        odd_r = (left < acc["r"]) & (acc["r"].bitwiseAND(F.lit(1)) == 1)
+        right = acc["r"] - odd_r.cast("long")
+        none = F.array().cast("array<struct<k:int,n:bigint>>")
+        return F.struct(F.shiftright(left, 1).alias("l"), F.shiftright(right, 1).alias("r"), F.concat(
+            acc["out"], F.when(odd_l, F.array(F.struct(k.alias("k"), acc["l"].alias("n")))).otherwise(none),
+            F.when(odd_r, F.array(F.struct(k.alias("k"), right.alias("n")))).otherwise(none)).alias("out"))
+
+    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(hi - lo + 1, F.lit(1)).cast("double"))).cast("int"), F.lit(0)) + 1)
+    return F.when(hi >= lo, F.aggregate(levels, start, level, lambda acc: acc["out"]))
+
+
 def interval_join(a: DataFrame, b: DataFrame, block_a: str | None, block_b: str | None,
-                  point: str, lo: str, hi: str, how: str = "inner",
-                  max_explode_span: int = 64) -> DataFrame:
+                  point: str, lo: str, hi: str, how: str = "inner") -> DataFrame:
     """JN14: ``a.block = b.block AND lo <= a.point <= hi`` for integer points
     (years).
 
-    Intervals of at most ``max_explode_span`` values are expanded to one row
-    per value and joined on ``(block, value)``: a pure equi-join, so a hot
-    block costs only its real matches. Longer intervals (rare) take the
-    block join with a range residual. Both halves are exact and disjoint.
+    Intervals are cut into aligned blocks of 1, 2, 4, ... numbers, about two for
+    each doubling of their length; a point names the one block of each length
+    that holds it. The join is on (block, length, number) alone, so an interval of any
+    length costs its few blocks and a hot block only its real matches: each pair
+    meets in exactly one of them. Nulls match nothing.
     """
-    span = F.col(hi) - F.col(lo)
-    short = b.where((span >= 0) & (span < max_explode_span))
-    long_ = b.where(span >= max_explode_span)
-    pa = "__pt"
-    bx = short.withColumn(pa, F.explode(F.sequence(F.col(lo), F.col(hi))))
-    a2 = a.withColumn(pa, F.col(point))
-    keys_a = ([a2[block_a]] if block_a else []) + [a2[pa]]
-    keys_b = ([bx[block_b]] if block_b else []) + [bx[pa]]
-    cond = None
-    for x, y in zip(keys_a, keys_b):
-        cond = (x == y) if cond is None else cond & (x == y)
-    j1 = a2.join(bx, cond, "inner").drop(pa)
-    a3 = a
-    cond2 = (a3[point] >= long_[lo]) & (a3[point] <= long_[hi])
+    if how != "inner":
+        raise ValueError("interval_join supports inner; left-pad with a left join on the result")
+    key = "__node"
+    bx = b.withColumn(key, F.explode(_aligned(F.col(lo), F.col(hi))))
+    # the longest block in use bounds the lengths that a point names
+    top = bx.agg(F.coalesce(F.max(f"{key}.k"), F.lit(0)).alias("k")).scalar()
+    ax = a.withColumn("__k", F.explode(F.sequence(F.lit(0), top)))
+    ax = ax.withColumn(key, F.struct("__k", F.call_function("shiftright", F.col(point).cast("long"), F.col("__k")).alias("n"))).drop("__k")
+    cond = (ax[key]["__k"] == bx[key]["k"]) & (ax[key]["n"] == bx[key]["n"])
     if block_a:
-        cond2 = (a3[block_a] == long_[block_b]) & cond2
-    j2 = a3.join(long_, cond2, "inner")
-    out = j1.unionByName(j2)
-    if how == "inner":
-        return out
-    raise ValueError("interval_join supports inner; left-pad with a left join on the result")
+        cond = (ax[block_a] == bx[block_b]) & cond
+    return ax.join(bx, cond, "inner").drop(key)
 
 
 # --- contains join (JN15, JN16) --------------------------------------------
@@ -116,20 +126,14 @@ def _interior_tokens(s: Column) -> Column:
     return F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
 
 
-def _qgrams(s: Column, q: int) -> Column:
-    n = F.length(s)
-    return F.transform(F.sequence(F.lit(1), F.greatest(n - q + 1, F.lit(1))),
-                       lambda i: F.substring(s, i, q))
-
-
 def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str, text: str,
                   block_a: str | None = None, block_b: str | None = None,
-                  method: str = "token", q: int = 3, anchor: str = "rarest",
-                  df_sample: float = 0.05) -> DataFrame:
+                  method: str = "hash", anchor: str = "rarest", df_sample: float = 0.05) -> DataFrame:
     """JN15: all pairs (a_id, b_id) where lower(needle) is a substring of
-    lower(text), within equal blocks. Returns ``a_id, b_id``.
+    lower(text), within equal blocks. Returns ``a_id, b_id``. An empty needle
+    says nothing about a text and gives no pairs.
 
-    ``method`` = ``token`` | ``qgram`` | ``scan`` (see module doc). ``anchor``
+    ``method`` = ``hash`` | ``token`` (see module doc). ``anchor``, for tokens,
     = ``rarest`` (document frequency over all of ``b``, robust to hot
     tokens), ``sampled`` (the same frequencies estimated on a seeded
     ``df_sample`` share of ``b``: a cheap statistics pass; the pairs stay
@@ -137,29 +141,23 @@ def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str,
     (no frequency pass).
     """
     A = a.select(F.col(a_id).alias("__a"), F.lower(F.col(needle)).alias("__s"),
-                 *([F.col(block_a).alias("__blk")] if block_a else [])).where(F.col("__s").isNotNull())
+                 *([F.col(block_a).alias("__blk")] if block_a else [])).where(F.col("__s") != "")
     B = b.select(F.col(b_id).alias("__b"), F.lower(F.col(text)).alias("__t"),
                  *([F.col(block_b).alias("__blk")] if block_b else [])).where(F.col("__t").isNotNull())
     blk = ["__blk"] if block_a else []
 
-    def scan(A_):
-        cond = F.contains(F.col("__t"), F.col("__s"))
-        j = A_.join(B, blk, "inner").where(cond) if blk else A_.join(B, cond, "inner")
-        return j.select("__a", "__b")
-
-    if method == "scan":
-        return scan(A).withColumnsRenamed({"__a": a_id, "__b": b_id})
-
-    if method == "token":
-        A = A.withColumn("__keys", F.array_distinct(_interior_tokens(F.col("__s"))))
-        A = A.withColumn("__keys", F.filter("__keys", lambda x: x != ""))
-        keys_of = lambda X: X.select("__b", "__h", *blk, F.explode(F.array_distinct(F.split("__t", " "))).alias("__k"))
-    elif method == "qgram":
-        A = A.withColumn("__keys", F.when(F.length("__s") >= q, F.array_distinct(_qgrams(F.col("__s"), q)))
-                         .otherwise(F.array()))
-        keys_of = lambda X: X.select("__b", "__h", *blk, F.explode(F.array_distinct(_qgrams(F.col("__t"), q))).alias("__k"))
-    else:
+    def hashed(A_):
+        block = (lambda X: X) if blk else (lambda X: X.withColumn("__blk", F.lit(0)))
+        pairs = substring_pairs(block(A_).select("__blk", "__s"), block(B).select("__blk", "__b", "__t"))
+        return block(A_).select("__a", "__blk", "__s").join(pairs, ["__blk", "__s"]).select("__a", "__b")
+
+    if method == "hash":
+        return hashed(A).withColumnsRenamed({"__a": a_id, "__b": b_id})
+    if method != "token":
         raise ValueError(method)
+    A = A.withColumn("__keys", F.array_distinct(_interior_tokens(F.col("__s"))))
+    A = A.withColumn("__keys", F.filter("__keys", lambda x: x != ""))
+    keys_of = lambda X: X.select("__b", "__h", *blk, F.explode(F.array_distinct(F.split("__t", " "))).alias("__k"))
 
     # Needles are matched once per (block, needle) and mapped back to their rows at
     # the end; a text is found again by id and hash, so ids may repeat on both sides.
@@ -189,7 +187,7 @@ def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str,
     if blk:
         same = same & (F.col("__tblk") == F.col("__blk"))
     hits = cand.join(texts, same).where(F.contains(F.col("__t"), F.col("__s"))).select(*blk, "__s", "__b")
-    out = A.select("__a", *blk, "__s").join(hits, blk + ["__s"]).select("__a", "__b").unionByName(scan(rest))
+    out = A.select("__a", *blk, "__s").join(hits, blk + ["__s"]).select("__a", "__b").unionByName(hashed(rest))
     return out.withColumnsRenamed({"__a": a_id, "__b": b_id})
 
 
@@ -203,8 +201,8 @@ def link_cascade(a: DataFrame, b: DataFrame, *, a_id: str, a_block: str | None,
                  b_text: str, b_block: str | None, year: str | None = None,
                  b_lo: str | None = None, b_hi: str | None = None,
                  max_matches: int = 5, min_len: int = 20,
-                 text_method: str = "token", id_method: str = "qgram", anchor: str = "rarest",
-                 stage_names: Sequence[str] = STAGES) -> DataFrame:
+                 text_method: str = "hash", id_method: str = "hash", anchor: str = "rarest",
+                 stage_names: Sequence[str] = STAGES, over: str | None = None) -> DataFrame:
     """JN17: cascading linkage.
 
     ``a``: one row per transaction with its block (org ref), optional year,
@@ -217,11 +215,12 @@ def link_cascade(a: DataFrame, b: DataFrame, *, a_id: str, a_block: str | None,
     interval); ``1 <= n <= max_matches`` wins, otherwise (0 or too many) the
     next stage is tried. NULL needles skip a stage; text needles must be
     longer than ``min_len``. Output: ``a`` plus ``matched_identifier``,
-    ``matched_text``, ``match_type`` ("" when unmatched).
+    ``matched_text``, ``match_type`` ("" when unmatched) and, if ``over`` names it, whether
+    some stage had more than ``max_matches``.
     """
     cols = [a_id] + ([a_block] if a_block else []) + ([year] if year else [])
     base = a.select(*cols, *([number] if number else []), *texts)
-    # stage 0: identifier needles against identifiers (q-gram index)
+    # stage 0: identifier needles against identifiers
     parts = []
     if number:
         ids = base.select(a_id, *([a_block] if a_block else []),
@@ -249,12 +248,13 @@ def link_cascade(a: DataFrame, b: DataFrame, *, a_id: str, a_block: str | None,
             .where((F.col(year) >= F.col(b_lo)) & (F.col(year) <= F.col(b_hi))).select(a_id, b_pos, "__stage")
     per_stage = pairs.groupBy(a_id, "__stage").agg(F.count(F.lit(1)).alias("__n"),
                                                   F.min(b_pos).alias("__first"))
-    winner = per_stage.where(F.col("__n").between(1, max_matches)).groupBy(a_id).agg(
-        F.min_by(F.struct("__stage", "__first"), F.col("__stage")).alias("__w"))
+    wins = F.when(F.col("__n") <= max_matches, F.col("__stage"))
+    winner = per_stage.groupBy(a_id).agg(F.min_by(F.struct("__stage", "__first"), wins).alias("__w"),
+                                         (F.max("__n") > max_matches).alias("__over"))
     names = F.array(*[F.lit(s) for s in stage_names])
     bt = b.select(F.col(b_pos).alias("__first"), F.col(b_ident).alias("matched_identifier"),
                   F.col(b_text).alias("matched_text"))
-    w = winner.select(a_id, F.col("__w.__stage").alias("__stage"), F.col("__w.__first").alias("__first")) \
+    w = winner.select(a_id, F.col("__w.__stage").alias("__stage"), F.col("__w.__first").alias("__first"), "__over") \
         .join(bt, "__first", "left")
     out = a.join(w, a_id, "left")
     return out.withColumns({
@@ -262,7 +262,8 @@ def link_cascade(a: DataFrame, b: DataFrame, *, a_id: str, a_block: str | None,
         "matched_text": F.coalesce(F.col("matched_text"), F.lit("")),
         "match_type": F.when(F.col("__stage").isNull(), F.lit("")).otherwise(
             F.try_element_at(names, F.col("__stage") + 1)),
-    }).drop("__stage", "__first")
+        **({over: F.coalesce("__over", F.lit(False))} if over else {}),
+    }).drop("__stage", "__first", "__over")
 
 
 def first_match(df: DataFrame, key: str, order_col: str, cols: Sequence[str]) -> DataFrame:
