@@ -12,6 +12,8 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .select import exact_quantiles
+
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -66,19 +68,20 @@ def quantile_summary(df: DataFrame, col: str, by: Sequence[str] = (), approx: bo
                      accuracy: int = 10000) -> DataFrame:
     """AG5: min, p5, p10, mean, median, p90, p95, max with NULLs removed.
 
-    ``approx=False`` is R's default type-7 (linear interpolation) quantile,
-    which buffers each group's value counts; ``approx=True`` uses the
-    bounded-memory Greenwald-Khanna sketch (``percentile_approx``), the form
-    to use for very large groups.
+    ``approx=False`` is R's default type-7 (linear interpolation) quantile, by
+    selection without a sort (``exact_quantiles``); ``approx=True`` uses the
+    Greenwald-Khanna sketch alone (``percentile_approx``).
     """
     c = F.col(col)
-    q = (F.percentile_approx(c, list(QUANTS), accuracy) if approx
-         else F.percentile(c, F.array(*[F.lit(x) for x in QUANTS])))
+    names = ["min", "p5", "p10", "mean", "median", "p90", "p95", "max"]
+    if not approx:
+        g = exact_quantiles(df, col, by, QUANTS).withColumnsRenamed({f"q{i}": n for i, n in enumerate(["p5", "p10", "median", "p90", "p95"])})
+        kind = df.schema[col].dataType
+        return g.select(*by, F.col("min").cast(kind).alias("min"), *names[1:-1], F.col("max").cast(kind).alias("max"))
     g = df.where(c.isNotNull()).groupBy(*by).agg(
-        F.min(c).alias("min"), q.alias("__q"), F.avg(c).alias("mean"), F.max(c).alias("max"))
-    return g.select(*by, "min", F.col("__q")[0].alias("p5"), F.col("__q")[1].alias("p10"), "mean",
-                    F.col("__q")[2].alias("median"), F.col("__q")[3].alias("p90"),
-                    F.col("__q")[4].alias("p95"), "max")
+        F.min(c).alias("min"), F.percentile_approx(c, list(QUANTS), accuracy).alias("__q"), F.avg(c).alias("mean"), F.max(c).alias("max"))
+    q = dict(zip(["p5", "p10", "median", "p90", "p95"], range(5)))
+    return g.select(*by, *[F.col("__q")[q[n]].alias(n) if n in q else n for n in names])
 
 
 def outcome_summary(df: DataFrame, labels: Mapping[str, tuple[str, str, str]],

@@ -10,8 +10,9 @@ task:
   range-partitioned global sort (hot groups spread over many partitions)
   plus per-partition row counts; the id-tagged sorted data is cut with a
   reliable checkpoint so the tags are stable under task retries.
-* ``sample_n`` takes the ``n`` smallest hashes with a top-k
-  (``TakeOrderedAndProject``) while ``n`` is small, else a rank threshold.
+* ``sample_n``, the stratified split and the rebalancing keep the rows up to a
+  cut-off hash per class, which histograms of the hash's digits find
+  (``select.cutoffs``): no row is sorted and wide rows are read once.
 * hash-threshold splits need no shuffle at all.
 """
 
@@ -24,8 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-
-TOPK_MAX = 100_000
+from .select import cutoffs, with_group
 
 
 def _c(c) -> Column:
@@ -84,11 +84,21 @@ def stratified_split(df: DataFrame, label: str, test_size: float, id_col: str, s
     is the shuffle-free hash-threshold form (sizes exact in expectation)."""
     if not exact:
         return hash_split(df, test_size, id_col, seed, split_col)
-    r = ranked(df.withColumn("__h", seeded_key(id_col, seed)), [F.col("__h"), F.col(id_col)], [label], "__r")
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    r = _join_groups(r, n, [label])
-    return r.withColumn(split_col, F.when(F.col("__r") <= F.floor(F.col("__n") * test_size), "test")
-                        .otherwise("train")).drop("__h", "__r", "__n")
+    below = _drawn(df, [label], id_col, seed, F.floor(F.col("n") * test_size))
+    return below.withColumn(split_col, F.when(F.col("__drawn"), "test").otherwise("train")).drop("__drawn")
+
+
+def _drawn(df: DataFrame, by: Sequence[str], id_col: str, seed: int | str, wanted: Column, **more: Column) -> DataFrame:
+    """``df`` with ``__drawn``: whether the row is among its class's ``wanted`` (a column over ``n``, the rows of the class, and
+    ``more``) smallest seeded hashes, ties to the smaller id."""
+    # without classes all rows share one that the optimizer cannot fold
+    groups = [_c(b).alias(f"__b{i}") for i, b in enumerate(by)] or [(F.spark_partition_id() * 0).alias("__b0")]
+    names = [f"__b{i}" for i in range(len(groups))]
+    keyed = df.select(*groups, seeded_key(id_col, seed).alias("hash"), _c(id_col).alias("id"), *[c.alias(k) for k, c in more.items()])
+    cuts = cutoffs(keyed, names, wanted).select(*names, "last")
+    marked = with_group(df.withColumns(dict(zip(names, groups))), cuts, names, "left")
+    here = F.struct(seeded_key(id_col, seed).alias("hash"), _c(id_col).alias("id"))
+    return marked.withColumn("__drawn", F.coalesce(here <= F.col("last"), F.lit(False))).drop("last", *names)
 
 
 def hash_split(df: DataFrame, test_size: float, id_col: str, seed: int = 42,
@@ -99,14 +109,10 @@ def hash_split(df: DataFrame, test_size: float, id_col: str, seed: int = 42,
 
 def sample_n(df: DataFrame, n: int | Column, id_col: str, seed: int = 42, by: Sequence[str] = ()) -> DataFrame:
     """WN6 / WN9: the ``n`` rows (per ``by`` group) with the smallest seeded
-    hash. Small literal ``n`` without groups: a distributed top-k; otherwise
-    an exact rank threshold (``n`` may be a column, e.g. a per-group count)."""
-    h = seeded_key(id_col, seed)
-    if isinstance(n, int) and not by and n <= TOPK_MAX:
-        return df.withColumn("__h", h).orderBy("__h", id_col).limit(n).drop("__h")
-    r = ranked(df.withColumn("__h", h), [F.col("__h"), F.col(id_col)], by, "__r")
-    lim = F.lit(n) if isinstance(n, int) else n
-    return r.where(F.col("__r") <= lim).drop("__h", "__r")
+    hash, ties to the smaller id. ``n`` may be a column that is the same in a group."""
+    if isinstance(n, int):
+        return _drawn(df, by, id_col, seed, F.lit(n)).where("__drawn").drop("__drawn")
+    return _drawn(df, by, id_col, seed, F.col("__wanted"), __wanted=n).where("__drawn").drop("__drawn")
 
 
 def rebalance(df: DataFrame, label: str, id_col: str, seed: int = 42, by: Sequence[str] = (),
@@ -115,22 +121,20 @@ def rebalance(df: DataFrame, label: str, id_col: str, seed: int = 42, by: Sequen
     pos_cond = F.col(label) == positive
     pos = df.where(pos_cond)
     neg = df.where(~pos_cond | F.col(label).isNull())
-    npos = pos.groupBy(*by).agg(F.count(F.lit(1)).alias("__npos")) if by else None
-    if by:
-        negn = _join_groups(neg, npos, list(by))
-        picked = sample_n(negn, F.col("__npos"), id_col, seed, by).drop("__npos")
-    else:
-        k = pos.select(F.count(F.lit(1))).scalar()
-        picked = sample_n(neg.withColumn("__k", k), F.col("__k"), id_col, seed).drop("__k")
+    # negatives wanted in each class: its positives, counted beside them over all rows
+    names = [f"__b{i}" for i in range(len(by))] or ["__b0"]
+    groups = [_c(b).alias(n) for b, n in zip(by, names)] or [(F.spark_partition_id() * 0).alias("__b0")]
+    npos = cut_lineage(pos.select(*groups).groupBy(*names).agg(F.count(F.lit(1)).alias("__npos")))
+    wanted = with_group(neg.withColumns(dict(zip(names, groups))), npos, names)
+    picked = _drawn(wanted, names, id_col, seed, F.col("__want"), __want=F.col("__npos")).where("__drawn").drop("__drawn", "__npos", *names)
     return pos.unionByName(picked)
 
 
 def halve_class(df: DataFrame, label: str, value, id_col: str, seed: int = 42) -> DataFrame:
     """WN8: keep a seeded ``floor(n/2)`` of one class, every other row."""
-    cls = df.where(F.col(label) == value)
-    half = F.floor(cls.select(F.count(F.lit(1))).scalar() / 2)
-    kept = sample_n(cls.withColumn("__k", half), F.col("__k"), id_col, seed).drop("__k")
-    return df.where(~(F.col(label) == value) | F.col(label).isNull()).unionByName(kept)
+    mine = F.coalesce(F.col(label) == value, F.lit(False))
+    kept = _drawn(df.where(mine), (), id_col, seed, F.floor(F.col("n") / 2)).where("__drawn").drop("__drawn")
+    return df.where(~mine).unionByName(kept)
 
 
 def dedupe_first(df: DataFrame, key, order_col: str) -> DataFrame:
