@@ -12,6 +12,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .select import exact_quantiles
 
 
@@ -39,6 +40,32 @@ def describe_col(df: DataFrame, cols: Sequence[str], approx: bool = False) -> Da
     return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+TRACKED = 4096
+
+
+def top_values(df: DataFrame, col: str, k: int) -> DataFrame:
+    """AG2: the ``k`` most frequent values of a column with exact counts and shares of the rows (NULL is no value), ties to the smaller.
+
+    A mergeable sketch of ``TRACKED`` counters names the candidates and how far
+    its estimates may be off; a value it does not name has at most that many
+    rows. The candidates alone are counted again, by a lookup of bounded
+    size. Only where the k-th exact count does not exceed what an unnamed value
+    may have is every value counted.
+    """
+    c = F.col(col)
+    rows = df.select(c.alias("value"))
+    total = rows.count()
+    sketch = rows.where("value is not null").agg(F.call_function("approx_top_k", F.col("value"), F.lit(TRACKED // 2), F.lit(TRACKED)).alias("s"))
+    named = cut_lineage(sketch.select(F.explode("s").alias("x")).select("x.item").distinct())
+    counted = rows.join(F.broadcast(named), rows["value"] == named["item"], "left_semi")
+    best = cut_lineage(counted.groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k))
+    weakest = best.agg(F.count(F.lit(1)).alias("found"), F.min("n").alias("n")).first()
+    # the sketch's counters hold 3/4 of their table; an item not named has at most 3.5 / TRACKED of the rows
+    if weakest["found"] < k or weakest["n"] <= 3.5 * total / TRACKED:
+        best = rows.where("value is not null").groupBy("value").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
+    return best.select("value", "n", (F.col("n") / F.lit(total)).alias("share"))
+
+
 def share(cond) -> Column:
     """AG3: prevalence of a boolean (NULL counts as false)."""
     return F.avg(F.coalesce(_c(cond), F.lit(False)).cast("double"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -21,6 +23,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .sample import top_n
 
 
@@ -196,3 +199,63 @@ def centroids(df: DataFrame, vec: str, by: str) -> DataFrame:
     m = e.groupBy(by, "pos").agg(F.avg(F.col("v").cast("double")).alias("v"))
     return m.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("pos", "v"))).alias("__s")) \
         .select(by, F.transform("__s", lambda s: s["v"]).alias("centroid"))
+
+
+QUERY_BLOCK = 4096
+
+
+def nearest_vectors(df: DataFrame, queries: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
+    """ML16: for each query the ``k`` other vectors of ``df`` with the largest cosine (double precision), ties to the smaller
+    id: ``id, neighbour, cos, rank``.
+
+    Queries are taken in blocks of at most ``QUERY_BLOCK`` vectors, which bounds what a
+    task holds of them. A task multiplies the block with its batches of vectors and
+    keeps k a query as it goes, so no pair is written but its best, and the
+    tasks' lists merge by a partial top-k. Ids are integers. Vectors that are null, zero, of another length or with
+    null or non-finite parts have no neighbours and are none.
+    """
+    spark = df.sparkSession
+    usable = F.col(vec).isNotNull() & F.forall(vec, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists(vec, lambda x: x != 0)
+
+    def rows(frame):
+        return frame.where(usable).select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
+
+    asked = rows(queries).select("id", "v", F.size("v").alias("d")).repartitionByRange(F.col("d"), F.col("id")).sortWithinPartitions("d", "id")
+    asked = cut_lineage(asked.withColumn("place", F.monotonically_increasing_id())
+                        .withColumn("block", F.struct("d", F.expr(f"place div {QUERY_BLOCK}").alias("b"))))
+    blocks = [(r["block"]["d"], r["block"]["b"]) for r in asked.select("block").distinct().collect()]
+    out = None
+    for d, b in sorted(blocks):
+        # at most QUERY_BLOCK rows
+        block = asked.where((F.col("block.d") == d) & (F.col("block.b") == b)).select("id", "v").collect()
+        held = spark.sparkContext.broadcast((np.array([r["id"] for r in block], dtype=np.int64), _unit(np.array([r["v"] for r in block]))))
+        part = rows(df).where(F.size("v") == d).mapInArrow(lambda batches, held=held: _best(batches, held.value, k), "id long, neighbour long, cos double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "id long, neighbour long, cos double, rank int")
+    return top_n(out, ["id"], "cos", k, "neighbour")
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m / np.abs(m).max(axis=1, keepdims=True)  # no overflow in the squares
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+
+
+def _best(batches, held, k: int):
+    """The k best of a task's vectors for each query."""
+    ids, queries = held
+    best_id, best = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            part = batch.slice(at, 1024)
+            near = np.asarray(part.column(0), dtype=np.int64)
+            vectors = part.column(1)
+            cos = queries @ _unit(np.asarray(vectors.flatten()).reshape(len(vectors), -1)).T
+            cos[ids[:, None] == near[None, :]] = -np.inf  # not itself
+            best_id = np.concatenate([best_id, np.broadcast_to(near, cos.shape)], axis=1)
+            best = np.concatenate([best, cos], axis=1)
+            order = np.lexsort((best_id, -best), axis=1)[:, :k]
+            best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+    found = best > -np.inf
+    row = np.broadcast_to(ids[:, None], found.shape)
+    yield pa.RecordBatch.from_arrays([pa.array(row[found]), pa.array(best_id[found]), pa.array(best[found])], names=["id", "neighbour", "cos"])

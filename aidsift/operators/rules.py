@@ -140,22 +140,12 @@ def normalise_keywords(keywords: Iterable[tuple[str, str]], punct: str = "word",
     return out
 
 
-def keyword_dim_rows(dim: DataFrame, keyword: str = "keyword",
-                     category: str = "category", max_rows: int = 50_000) -> list[tuple[str, str]]:
-    """Fetch a keyword dimension to the driver behind a size check; beyond
-    ``max_rows`` use ``method='ngram'`` with a join instead."""
-    rows = dim.select(keyword, category).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"keyword dimension exceeds {max_rows} rows")
-    return [(r[0], r[1]) for r in rows]
-
-
 def _families(keywords, families):
     return {name: sorted({k for k, c in keywords if c in cats})
             for name, cats in families.items()}
 
 
-def _words_only(text: Column, punct: str) -> Column:
+def words_only(text: Column, punct: str) -> Column:
     """Normalised text with its leftover symbols as separators, as word boundaries see them."""
     return F.trim(F.regexp_replace(text, r"[\p{S}\s]+", " ")) if punct == "unicode" else text
 
@@ -172,12 +162,13 @@ def keyword_match(df: DataFrame, text: str, keywords: Sequence[tuple[str, str]],
 
     * ``rlike``: one space-padded alternation per family; a narrow scan.
     * ``ngram``: all 1..n-token grams of the text tested against the keyword
-      set with ``arrays_overlap`` (hash lookup, cost independent of the
-      keyword count); same answer, suited to thousands of keywords.
+      set with ``arrays_overlap``; same answer, for up to some thousands of
+      keywords, as their set is built anew for each row. Larger keyword
+      tables join: ``keywords.keyword_flags``.
     """
     fam = _families(keywords, families)
     out = {}
-    words = _words_only(F.col(text), punct)
+    words = words_only(F.col(text), punct)
     if method == "rlike":
         for name, kws in fam.items():
             out[name + suffix] = (pad(words).rlike(padded_pattern(kws))
@@ -218,7 +209,7 @@ def relief_flags(df: DataFrame, text: str, punct: str = "word", relief: str = "r
     """Contains relief / bad relief / debt relief (normalised text). The
     three word lists default to the reference's and are parameters."""
     bad_n = [k for k, _ in normalise_keywords([(p, "") for p in bad], punct)]
-    t = _words_only(F.col(text), punct)
+    t = words_only(F.col(text), punct)
     return df.withColumns({
         "Contains bad relief": has_phrase(t, bad_n),
         "Contains debt relief": has_phrase(t, [debt]),

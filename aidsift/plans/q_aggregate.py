@@ -51,6 +51,23 @@ def describe(spark, sf):
     return A.describe_col(d, ["lang", "source", "quality"])
 
 
+LINES_SQL = """l AS (SELECT unnest(string_split(text, chr(10))) AS value FROM documents),
+top AS (SELECT 'line' AS "column", md5(value) AS value, count(*) AS n, (SELECT count(*) FROM l) AS total FROM l GROUP BY l.value ORDER BY n DESC, l.value LIMIT 10),
+c AS (SELECT 'o_custkey' AS "column", CAST(o_custkey AS VARCHAR) AS value, count(*) AS n, (SELECT count(*) FROM orders) AS total FROM orders
+      GROUP BY o_custkey ORDER BY n DESC, CAST(o_custkey AS VARCHAR) LIMIT 10)"""
+
+
+@query("describe_frequencies", f"""WITH {LINES_SQL}
+SELECT "column", value, n, round(n / total, 6) AS share FROM (SELECT * FROM top UNION ALL SELECT * FROM c)""")
+def describe_frequencies(spark, sf):
+    """AG2: the ten most frequent lines of documents (hashed for the report) and customers of orders, counted exactly."""
+    lines = T(spark, sf, "documents").select(F.explode(F.split("text", "\n")).alias("value"))
+    cust = T(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("value"))
+    tops = [A.top_values(lines, "value", 10).select(F.lit("line").alias("column"), F.md5("value").alias("value"), "n", "share"),
+            A.top_values(cust, "value", 10).select(F.lit("o_custkey").alias("column"), "value", "n", "share")]
+    return tops[0].unionByName(tops[1]).withColumn("share", r6(F.col("share")))
+
+
 @query("prevalence", """
 SELECT round(avg(CASE WHEN coalesce(l.quality = 1, false) THEN 1.0 ELSE 0.0 END), 6) AS prevalence,
        round(avg(CASE WHEN l.quality IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS coverage

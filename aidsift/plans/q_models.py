@@ -168,3 +168,14 @@ def cosine(spark, sf):
     e = T(spark, sf, "embeddings")
     c = ML.centroids(e, "embedding", "label")
     return e.join(F.broadcast(c), "label").select("vec_id", r6(ML.cosine("embedding", "centroid")).alias("cos"))
+
+
+@query("nearest_vectors", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+p AS (SELECT q.vec_id AS id, d.vec_id AS neighbour, list_cosine_similarity(q.e, d.e) AS cos FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+SELECT id, neighbour, round(cos, 6) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cos DESC, neighbour) AS rank FROM p) WHERE rank <= 10""")
+def nearest_vectors(spark, sf):
+    """ML16: the ten nearest of all vectors for every vector whose id is divisible by 50."""
+    e = T(spark, sf, "embeddings")
+    out = ML.nearest_vectors(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 10)
+    return out.select("id", "neighbour", r6(F.col("cos")).alias("cos"), F.col("rank").cast("long").alias("rank"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import keywords as KW
 from ..operators import rules as R
 from .common import T, norm, norm_sql, padded_any_sql
 from .registry import query
@@ -81,6 +82,30 @@ def keyword_match_ngram(spark, sf):
     return _kw_spark(spark, sf, "ngram")
 
 
+#: A keyword table taken from the data: all runs of 1 to 3 words of benchmark texts, by their length.
+TABLE_SQL = f"""bw AS (SELECT string_split({norm_sql('text')}, ' ') AS w FROM benchmark),
+kt AS (SELECT DISTINCT g, n FROM (SELECT array_to_string(w[i:i + n - 1], ' ') AS g, n FROM (
+  SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bw, range(1, 4) t(n)))),
+dw AS (SELECT doc_id, string_split({norm_sql('text')}, ' ') AS w FROM documents),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + n - 1], ' ') AS g, n FROM (
+  SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, range(1, 4) t(n)))"""
+
+
+@query("keyword_match_table", f"""WITH {TABLE_SQL},
+hit AS (SELECT doc_id, bool_or(n = 1) AS aa, bool_or(n = 2) AS paf, bool_or(n = 3) AS cf FROM dg JOIN kt USING (g, n) WHERE g <> '' GROUP BY doc_id)
+SELECT doc_id, coalesce(cf, false) AS kw_cf, coalesce(paf OR aa, false) AS kw_paf, coalesce(aa, false) AS kw_aa FROM documents LEFT JOIN hit USING (doc_id)""")
+def keyword_match_table(spark, sf):
+    """JN18 with the keywords as a table: a hash join on each keyword's rarest token, verified in place."""
+    w = F.split(norm("text"), " ")
+    grams = T(spark, sf, "benchmark").select(F.posexplode(w).alias("i", "x"), w.alias("w")).select(F.explode(F.array(*[
+        F.struct(F.array_join(F.slice("w", F.col("i") + 1, n), " ").alias("keyword"), F.lit(cat).alias("category"), (F.col("i") + n <= F.size("w")).alias("whole"))
+        for n, cat in ((1, "AA"), (2, "PAF"), (3, "CF"))])).alias("g")).select("g.*").where("whole").drop("whole")
+    docs = T(spark, sf, "documents").select("doc_id", norm("text").alias("text"))
+    out = KW.keyword_flags(docs, "doc_id", "text", grams, punct="ascii")
+    return out.select("doc_id", F.col("Crisis finance keyword match").alias("kw_cf"), F.col("PAF keyword match").alias("kw_paf"),
+                      F.col("AA keyword match").alias("kw_aa"))
+
+
 BAD_N = [k for k, _ in R.normalise_keywords([(b, "") for b in BAD], "ascii")]
 RELIEF_SQL = f"""WITH {BASE_SQL},
 k AS (SELECT *, {_kw_sql(NKW_R)},
