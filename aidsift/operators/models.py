@@ -14,11 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (HashingTF, IDF, OneHotEncoder, RegexTokenizer, StringIndexer,
                                 VectorAssembler, VectorIndexer)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,33 +100,6 @@ def predict(df: DataFrame, model, name: str, keep: Sequence[str] = ()) -> DataFr
                       vector_to_array(F.col("probability"))[1].alias(f"{name} confidence"))
 
 
-def fit_linear(df: DataFrame, y: str, num: Sequence[str], cat: Sequence[str] = ()):
-    """ML12 + AG25: Gaussian GLM (R ``glm`` default) on numeric + one-hot
-    factors; returns (model, pseudo R2 = 1 - deviance / null deviance)."""
-    stages = one_hot(cat) if cat else []
-    asm = VectorAssembler(inputCols=list(num) + [f"{c}_vec" for c in cat], outputCol="features")
-    glm = GeneralizedLinearRegression(family="gaussian", link="identity", labelCol=y, featuresCol="features")
-    model = Pipeline(stages=stages + [asm, glm]).fit(df)
-    s = model.stages[-1].summary
-    return model, 1.0 - s.deviance / s.nullDeviance
-
-
-def lasso_coefficients(df: DataFrame, y: str, features: Sequence[str], folds: int = 10,
-                       reg: Sequence[float] = (0.001, 0.01, 0.1), seed: int = 42) -> DataFrame:
-    """ML13: cross-validated lasso; table of nonzero coefficients by name
-    (intercept first)."""
-    asm = VectorAssembler(inputCols=list(features), outputCol="features")
-    lr = LinearRegression(labelCol=y, featuresCol="features", elasticNetParam=1.0)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg)).build()
-    cv = CrossValidator(estimator=Pipeline(stages=[asm, lr]), estimatorParamMaps=grid,
-                        evaluator=RegressionEvaluator(labelCol=y, metricName="rmse"),
-                        numFolds=folds, seed=seed)
-    best = cv.fit(df).bestModel.stages[-1]
-    rows = [("(Intercept)", float(best.intercept))] + [
-        (n, float(b)) for n, b in zip(features, best.coefficients.toArray()) if b != 0.0]
-    return df.sparkSession.createDataFrame(rows, "variable string, beta double")
-
-
 def train_text(df: DataFrame, text: str, labels: Sequence[str], weights: Mapping[str, float] | None = None,
                num_features: int = 1 << 18, max_iter: int = 50) -> dict[str, PipelineModel]:
     """ML14: one weighted logistic model per label on hashed TF-IDF of the

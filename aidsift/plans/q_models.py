@@ -6,6 +6,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..operators import linear as LN
 from ..operators import merge as M
 from ..operators import models as ML
 from ..operators import sample as S
@@ -67,12 +68,62 @@ def gbt_categorical(spark, sf):
     return ML.predict(d.fillna("__missing__", ["lang", "source"]), model, "Crisis finance", keep=["doc_id"])
 
 
+LASSO_NUM, LASSO_CAT = ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus", "l_linenumber"]
+
+
+def _lasso(spark, sf):
+    """A target with a product of two figures, one level and noise (the price) in it, on figures and factors of lines."""
+    li = T(spark, sf, "lineitem").withColumns({
+        "id": F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]),
+        "y": F.col("l_quantity") * (1 - F.col("l_discount")) * 100 + F.when(F.col("l_returnflag") == "R", -40).otherwise(0) + F.col("l_extendedprice") / 5000})
+    return li, LN.fit_lasso(li, "y", LASSO_NUM, LASSO_CAT, "id", folds=10)
+
+
 @query("lasso_coef")
 def lasso_coef(spark, sf):
-    """ML13: 10-fold cross-validated lasso; nonzero coefficients by name."""
-    li = T(spark, sf, "lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax",
-                                         (F.col("l_linenumber").cast("double")).alias("line"))
-    return ML.lasso_coefficients(li, "l_extendedprice", ["l_quantity", "l_discount", "l_tax", "line"], folds=10)
+    """ML13: 10-fold cross-validated lasso over numbers and factors; nonzero coefficients by name (Column_level)."""
+    return LN.lasso_coefficients(_lasso(spark, sf)[1], spark)
+
+
+@query("lasso_optimality", """SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS variable, true AS optimal
+UNION ALL SELECT 'l_returnflag_' || l_returnflag, true FROM lineitem GROUP BY l_returnflag
+UNION ALL SELECT 'l_linestatus_' || l_linestatus, true FROM lineitem GROUP BY l_linestatus
+UNION ALL SELECT 'l_linenumber_' || CAST(l_linenumber AS VARCHAR), true FROM lineitem GROUP BY l_linenumber""")
+def lasso_optimality(spark, sf):
+    """ML13: every column of the fitted lasso meets the optimality conditions, checked on the rows' residuals."""
+    li, fit = _lasso(spark, sf)
+    return LN.lasso_optimality(li, fit, "y", LASSO_NUM, LASSO_CAT)
+
+
+GLM_SQL = """WITH b AS (SELECT l_extendedprice * (1 - l_discount) AS y, l_extendedprice AS x, l_returnflag AS f FROM lineitem),
+c AS (SELECT y - avg(y) OVER (PARTITION BY f) AS yc, x - avg(x) OVER (PARTITION BY f) AS xc, y - avg(y) OVER () AS y0 FROM b),
+s AS (SELECT sum(xc * yc) / sum(xc * xc) AS slope, count(*) AS n FROM c),
+d AS (SELECT (SELECT slope FROM s) AS slope, sum((yc - slope * xc) ** 2) AS deviance, sum(y0 ** 2) AS null_deviance, any_value(n) AS n FROM c, s)
+"""
+
+
+@query("glm_factors", GLM_SQL + """SELECT n, round(slope, 6) AS slope, round(sqrt(deviance / n), 4) AS residual, round(sqrt(null_deviance / n), 4) AS spread,
+  round(1 - deviance / null_deviance, 6) AS pseudo_r2, 'flag_group_R' AS aliased FROM d""")
+def glm_factors(spark, sf):
+    """ML12 + AG25: revenue on price and the return flag, with a second factor that the flag determines (aliased): root mean
+    deviances of fit and mean, and pseudo R2."""
+    li = T(spark, sf, "lineitem").select((F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y"), F.col("l_extendedprice").alias("x"),
+                                         F.col("l_returnflag").alias("flag"), F.when(F.col("l_returnflag") == "R", "R").otherwise("A").alias("flag_group"))
+    fit = LN.fit_linear(li, "y", ["x"], ["flag", "flag_group"])
+    aliased = ",".join(k for k, v in fit.coefficients.items() if v is None)
+    return spark.createDataFrame([(fit.rows, round(fit.coefficients["x"], 6), round((fit.deviance / fit.rows) ** 0.5, 4),
+                                   round((fit.null_deviance / fit.rows) ** 0.5, 4), round(fit.pseudo_r2, 6), aliased)],
+                                 "n long, slope double, residual double, spread double, pseudo_r2 double, aliased string")
+
+
+@query("glm_residuals", GLM_SQL + """, m AS (SELECT f, avg(y) AS my, avg(x) AS mx, count(*) AS n, sum(y) AS sy, sum(x) AS sx FROM b GROUP BY f)
+SELECT f AS flag, n, round(my, 4) AS fitted_mean FROM m""")
+def glm_residuals(spark, sf):
+    """ML12: mean fitted value of each level (a least squares fit with a factor meets each level's mean), from the rows."""
+    li = T(spark, sf, "lineitem").select((F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("y"), F.col("l_extendedprice").alias("x"),
+                                         F.col("l_returnflag").alias("flag"))
+    fit = LN.fit_linear(li, "y", ["x"], ["flag"])
+    return li.groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(LN.linear_predictor(fit.coefficients, ["x"], ["flag"])), 4).alias("fitted_mean"))
 
 
 @query("text_classifier")
@@ -97,8 +148,7 @@ def text_classifier(spark, sf):
 def ols_r2(spark, sf):
     """ML12 + AG25: Gaussian GLM, pseudo R2 = 1 - deviance / null deviance."""
     li = T(spark, sf, "lineitem").select("l_extendedprice", "l_quantity")
-    _, r2 = ML.fit_linear(li, "l_extendedprice", ["l_quantity"])
-    return li.agg(F.count(F.lit(1)).alias("n")).select(F.round(F.lit(float(r2)), 6).alias("r2"))
+    return spark.createDataFrame([(round(LN.fit_linear(li, "l_extendedprice", ["l_quantity"]).pseudo_r2, 6),)], "r2 double")
 
 
 TFIDF_SQL = """tok AS (SELECT doc_id, lang, unnest(list_filter(string_split(t, ' '), lambda w: length(w) >= 2)) AS term
