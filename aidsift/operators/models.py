@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import (HashingTF, IDF, OneHotEncoder, RegexTokenizer, StringIndexer,
-                                VectorAssembler, VectorIndexer)
+from pyspark.ml.feature import (HashingTF, IDF, OneHotEncoder, RegexTokenizer, StringIndexer)
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -69,29 +68,6 @@ def train_gbt(df: DataFrame, label: str, features: str = "features",
     return cv.fit(df).bestModel
 
 
-def train_gbt_categorical(df: DataFrame, label: str, num: Sequence[str], cat: Sequence[str],
-                          grid: Mapping[str, Sequence] | None = None, train_ratio: float = 0.5,
-                          seed: int = 42, max_categories: int = 64) -> PipelineModel:
-    """ML9: trees on raw categoricals (indexed, marked categorical by
-    VectorIndexer) with a single train/validation split. ``max_categories``
-    rises to the number of levels of the widest column."""
-    if cat:
-        levels = df.agg(*[F.count_distinct(c).alias(c) for c in cat]).first()
-        max_categories = max(max_categories, max(levels) + 2)  # and the missing and the unseen one
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_cat", handleInvalid="keep") for c in cat]
-    asm = VectorAssembler(inputCols=list(num) + [f"{c}_cat" for c in cat], outputCol="raw_features")
-    vi = VectorIndexer(inputCol="raw_features", outputCol="features", maxCategories=max_categories,
-                       handleInvalid="keep")
-    gbt = GBTClassifier(labelCol=label, featuresCol="features", seed=seed, maxBins=max(32, max_categories))
-    pipe = Pipeline(stages=idx + [asm, vi, gbt])
-    g = ParamGridBuilder()
-    for k, vals in (grid or {"maxDepth": [3]}).items():
-        g = g.addGrid(getattr(gbt, k), list(vals))
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=g.build(), evaluator=f1_evaluator(label),
-                               trainRatio=train_ratio, seed=seed)
-    return tvs.fit(df.fillna("__missing__", list(cat))).bestModel
-
-
 def predict(df: DataFrame, model, name: str, keep: Sequence[str] = ()) -> DataFrame:
     """ML10: batch scoring: predicted class and P(positive) columns."""
     out = model.transform(df)

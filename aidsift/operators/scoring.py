@@ -10,15 +10,19 @@ A scorer is either
 
 * a ``ColumnScorer``: ``text Column -> {label: confidence Column}``, a JVM
   expression (fully codegen'd), or
-* a ``PandasScorer``: ``pd.Series[str] -> pd.DataFrame`` of confidences,
-  run with ``mapInPandas`` in Arrow batches (one model load per task,
-  e.g. an ONNX session), for real models.
+* a model in Python (``score_pandas``): a list of texts -> an array of
+  confidences, run on Arrow batches (one load per worker), for real models.
 """
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer, Normalizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -66,20 +70,85 @@ def score_columns(df: DataFrame, text: str, scorer: ColumnScorer, suffix: str =
     return df.withColumns({f"{k}{suffix}": v for k, v in scorer(F.col(text)).items()})
 
 
-def score_pandas(df: DataFrame, text: str, scorer: Callable, labels: Sequence[str],
-                 suffix: str = " confidence") -> DataFrame:
-    """ML2 / UD3 with a real model: ``scorer(pd.Series) -> pd.DataFrame``
-    with one column per label, run batch-wise through Arrow."""
-    fields = [Ty.StructField(f"{l}{suffix}", Ty.DoubleType()) for l in labels]
+_MODELS: dict[str, Callable] = {}
+
+
+def score_pandas(df: DataFrame, text: str, load: Callable[[], Callable], labels: Sequence[str], max_tokens: int = 512, t: float = 0.5,
+                 batch_size: int = 64) -> DataFrame:
+    """ML2 / UD3 with a model in Python: ``df`` with ``<label> predicted`` and ``<label> confidence``.
+
+    ``load()`` gives the model, once per Python worker; it takes a list of texts and gives an array (texts, labels) of
+    confidences. The chunks of a batch's rows are laid end to end, scored in batches of like length, and
+    folded back to their rows inside the same batch: nothing is shuffled and rows keep their place.
+    A text without chunks (NULL) has confidence 0.
+    """
+    key, chunks = uuid.uuid4().hex, "__chunks"
+    rows = df.withColumn(chunks, chunk_array(F.col(text), max_tokens))
+    fields = [Ty.StructField(f"{l}{s}", kind()) for l in labels for s, kind in ((" predicted", Ty.BooleanType), (" confidence", Ty.DoubleType))]
+
     schema = Ty.StructType(df.schema.fields + fields)
+    names = schema.names
 
     def run(batches):
-        for pdf in batches:
-            conf = scorer(pdf[text])
-            for l in labels:
-                pdf[f"{l}{suffix}"] = conf[l].astype("float64").values
-            yield pdf
-    return df.mapInPandas(run, schema)
+        if key not in _MODELS:
+            _MODELS.clear()
+            _MODELS[key] = load()
+        model = _MODELS[key]
+        for batch in batches:
+            pieces = batch.column(batch.num_columns - 1)
+            texts = pieces.flatten().to_pylist()
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+            conf = np.zeros((len(texts), len(labels)))
+            for i in range(0, len(order), batch_size):
+                part = order[i:i + batch_size]
+                conf[part] = model([texts[j] for j in part])
+            count = np.array([len(p) if p is not None else 0 for p in pieces.to_pylist()], dtype=np.int64)
+            best = np.zeros((len(count), len(labels)))
+            starts = np.cumsum(count) - count
+            if len(texts):
+                best[count > 0] = np.maximum.reduceat(conf, starts[count > 0], axis=0)
+            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            for i in range(len(labels)):
+                columns += [pa.array(best[:, i] > t), pa.array(best[:, i])]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+class WordModel:
+    """A fitted word model: confidence = sigmoid(bias + the words' weights), the mean over a text's known words."""
+
+    def __init__(self, weights: Mapping[str, Sequence[float]], bias: Sequence[float]):
+        self.weights, self.bias = {w: np.array(x, dtype=float) for w, x in weights.items()}, np.array(bias, dtype=float)
+
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.bias)))
+        for i, text in enumerate(texts):
+            known = [self.weights[w] for w in text.split(" ") if w in self.weights]
+            out[i] = self.bias + (sum(known) / len(known) if known else 0.0)
+        return 1.0 / (1.0 + np.exp(-out))
+
+    def column(self, labels: Sequence[str]) -> ColumnScorer:
+        """The same model as a column expression."""
+        def scorer(text: Column) -> dict[str, Column]:
+            out = {}
+            for i, label in enumerate(labels):
+                table = F.create_map(*[F.lit(v) for w, x in self.weights.items() for v in (w, float(x[i]))])
+                known = F.filter(F.transform(F.split(text, " "), lambda w: F.try_element_at(table, w)), lambda x: x.isNotNull())
+                mean = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)).otherwise(F.lit(0.0))
+                out[label] = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.lit(float(self.bias[i])) + mean)))
+            return out
+        return scorer
+
+
+def fit_word_model(df: DataFrame, text: str, labels: Sequence[str], words: int = 500, max_iter: int = 20) -> WordModel:
+    """ML14: logistic models per label on the shares of the ``words`` most frequent words of ``text`` (blank-separated)."""
+    toks = df.withColumn("__words", F.split(text, " "))
+    vocabulary = CountVectorizer(inputCol="__words", outputCol="__tf", vocabSize=words).fit(toks)
+    rows = Normalizer(inputCol="__tf", outputCol="features", p=1.0).transform(vocabulary.transform(toks))
+    fitted = [LogisticRegression(labelCol=l, featuresCol="features", maxIter=max_iter).fit(rows) for l in labels]
+    weights = {w: [float(m.coefficients[i]) for m in fitted] for i, w in enumerate(vocabulary.vocabulary)}
+    return WordModel(weights, [float(m.intercept) for m in fitted])
 
 
 def chunks_to_docs(df: DataFrame, id_col: str, labels: Sequence[str], t: float = 0.5,
@@ -96,11 +165,32 @@ def chunks_to_docs(df: DataFrame, id_col: str, labels: Sequence[str], t: float =
     return df.groupBy(id_col).agg(*aggs)
 
 
+def _confidence(scorer: ColumnScorer, label: str) -> Callable[[Column], Column]:
+    return lambda c: F.coalesce(scorer(c)[label].cast("double"), F.lit(0.0))
+
+
+def _gated(conf: Callable[[Column], Column], t: float) -> Callable[[Column, Column], Column]:
+    return lambda c, before: F.when(before > t, conf(c)).otherwise(F.lit(0.0))
+
+
+def _folded(scores: Sequence[tuple[str, str]], t: float, thresholds: Mapping[str, float]) -> list[Column]:
+    """Predictions and confidences of (label, column with the scores of its chunks)."""
+    out = []
+    for label, name in scores:
+        bound = F.lit(max(t, thresholds.get(label, 0.0)))
+        out += [F.coalesce(F.array_max(name) > bound, F.lit(False)).alias(f"{label} predicted"),
+                F.coalesce(F.array_max(name), F.lit(0.0)).alias(f"{label} confidence")]
+    return out
+
+
 def score_documents(df: DataFrame, id_col: str, text: str, scorer: ColumnScorer, labels: Sequence[str],
                     max_tokens: int = 512, t: float = 0.5) -> DataFrame:
-    """ML2: chunk -> score every chunk -> fold to documents, joined back by id."""
-    ch = score_columns(chunk(df.select(id_col, text), text, max_tokens), "chunk", scorer)
-    return df.join(chunks_to_docs(ch, id_col, labels, t), id_col, "left")
+    """ML2 + AG15: chunk -> score every chunk -> fold, all inside the row: any chunk over the threshold, and the
+    largest confidence. No shuffle; the text stays where it is. A NULL text has no chunk and no class."""
+    out = df.withColumn("__chunks", chunk_array(F.col(text), max_tokens))
+    for i, label in enumerate(labels):
+        out = out.withColumn(f"__s{i}", F.transform("__chunks", _confidence(scorer, label)))
+    return out.select(*df.columns, *_folded([(l, f"__s{i}") for i, l in enumerate(labels)], t, {}))
 
 
 def cascade_chunk(df: DataFrame, id_col: str, text: str, stages: Sequence[tuple[str, ColumnScorer]],
@@ -108,18 +198,13 @@ def cascade_chunk(df: DataFrame, id_col: str, text: str, stages: Sequence[tuple[
                   t: float = 0.5) -> DataFrame:
     """ML3 + ML5: per chunk, stage i+1 is scored only where stage i predicted
     its class; a stage's confidence counts 0 on gated-out chunks. Documents
-    then take any/max over chunks."""
-    th = thresholds or {}
-    ch = chunk(df.select(id_col, text), text, max_tokens)
-    gate = F.lit(True)
-    labels = []
-    for label, scorer in stages:
-        conf = scorer(F.col("chunk"))[label]
-        ch = ch.withColumn(f"{label} confidence", F.when(gate, conf).otherwise(F.lit(0.0)))
-        gate = gate & (F.col(f"{label} confidence") > t)
-        labels.append(label)
-    docs = chunks_to_docs(ch, id_col, labels, t, th)
-    return df.select(id_col).join(docs, id_col, "left")
+    then take any/max over their chunks, which lie in one row: no shuffle."""
+    out = df.withColumn("__chunks", chunk_array(F.col(text), max_tokens))
+    for i, (label, scorer) in enumerate(stages):
+        conf = _confidence(scorer, label)
+        scores = F.transform("__chunks", conf) if i == 0 else F.zip_with("__chunks", f"__s{i - 1}", _gated(conf, t))
+        out = out.withColumn(f"__s{i}", scores)
+    return out.select(id_col, *_folded([(l, f"__s{i}") for i, (l, _) in enumerate(stages)], t, thresholds or {}))
 
 
 def cascade_doc(df: DataFrame, id_col: str, stages: Sequence[tuple[str, str, ColumnScorer]],
@@ -136,15 +221,9 @@ def cascade_doc(df: DataFrame, id_col: str, stages: Sequence[tuple[str, str, Col
     shuffle, one output row per input row. ``stages`` = (label, text, scorer)."""
     th = thresholds or {}
 
-    def confidence(scorer, label):
-        return lambda c: F.coalesce(scorer(c)[label].cast("double"), F.lit(0.0))
-
     def above(name, bound):
         return F.coalesce(F.exists(name, lambda x: x > bound), F.lit(False))
 
-    def where_above(conf):
-        return lambda c, x: F.when(x > t, conf(c)).otherwise(F.lit(0.0))
-
     names = [f"__s{i}" for i in range(len(stages))]
     bounds = [max(t, th.get(label, 0.0)) for label, _, _ in stages]
     out, pieces = df, {}
@@ -152,14 +231,14 @@ def cascade_doc(df: DataFrame, id_col: str, stages: Sequence[tuple[str, str, Col
         if text not in pieces:
             pieces[text] = f"__chunks{len(pieces)}"
             out = out.withColumn(pieces[text], chunk_array(F.col(text), max_tokens))
-        conf, zero = confidence(scorer, label), F.transform(pieces[text], lambda c: F.lit(0.0))
+        conf, zero = _confidence(scorer, label), F.transform(pieces[text], lambda c: F.lit(0.0))
         if i == 0:
             scores = F.transform(pieces[text], conf)
         elif i == 1 or stages[i - 1][1] != text:
             alive = above(names[i - 1], bounds[0] if i == 1 else t)
             scores = F.when(alive, F.transform(pieces[text], conf)).otherwise(zero)
         else:
-            scores = F.zip_with(pieces[text], names[i - 1], where_above(conf))
+            scores = F.zip_with(pieces[text], names[i - 1], _gated(conf, t))
         out = out.withColumn(names[i], scores)
     result = []
     for name, bound, (label, _, _) in zip(names, bounds, stages):

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from ..operators import aggregate as A
 from ..operators import linear as LN
 from ..operators import merge as M
 from ..operators import models as ML
 from ..operators import sample as S
+from ..operators import target_stats as TS
+from ..session import cut_lineage, ensure_checkpoint_dir
 from .common import LABELLED_SQL, T, labelled_docs, norm, norm_sql, r6
 from .q_aggregate import eval_frame
 from .registry import query
@@ -59,13 +64,60 @@ def gbt_score(spark, sf):
     return ML.predict(x, model, "Crisis finance", keep=["doc_id"])
 
 
+def _categorical_frame(spark, sf):
+    """Labelled documents with a column of many levels (the first line) beside two of few."""
+    e = eval_frame(spark, sf).select("doc_id", "source", "lang", "a_cf", "a_paf", "a_aa", "conf", "p_cf")
+    first = T(spark, sf, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("line"))
+    return e.join(first, "doc_id").select("doc_id", "lang", "source", F.md5("line").alias("line"), F.col("a_cf").cast("double").alias("label"),
+                                          F.col("a_paf").cast("double").alias("paf"), F.col("a_aa").cast("double").alias("aa"), "conf",
+                                          F.col("p_cf").cast("double").alias("kw"))
+
+
+def _ts_sql(col):
+    return (f"round((coalesce(sum(y) OVER w_{col}, 0) + prior) / (count(*) OVER w_{col} + 1), 6) AS {col}_ts")
+
+
+@query("target_stats", f"""WITH e AS (SELECT d.doc_id, d.lang, d.source, md5(string_split(d.text, chr(10))[1]) AS line, CAST(l.quality AS DOUBLE) AS y
+  FROM documents d JOIN labels l USING (doc_id)), p AS (SELECT *, (SELECT avg(y) FROM e) AS prior FROM e)
+SELECT doc_id, {', '.join(_ts_sql(c) for c in ('lang', 'source', 'line'))} FROM p
+WINDOW {', '.join(f"w_{c} AS (PARTITION BY {c} ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+                  for c in ('lang', 'source', 'line'))}""")
+def target_stats(spark, sf):
+    """ML9: ordered target statistics of three categories (4, 20 and thousands of levels)."""
+    d = _categorical_frame(spark, sf)
+    out = TS.ordered_target_stats(d, ["lang", "source", "line"], "label", "doc_id", TS.prior_of(d, "label"))
+    return out.select(F.col("id").alias("doc_id"), *[r6(F.col(f"{c}_ts")).alias(f"{c}_ts") for c in ("lang", "source", "line")])
+
+
 @query("gbt_categorical")
 def gbt_categorical(spark, sf):
-    """ML9: trees on raw categoricals with a 50/50 train/validation split."""
-    d = _tree_frame(spark, sf)
-    model = ML.train_gbt_categorical(d, "label", ["conf", "kw"], ["lang", "source"],
-                                     grid={"maxDepth": [2, 3], "maxIter": [10]})
-    return ML.predict(d.fillna("__missing__", ["lang", "source"]), model, "Crisis finance", keep=["doc_id"])
+    """ML9: trees on raw categoricals with a 50/50 train/validation split; every labelled row scored by the model read back."""
+    d = _categorical_frame(spark, sf)
+    model, _ = TS.train_categorical_trees(d, "label", ["conf", "kw"], ["lang", "source", "line"], "doc_id", {"maxDepth": [2, 3], "maxIter": [10]})
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/trees-{uuid.uuid4().hex}"
+    model.save(path)
+    return ML.predict(d, TS.CategoricalTrees.load(spark, path), "Crisis finance", keep=["doc_id"])
+
+
+HALF_SQL = "CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 < 0.5"
+
+
+@query("trees_by_label", f"""WITH t AS (SELECT quality, toxic FROM documents JOIN labels USING (doc_id) WHERE {HALF_SQL})
+SELECT 'Crisis finance' AS label, count(*) AS n, count(*) FILTER (quality = 1) AS positives FROM t
+UNION ALL SELECT 'PAF', count(*), count(*) FILTER (toxic = 1) FROM t
+UNION ALL SELECT 'AA', count(*), count(*) FILTER (quality = 1 AND toxic = 1) FROM t""")
+def trees_by_label(spark, sf):
+    """ML8-ML10 + AG8: trees for three labels, each with the confidences of the labels before it as features, trained on one half and
+    counted on the other: rows and positives of the confusion matrix."""
+    d, out, num = _categorical_frame(spark, sf), None, ["conf", "kw"]
+    for label, y in (("Crisis finance", "label"), ("PAF", "paf"), ("AA", "aa")):
+        model, held = TS.train_categorical_trees(d, y, num, ["lang", "source"], "doc_id", {"maxDepth": [2], "maxIter": [5]})
+        c = A.confusion(held, F.col(y) == 1, F.col("prediction") == 1)
+        c = c.select(F.lit(label).alias("label"), (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"), (F.col("fn") + F.col("tp")).alias("positives"))
+        out = c if out is None else out.unionByName(c)
+        d = cut_lineage(ML.predict(d, model, label, keep=d.columns).drop(f"{label} predicted"))
+        num = [*num, f"{label} confidence"]
+    return out
 
 
 LASSO_NUM, LASSO_CAT = ["l_quantity", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus", "l_linenumber"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric as N
 from ..operators import scoring as S
-from .common import T, r6
+from .common import T, norm, r6
 from .registry import query
 
 LABELS = ["Crisis finance", "PAF", "AA"]
@@ -197,3 +197,18 @@ def softmax_argmax(spark, sf):
     e = T(spark, sf, "embeddings")
     sm = N.softmax(F.col("embedding"))
     return e.select("vec_id", N.argmax("embedding").alias("top"), r6(F.array_max(sm)).alias("p_top"))
+
+
+@query("score_batches", """SELECT doc_id, true AS agrees, len(text) > 0 AS has_text FROM documents""")
+def score_batches(spark, sf):
+    """ML2 + ML14 + UD3: a word model fitted on labelled documents scores every document's chunks in Arrow batches; ``agrees``
+    says that predictions and confidences are those of the same model as a column expression."""
+    d = T(spark, sf, "documents").select("doc_id", norm("text").alias("t"))
+    lab = T(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("good"), F.col("toxic").cast("double").alias("bad"))
+    model = S.fit_word_model(d.join(lab, "doc_id"), "t", ["good", "bad"], words=200)
+    a = S.score_pandas(d, "t", lambda: model, ["good", "bad"], max_tokens=128)
+    both = S.score_documents(a.withColumnsRenamed({"good predicted": "pg", "good confidence": "cg", "bad predicted": "pb", "bad confidence": "cb"}),
+                             "doc_id", "t", model.column(["good", "bad"]), ["good", "bad"], max_tokens=128)
+    near = (F.abs(F.col("cg") - F.col("good confidence")) < 1e-9) & (F.abs(F.col("cb") - F.col("bad confidence")) < 1e-9)
+    same = (F.col("pg") == F.col("good predicted")) & (F.col("pb") == F.col("bad predicted"))
+    return both.select("doc_id", (near & same & F.col("cg").between(0.0, 1.0)).alias("agrees"), (F.length("t") > 0).alias("has_text"))
