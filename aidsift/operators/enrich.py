@@ -67,6 +67,22 @@ def imputed_amounts(df: DataFrame, cols: Sequence[str], share: str = "paf_impute
     return df.withColumns({f"{prefix}{c}{suffix}": _c(c) * F.lit(scale) * F.col(share) for c in cols})
 
 
+def enrich_paf(df: DataFrame, text: str, donor: str, year: str, amounts: Sequence[str], share: str = "paf_imputed_share") -> DataFrame:
+    """RL7, the stage of the PAF and AA sheets, after ``enrich``: contingent instruments, the imputed share of the year's pooled
+    funds, and each amount and each amount per capita times the share (SC26-SC28). ``text`` is normalised."""
+    out = df.withColumns({"contingent_financing": contingent_flag(text, donor), share: imputed_share(text, year)})
+    out = imputed_amounts(out, amounts, share)
+    return out.withColumns({f"paf_{c}_imputed_per_capita": F.col(f"{c}_per_capita") * F.col(share) for c in amounts})
+
+
+def classified_sheets(paf: DataFrame, aa: DataFrame, key: str, classification: str = "Classification",
+                      negative: str = "Not PAF") -> tuple[DataFrame, DataFrame]:
+    """RL7: the PAF sheet without its rows classified ``negative`` (a missing class goes too, as R's subset drops it), and
+    the AA sheet without the keys of those rows."""
+    no = paf.where(F.col(classification) == negative).select(key)
+    return paf.where(F.col(classification) != negative), M.anti(aa, no, key)
+
+
 def contingent_flag(text, donor, words: Sequence[str] = tuple(CONTINGENT_KEYWORDS),
                     donors: Sequence[str] = tuple(CONTINGENT_DONORS)) -> Column:
     """SC28: 1 when the text names a contingent instrument and the lender is

@@ -93,12 +93,12 @@ def train_text(df: DataFrame, text: str, labels: Sequence[str], weights: Mapping
     return models
 
 
-def tfidf_scores(df: DataFrame, text: str, group: str, corpus: DataFrame | None = None,
-                 id_col: str = "doc_id") -> DataFrame:
+def tfidf_weights(df: DataFrame, text: str, group: str, corpus: DataFrame | None = None,
+                  id_col: str = "doc_id") -> DataFrame:
     """ML15 + AG24: TF-IDF fitted on the corpus, applied to each group's
     concatenated text: tf = term count in the group, idf =
-    ln((1 + n) / (1 + df)) + 1, L2-normalised per group. Tokens are the
-    normalised text's words of 2+ characters. Returns (group, term, tfidf, score)."""
+    ln((1 + n) / (1 + df)) + 1. Tokens are the normalised text's words of 2+
+    characters. Returns (group, tf, term, df, tfidf)."""
     corpus = corpus if corpus is not None else df
     toks = lambda d: F.filter(F.split(F.col(text), " "), lambda t: F.length(t) >= 2)
     n = corpus.select(F.count(F.lit(1))).scalar()
@@ -106,17 +106,19 @@ def tfidf_scores(df: DataFrame, text: str, group: str, corpus: DataFrame | None
         .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     tf = df.select(group, F.explode(toks(df)).alias("term")).groupBy(group, "term").agg(
         F.count(F.lit(1)).alias("tf"))
-    w = tf.join(dfreq, "term").withColumn(
+    return tf.join(dfreq, "term").withColumn(
         "tfidf", F.col("tf") * (F.log((F.lit(1) + n) / (F.lit(1) + F.col("df"))) + 1))
-    norm = w.groupBy(group).agg(F.sqrt(F.sum(F.col("tfidf") ** 2)).alias("__norm"))
-    return w.join(norm, group).withColumn("score", F.col("tfidf") / F.col("__norm")).drop("__norm")
 
 
 def tfidf_top(df: DataFrame, text: str, group: str, n: int = 1000, corpus: DataFrame | None = None,
               id_col: str = "doc_id") -> DataFrame:
-    """ML15 + ST5: top ``n`` terms per group by score, ties by term."""
-    s = tfidf_scores(df, text, group, corpus, id_col)
-    return top_n(s, [group], "tfidf", n, "term")
+    """ML15 + ST5: top ``n`` terms per group by weight, ties by term; ``score`` is
+    the weight L2-normalised over the group's terms. The weights are written once;
+    norms (a mergeable sum) meet the top rows alone, a NULL group like any other."""
+    w = cut_lineage(tfidf_weights(df, text, group, corpus, id_col))
+    norms = w.groupBy(F.col(group).alias("__g")).agg(F.sqrt(F.sum(F.col("tfidf") ** 2)).alias("__norm"))
+    top = top_n(w, [group], "tfidf", n, "term")
+    return top.join(norms, top[group].eqNullSafe(norms["__g"])).withColumn("score", F.col("tfidf") / F.col("__norm")).drop("__norm", "__g")
 
 
 def l2_norm(c) -> Column:

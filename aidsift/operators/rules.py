@@ -282,19 +282,23 @@ def propagate_determination(df: DataFrame, chain: Sequence[str] = ("AA", "PAF",
     return df
 
 
-def rule_engine(df: DataFrame, text_cols: Sequence[str], keywords: Sequence[tuple[str, str]],
-                punct: str = "word", variant: str = "r", method: str = "rlike",
-                text: str = "text", relief: str = "relief", debt: str = "debt relief",
-                bad: Sequence[str] = tuple(BAD_RELIEF_PHRASES)) -> DataFrame:
-    """E1 end to end on a frame that already has code flags and
-    ``<label> predicted ML`` columns: text -> keywords -> relief -> RL3 -> RL4.
-    ``variant='r'`` drops the relief word from the keyword list (it is
-    handled by RL1) and counts debt relief as a match; ``'py'`` keeps it."""
+def rule_flags(df: DataFrame, text_cols: Sequence[str], keywords: Sequence[tuple[str, str]],
+               punct: str = "word", variant: str = "r", method: str = "rlike",
+               text: str = "text", relief: str = "relief", debt: str = "debt relief",
+               bad: Sequence[str] = tuple(BAD_RELIEF_PHRASES)) -> DataFrame:
+    """The text side of the rule engine: joined and normalised text, keyword and relief flags. What
+    follows needs the flags alone, so texts need not cross a join with model predictions."""
     from ..functions.text import join_text
     df = df.withColumn(text, norm_text(join_text(text_cols), punct))
     kws = normalise_keywords(keywords, punct, drop=(relief,) if variant == "r" else ())
     df = keyword_match(df, text, kws, method=method, punct=punct)
     df = relief_flags(df, text, punct, relief, debt, bad)
-    df = relief_rule(df, variant=variant)
-    df = determine(df)
-    return propagate_determination(df)
+    return relief_rule(df, variant=variant)
+
+
+def rule_engine(df: DataFrame, text_cols: Sequence[str], keywords: Sequence[tuple[str, str]], **options) -> DataFrame:
+    """E1 end to end on a frame that already has code flags and
+    ``<label> predicted ML`` columns: text -> keywords -> relief -> RL3 -> RL4.
+    ``variant='r'`` drops the relief word from the keyword list (it is
+    handled by RL1) and counts debt relief as a match; ``'py'`` keeps it."""
+    return propagate_determination(determine(rule_flags(df, text_cols, keywords, **options)))

@@ -61,6 +61,40 @@ def training_table(register: DataFrame, sheets: Mapping[str, DataFrame], keys: S
     return out, M.union_all(*conflicts)
 
 
+#: The sub-types of a sheet and the labels they stand for.
+TYPE_LABELS = {"Direct": "Direct", "Indirect": "Indirect", "Both": "Direct,Indirect", "Part PAF": "Part"}
+LABEL_COLUMNS = ("crisis_label", "paf_label", "direct_label", "ddo_label", "cf_label", "aa_label")
+
+
+def label_table(register: DataFrame, crisis: DataFrame, paf: DataFrame, aa: DataFrame, keys: Sequence[str], text_cols: Sequence[str],
+                paf_type: str, aa_type: str, ddo: str, contingent: str) -> tuple[DataFrame, DataFrame]:
+    """ML18, PRJ12: the table(text, labels) of the register and its labelled sheets, and the conflicts.
+
+    A PAF row is crisis finance too, an AA row PAF and crisis finance; sub-types become labels (``Both`` two of them), as do
+    deferred-drawdown and contingent instruments (``Yes``). Sheets merge null-safe and in full: the first sheet's value stays, and
+    keys on which AA and PAF disagree are conflicts (``keys, column``). The narrow sheets are merged first; the texts of the
+    register meet them in one join.
+    """
+    keys = list(keys)
+    yes = lambda c, label: F.when(F.col(c) == "Yes", F.lit(label))
+    sheets = [
+        crisis.select(*keys, F.lit("Crisis financing").alias("crisis_label")),
+        paf.select(*keys, F.lit("Crisis financing").alias("crisis_label"), F.lit("PAF").alias("paf_label"), recode(paf_type, TYPE_LABELS).alias("direct_label"),
+                   yes(ddo, "WB CAT DDO").alias("ddo_label"), yes(contingent, "Contingent financing").alias("cf_label")),
+        aa.select(*keys, F.lit("Crisis financing").alias("crisis_label"), F.lit("PAF").alias("paf_label"), F.lit("AA").alias("aa_label"),
+                  recode(aa_type, TYPE_LABELS).alias("direct_label"))]
+    merged, conflicts = sheets[0].distinct(), []
+    for sheet in sheets[1:]:
+        shared = [c for c in sheet.columns if c in merged.columns and c not in keys]
+        merged, clash = M.merge_coalesce(merged, sheet.distinct(), keys, shared)
+        merged = merged.drop("conflict")
+        conflicts.append(clash.select(*keys))
+    out = M.full_merge(register, merged, keys, "full")
+    labels = F.concat_ws(",", *LABEL_COLUMNS)
+    table = out.select(join_text(text_cols).alias("text"), F.when(labels == "", F.lit("Unrelated")).otherwise(labels).alias("labels")).distinct()
+    return table, M.union_all(*conflicts).distinct()
+
+
 def explode_generated(df: DataFrame, text: str, label: str, min_len: int = 0,
                       id_cols: Sequence[str] = ()) -> DataFrame:
     """ML19 / UD6: one row per non-blank generated line longer than

@@ -17,9 +17,8 @@ LABELS3 = {"Crisis finance": ("a_cf", "p_cf"), "PAF": ("a_paf", "p_paf"), "AA":
 def eval_frame(spark, sf):
     """Labelled documents with actual labels, keyword predictions and a
     confidence stand-in (scored-table shape)."""
-    d = T(spark, sf, "documents").select("doc_id", "text", "n_chars", "lang", "source") \
-        .join(T(spark, sf, "labels"), "doc_id").withColumn("text", norm(F.col("text")))
-    d = R.keyword_match(d, "text", NKW)
+    d = T(spark, sf, "documents").select("doc_id", norm("text").alias("text"), "n_chars", "lang", "source")
+    d = R.keyword_match(d, "text", NKW).drop("text").join(T(spark, sf, "labels"), "doc_id")  # flags cross the join, texts do not
     q, t = F.col("quality") == 1, F.col("toxic") == 1
     return d.select("doc_id", "lang", "source", q.alias("a_cf"), t.alias("a_paf"), (q & t).alias("a_aa"),
                     F.col("Crisis finance keyword match").alias("p_cf"),

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import enrich as E
+from ..operators import review as RV
 from ..operators import rules as R
+from ..session import ensure_checkpoint_dir
 from .common import T, norm, norm_sql, padded_any_sql, r6
 from .registry import query
 
@@ -162,13 +166,77 @@ def version_compare(spark, sf):
 @query("consolidate", """SELECT o_orderstatus AS sheet, year(o_orderdate) AS year, count(*) AS n
 FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY ALL""")
 def consolidate(spark, sf):
-    """RL8: yearly sheet tables unioned per sheet with a year tag."""
-    o = T(spark, sf, "orders").withColumn("yr", F.year("o_orderdate"))
-    parts = {(s, y): o.where((F.col("o_orderstatus") == s) & (F.col("yr") == y)).drop("yr")
-             for s in ("F", "O", "P") for y in YEARS}
-    sheets = E.consolidate(parts)
-    out = None
-    for s, df in sheets.items():
-        g = df.groupBy("year").agg(F.count(F.lit(1)).alias("n")).select(F.lit(s).alias("sheet"), "year", "n")
-        out = g if out is None else out.unionByName(g)
-    return out
+    """RL8: rows of yearly sheets counted per sheet and year, in one scan (``sheets_by_year`` keeps them as partitions)."""
+    year = F.year("o_orderdate")
+    o = T(spark, sf, "orders").where(year.between(YEARS[0], YEARS[-1]))
+    return o.groupBy(F.col("o_orderstatus").alias("sheet"), year.alias("year")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Texts of transactions: the order's clerk-like remark names an instrument or a fund for some orders.
+REMARKS = ["Deferred drawdown, tranche", "IFRC DREF: floods", "sfera (dref) fund", "grant"]
+DONORS = ["Asian Development Bank", "Other donor"]
+PAF_SQL = f"""WITH {POP_SQL},
+t AS (SELECT tx.*, p.population, ['Deferred drawdown, tranche', 'IFRC DREF: floods', 'sfera (dref) fund', 'grant'][o_orderkey % 4 + 1] AS remark,
+        ['Asian Development Bank', 'Other donor'][o_orderkey % 2 + 1] AS donor, 2015 + o_orderkey % 9 AS fund_year,
+        CASE WHEN o_orderkey % 5 = 0 THEN 'Not PAF' WHEN o_orderkey % 13 = 0 THEN NULL ELSE 'PAF' END AS class
+      FROM tx LEFT JOIN pop p USING (iso, year) WHERE coalesce(usd_commitment, 0) + coalesce(usd_disbursement, 0) > 0),
+sh AS (SELECT *, CASE WHEN remark LIKE '%dref%' OR remark LIKE '%DREF%' THEN coalesce(map_extract(MAP {{2017: 0.0, 2018: 0.0, 2019: 0.024, 2020: 0.072, 2021: 0.033, 2022: 0.117}}, fund_year)[1],
+        CASE WHEN remark LIKE 'sfera%' THEN map_extract(MAP {{2017: 0.104, 2018: 0.088, 2019: 0.313, 2020: 0.044, 2021: 0.288, 2022: 0.26}}, fund_year)[1] END, 1.0) ELSE 1.0 END AS share FROM t),
+sheets AS (SELECT 'PAF' AS sheet, * FROM sh WHERE class <> 'Not PAF'
+  UNION ALL SELECT 'AA', * FROM sh WHERE o_orderkey % 3 = 0 AND o_orderkey NOT IN (SELECT o_orderkey FROM sh WHERE class = 'Not PAF'))"""
+
+
+@query("enrich_sheets", PAF_SQL + """
+SELECT sheet, o_orderkey, CASE WHEN remark LIKE 'Deferred%' AND donor = 'Asian Development Bank' THEN 1 END AS contingent_financing,
+  CAST(share AS DOUBLE) AS paf_imputed_share, round(usd_commitment * 1e6 * share, 6) AS commitment_imputed, round(usd_disbursement * 1e6 * share, 6) AS disbursement_imputed,
+  round(usd_commitment * 1e6 / population * share, 6) AS commitment_imputed_per_capita, round(usd_disbursement * 1e6 / population * share, 6) AS disbursement_imputed_per_capita
+FROM sheets""")
+def enrich_sheets(spark, sf):
+    """RL7 + SC25-SC28 on the PAF and AA sheets: contingent instruments, imputed shares, amounts and amounts per capita times the share;
+    rows reviewed as no PAF leave both sheets."""
+    amounts = ["usd_commitment", "usd_disbursement"]
+    key = F.col("o_orderkey")
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
+    tx = _tx(spark, sf).withColumns({
+        "text": norm(pick(REMARKS)), "donor": pick(DONORS), "fund_year": (F.lit(2015) + key % 9).cast("int"),
+        "Classification": F.when(key % 5 == 0, "Not PAF").when(key % 13 == 0, F.lit(None)).otherwise("PAF")})
+    full = E.enrich(tx, amounts=amounts, zero_cols=amounts, code="iso", name="c_mktsegment", pop=_pop_long(spark, sf), iso="iso", year="year")
+    full = E.enrich_paf(full, "text", "donor", "fund_year", amounts)
+    paf, aa = E.classified_sheets(full, full.where(key % 3 == 0), "o_orderkey")
+    both = paf.withColumn("sheet", F.lit("PAF")).unionByName(aa.withColumn("sheet", F.lit("AA")))
+    return both.select("sheet", "o_orderkey", "contingent_financing", F.col("paf_imputed_share").cast("double").alias("paf_imputed_share"),
+                       *[r6(F.col(f"paf_usd_{c}_imputed{x}")).alias(f"{c}_imputed{x}") for c in ("commitment", "disbursement") for x in ("", "_per_capita")])
+
+
+@query("earlier_review", f"""WITH {AUTO_SQL},
+a AS (SELECT doc_id, key, CASE WHEN kw_paf AND doc_id % 2 = 0 THEN 'Yes' WHEN kw_paf THEN 'Review' ELSE 'No' END AS det FROM auto),
+rev AS (SELECT a.key, bool_or(l.toxic = 1 OR l.quality = 0) AS yes FROM labels l JOIN a USING (doc_id) WHERE l.doc_id % 3 <> 0 AND det <> 'No' GROUP BY a.key),
+mis AS (SELECT DISTINCT a.key FROM labels l JOIN a USING (doc_id) WHERE det = 'No' AND l.toxic = 1)
+SELECT doc_id, CASE WHEN rev.yes THEN 'new' ELSE 'old' END AS origin FROM a LEFT JOIN rev USING (key) WHERE det <> 'No' AND coalesce(rev.yes, true)
+UNION ALL SELECT doc_id, 'missed' FROM a JOIN mis USING (key)""")
+def earlier_review(spark, sf):
+    """RL5, earlier review: unlisted hits stay as old ones, listed hits where confirmed, missed rows are added."""
+    auto = _auto(spark, sf).drop("text")
+    kw = F.col("PAF keyword match")
+    auto = auto.select("doc_id", "key", F.when(kw & (F.col("doc_id") % 2 == 0), "Yes").when(kw, "Review").otherwise("No").alias("PAF determination"))
+    lab = T(spark, sf, "labels").join(auto, "doc_id")
+    hit = F.col("PAF determination") != "No"
+    review = lab.where(hit & (F.col("doc_id") % 3 != 0)).select("key", F.when((F.col("toxic") == 1) | (F.col("quality") == 0), "PAF").otherwise("Not PAF").alias("Review"))
+    missed = lab.where(~hit & (F.col("toxic") == 1)).select("key")
+    return RV.earlier_review(auto, review, missed, "key", "PAF determination").select("doc_id", "origin")
+
+
+@query("sheets_by_year", """WITH last AS (SELECT l_orderkey, arg_max(l_returnflag, (l_shipdate, l_linenumber, l_partkey, l_suppkey)) AS flag FROM lineitem GROUP BY l_orderkey)
+SELECT o_orderstatus AS sheet, year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders LEFT JOIN last ON o_orderkey = l_orderkey
+WHERE flag IS DISTINCT FROM 'R' AND year(o_orderdate) >= 1996 GROUP BY ALL""")
+def sheets_by_year(spark, sf):
+    """RL5 + RL8: orders without those whose last entry of the change log is a return, written by sheet and year, one year written
+    again, and read from the partitions asked for."""
+    orders = T(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("sheet"), F.year("o_orderdate").alias("year"), "o_totalprice")
+    log = T(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_returnflag", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")
+    kept = RV.apply_decisions(orders, log, "o_orderkey", ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey"], "l_returnflag", "R")
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sheets-{uuid.uuid4().hex}"
+    RV.write_sheets(kept, root)
+    RV.write_sheets(kept.where("year = 1997"), root)
+    rows = RV.read_sheets(spark, root, F.col("year") >= 1996)
+    return rows.groupBy("sheet", "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))

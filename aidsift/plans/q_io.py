@@ -71,6 +71,47 @@ def training_table_whole(spark, sf):
     return _training_table(spark, sf, {"title": _lines(1), "short": _lines(2), "long": _rest(3)})
 
 
+LABEL_SQL = """WITH s AS (SELECT l.doc_id, d.source, d.lang, l.quality, l.toxic FROM labels l JOIN documents d USING (doc_id)),
+cf AS (SELECT DISTINCT doc_id, source FROM s WHERE quality = 1),
+paf AS (SELECT DISTINCT doc_id, source, CASE lang WHEN 'en' THEN 'Direct' WHEN 'fr' THEN 'Indirect' WHEN 'de' THEN 'Direct,Indirect' WHEN 'es' THEN 'Part' END AS typ,
+          CASE WHEN source IN ('src1', 'src0') THEN 'WB CAT DDO' END AS ddo, CASE WHEN doc_id % 3 = 0 THEN 'Contingent financing' END AS cont FROM s WHERE toxic = 1),
+aa AS (SELECT DISTINCT doc_id, source, CASE WHEN source = 'src0' THEN 'Direct,Indirect' WHEN doc_id % 2 = 0 THEN CASE lang WHEN 'en' THEN 'Direct' WHEN 'fr' THEN 'Indirect'
+          WHEN 'de' THEN 'Direct,Indirect' WHEN 'es' THEN 'Part' END END AS typ FROM s WHERE (toxic = 1 AND doc_id % 2 = 0) OR (quality = 1 AND doc_id % 10 = 0)),
+k AS (SELECT doc_id, source FROM cf UNION SELECT doc_id, source FROM paf UNION SELECT doc_id, source FROM aa),
+m AS (SELECT k.doc_id, k.source, paf.doc_id IS NOT NULL OR aa.doc_id IS NOT NULL AS is_paf, aa.doc_id IS NOT NULL AS is_aa, coalesce(paf.typ, aa.typ) AS typ,
+        ddo, cont, paf.typ <> aa.typ AS clash FROM k LEFT JOIN paf USING (doc_id, source) LEFT JOIN aa USING (doc_id, source)),
+r AS (SELECT doc_id, source, text FROM documents WHERE doc_id % 7 <> 0),
+t AS (SELECT coalesce(r.text, '') AS text, concat_ws(',', CASE WHEN m.doc_id IS NOT NULL THEN 'Crisis financing' END, CASE WHEN is_paf THEN 'PAF' END, typ, ddo, cont,
+        CASE WHEN is_aa THEN 'AA' END) AS labels FROM r FULL JOIN m USING (doc_id, source))"""
+
+
+def _label_table(spark, sf):
+    """Sheets out of the labels; the register lacks every seventh document."""
+    d = T(spark, sf, "documents")
+    s = T(spark, sf, "labels").join(d.select("doc_id", "source", "lang"), "doc_id")
+    kind = F.create_map(*[F.lit(x) for kv in (("en", "Direct"), ("fr", "Indirect"), ("de", "Both"), ("es", "Part PAF")) for x in kv])
+    even = F.col("doc_id") % 2 == 0
+    paf = s.where("toxic = 1").select("doc_id", "source", kind[F.col("lang")].alias("type"), F.when(F.col("source").isin("src0", "src1"), "Yes").otherwise("No").alias("ddo"),
+                                      F.when(F.col("doc_id") % 3 == 0, "Yes").alias("contingent"))
+    aa = s.where((F.col("toxic") == 1) & even | (F.col("quality") == 1) & (F.col("doc_id") % 10 == 0)).select(
+        "doc_id", "source", F.when(F.col("source") == "src0", "Both").when(even, kind[F.col("lang")]).alias("type"))
+    return TR.label_table(d.where("doc_id % 7 != 0").select("doc_id", "source", "text"), s.where("quality = 1"), paf, aa, ["doc_id", "source"], ["text"],
+                          "type", "type", "ddo", "contingent")
+
+
+@query("label_table", LABEL_SQL + """
+SELECT DISTINCT md5(text) AS text_key, CASE WHEN labels = '' THEN 'Unrelated' ELSE labels END AS labels FROM t""")
+def label_table(spark, sf):
+    """ML18 + PRJ12: the whole label table: implied parents, sub-types with ``Both``, deferred-drawdown and contingent labels."""
+    return _label_table(spark, sf)[0].select(F.md5("text").alias("text_key"), "labels").distinct()
+
+
+@query("label_conflicts", LABEL_SQL + " SELECT doc_id, source FROM m WHERE clash")
+def label_conflicts(spark, sf):
+    """ML18 + AST1: keys whose sub-type differs between the PAF and the AA sheet."""
+    return _label_table(spark, sf)[1]
+
+
 def _synthetic_explode(spark, sf, *min_len):
     c = T(spark, sf, "conversations")
     u = c.where(F.col("role") == "user").select("conv_id", (F.col("turn") + 1).alias("turn"),

@@ -24,21 +24,24 @@ NKW_R = R.normalise_keywords(KEYWORDS, "ascii", drop=(RELIEF,))
 IDENT_SOURCES, ELIG_LANGS, HUM_SOURCES = ["src1", "src2"], ["en", "fr"], ["src5"]
 
 
-def rule_base(spark, sf):
-    """documents + labels (model stand-ins) + code flags + normalised text."""
-    docs = T(spark, sf, "documents").select("doc_id", "text", "lang", "source")
-    labs = T(spark, sf, "labels")
+def doc_base(spark, sf):
+    """documents with code flags and normalised text: all of the scan."""
+    return T(spark, sf, "documents").select("doc_id", "text", "lang", "source").withColumns({
+        "humanitarian": R.code_flag("source", HUM_SOURCES),
+        "Crisis finance identified": R.code_flag("source", IDENT_SOURCES),
+        "Crisis finance eligible": R.code_flag("lang", ELIG_LANGS),
+        "text": norm(F.col("text")),
+    })
+
+
+def with_predictions(flags, spark, sf):
+    """Flags of documents (no text) with the labels as model stand-ins."""
     q, tx = F.col("quality"), F.col("toxic")
-    return (docs.join(labs, "doc_id", "left")
-            .withColumns({
-                "humanitarian": R.code_flag("source", HUM_SOURCES),
-                "Crisis finance identified": R.code_flag("source", IDENT_SOURCES),
-                "Crisis finance eligible": R.code_flag("lang", ELIG_LANGS),
-                "Crisis finance predicted ML": F.coalesce(q == 1, F.lit(False)),
-                "PAF predicted ML": F.coalesce((q == 1) & (tx == 0), F.lit(False)),
-                "AA predicted ML": F.coalesce(tx == 1, F.lit(False)),
-                "text": norm(F.col("text")),
-            }))
+    return flags.join(T(spark, sf, "labels"), "doc_id", "left").withColumns({
+        "Crisis finance predicted ML": F.coalesce(q == 1, F.lit(False)),
+        "PAF predicted ML": F.coalesce((q == 1) & (tx == 0), F.lit(False)),
+        "AA predicted ML": F.coalesce(tx == 1, F.lit(False)),
+    })
 
 
 def _fam(nkw):
@@ -63,7 +66,7 @@ def _kw_sql(nkw):
 
 
 def _kw_spark(spark, sf, method):
-    df = R.keyword_match(rule_base(spark, sf), "text", NKW, method=method)
+    df = R.keyword_match(doc_base(spark, sf), "text", NKW, method=method)
     return df.select("doc_id", F.col("Crisis finance keyword match").alias("kw_cf"),
                      F.col("PAF keyword match").alias("kw_paf"),
                      F.col("AA keyword match").alias("kw_aa"))
@@ -117,7 +120,7 @@ r2 AS (SELECT *, c_debt AND NOT kw1 AS only_debt, kw1 OR c_debt AS kw_cf2 FROM r
 
 
 def relief_frame(spark, sf):
-    df = R.keyword_match(rule_base(spark, sf), "text", NKW_R)
+    df = R.keyword_match(doc_base(spark, sf), "text", NKW_R)
     df = R.relief_flags(df, "text", "ascii", RELIEF, DEBT, BAD)
     return R.relief_rule(df, variant="r")
 
@@ -147,7 +150,7 @@ d2 AS (SELECT *, CASE WHEN cf0 = 'Yes' AND only_debt THEN 'Review' ELSE cf0 END
 
 
 def det_frame(spark, sf):
-    return R.determine(relief_frame(spark, sf))
+    return R.determine(with_predictions(relief_frame(spark, sf).drop("text"), spark, sf))
 
 
 @query("determination", DET_SQL + """
@@ -233,3 +236,56 @@ def bool_blank(spark, sf):
     o = T(spark, sf, "orders").select("o_orderkey", (F.col("o_orderstatus") == "F").alias("is_f"),
                                       (F.col("o_totalprice") > 200000).alias("is_big"))
     return R.bool_blank(o, ["is_f", "is_big"])
+
+
+#: The whole run on transactions made of documents: codes by id out of the fixed lists and beside them.
+PURPOSES, CHANNELS, NAMES = [72010, 12220, 99999, 15220, None], [10000, 21016, None, 41121, 10000, 10000], [R.CERF_NAME, "Other agency", None]
+
+
+def _pick(values, column="doc_id"):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(column) % len(values) + 1).cast("int"))
+
+
+def _pick_sql(values, column="doc_id"):
+    return f"[{', '.join('NULL' if v is None else repr(v) for v in values)}][{column} % {len(values)} + 1]"
+
+
+def _in_sql(c, codes):
+    return f"coalesce({c} IN ({', '.join(map(str, codes))}), false)"
+
+
+RUN_SQL = f"""WITH tx AS (
+  SELECT doc_id, {_pick_sql(PURPOSES)} AS purpose, {_pick_sql(CHANNELS)} AS channel, {_pick_sql(NAMES)} AS channel_name,
+         CASE WHEN doc_id % 7 = 0 THEN '{R.CERF_NAME}' ELSE 'Donor' END AS donor,
+         CASE WHEN doc_id % 11 = 0 THEN '-' ELSE string_split(text, chr(10))[1] END AS title,
+         CASE WHEN doc_id % 11 = 0 THEN NULL ELSE array_to_string(string_split(text, chr(10))[2:], chr(10)) END AS long FROM documents),
+base AS (
+  SELECT doc_id, {norm_sql("concat_ws(' ', title, long)")} AS text, {_in_sql('purpose', R.HUMANITARIAN_PURPOSE_CODES)} AS humanitarian,
+         {_in_sql('channel', R.IDENTIFIED_CHANNEL_CODES)} OR {_in_sql('purpose', R.IDENTIFIED_PURPOSE_CODES)} AS ident,
+         {_in_sql('purpose', R.ELIGIBLE_PURPOSE_CODES)} AS elig, '' AS source, doc_id % 11 <> 0 AND coalesce(quality = 1, false) AS m_cf,
+         doc_id % 11 <> 0 AND coalesce(quality = 1 AND toxic = 0, false) AS m_paf, doc_id % 11 <> 0 AND coalesce(toxic = 1, false) AS m_aa
+  FROM tx LEFT JOIN labels USING (doc_id) WHERE NOT (channel_name IS NOT DISTINCT FROM '{R.CERF_NAME}' AND donor IS DISTINCT FROM '{R.CERF_NAME}'))"""
+
+
+@query("rule_run", RUN_SQL + PROP_SQL.split("FROM documents d LEFT JOIN labels l USING (doc_id))", 1)[1] + """
+SELECT fin.doc_id, cf_determination, paf_determination, aa_determination, CASE WHEN fin.humanitarian THEN 'TRUE' ELSE '' END AS humanitarian,
+  CASE WHEN b.m_cf THEN 'TRUE' ELSE '' END AS cf_predicted FROM fin JOIN base b USING (doc_id)""")
+def rule_run(spark, sf):
+    """E1 as a run: FLT2 (routed through a fund that another donor reports), SC30 with the fixed code lists, PRJ9-PRJ10 (blank texts
+    lose their predictions), text of several columns, JN18, RL1-RL4, PRJ11 (booleans as text)."""
+    lines = F.split("text", "\n")
+    blank = F.col("doc_id") % 11 == 0
+    tx = T(spark, sf, "documents").select(
+        "doc_id", _pick(PURPOSES).alias("purpose_code"), _pick(CHANNELS).alias("channel_code"), _pick(NAMES).alias("channel_name"),
+        F.try_element_at(lines, F.lit(1)).alias("title"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1))), "\n").alias("long"))
+    tx = R.update_where(tx.withColumn("donor", F.lit("Donor")), "donor", F.col("doc_id") % 7 == 0, R.CERF_NAME)
+    tx = R.update_where(R.update_where(tx, "title", blank, "-"), "long", blank, F.lit(None).cast("string"))
+    tx = R.add_code_flags(R.drop_double_count(tx, "channel_name", "donor"))
+    empty = F.coalesce("title", F.lit("")).isin("", "-") & F.coalesce("long", F.lit("")).isin("", "-")
+    flags = R.rule_flags(tx.withColumn("t", F.when(empty, "").otherwise("x")), ["title", "long"], KEYWORDS, punct="ascii", relief=RELIEF, debt=DEBT, bad=BAD)
+    flags = with_predictions(flags.drop("text", "title", "long"), spark, sf)
+    preds = [f"{label} predicted ML" for label in R.LABEL_FAMILIES]
+    out = R.propagate_determination(R.determine(R.reset_blank(flags, ["t"], preds, [])))
+    out = R.bool_blank(out, ["humanitarian", preds[0]])
+    return out.select("doc_id", *[F.col(f"{label} determination").alias(f"{k}_determination") for label, k in (("Crisis finance", "cf"), ("PAF", "paf"), ("AA", "aa"))],
+                      "humanitarian", F.col(preds[0]).alias("cf_predicted"))
