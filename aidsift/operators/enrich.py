@@ -158,12 +158,3 @@ def version_compare(manual: DataFrame, auto: DataFrame, key: str, hit: Column,
         "missed", n_known.alias("known"),
         F.coalesce(F.try_divide(F.col("missed").cast("double"), n_known.cast("double")), F.lit(0.0)).alias("miss_rate"))
     return missed, new, rate
-
-
-def consolidate(parts: Mapping[tuple[str, int], DataFrame]) -> dict[str, DataFrame]:
-    """RL8: per sheet, the union by name of its yearly tables, tagged with
-    ``year``; returns ``{sheet: DataFrame}``."""
-    out: dict[str, list[DataFrame]] = {}
-    for (sheet, yr), df in parts.items():
-        out.setdefault(sheet, []).append(df.withColumn("year", F.lit(yr)))
-    return {s: M.union_all(*dfs) for s, dfs in out.items()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import training as TR
 from ..operators.sample import hash_split
 from ..session import ensure_checkpoint_dir
+from ..sources import csv_records as CSV
 from ..sources import files as IO
 from .common import LABELLED_SQL, T, labelled_docs
 from .registry import query
@@ -176,6 +177,15 @@ def evaluation_set(spark, sf):
     return t.select("doc_id", "labels")
 
 
+@query("csv_splits", """SELECT doc_id, md5(text) AS text_key, length(text) AS n FROM documents WHERE text <> ''""")
+def csv_splits(spark, sf):
+    """SRC1 + SRC6: documents written as CSV with line breaks inside fields and read back by the reader that splits files."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    IO.write_csv(T(spark, sf, "documents").where("text != ''").select("doc_id", "text"), path)
+    back = CSV.read_csv_splits(spark, path, "doc_id bigint, text string")
+    return back.select("doc_id", F.md5("text").alias("text_key"), F.length("text").cast("long").alias("n"))
+
+
 @query("io_roundtrip", """
 SELECT doc_id, lang, source, text, CASE WHEN lang = 'de' THEN NULL ELSE lang END AS lang_na FROM documents""")
 def io_roundtrip(spark, sf):

@@ -11,7 +11,7 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[QueryFn, Optional[str]]] = {}
 
 _MODULES = ["q_text", "q_rules", "q_merge", "q_link", "q_aggregate", "q_sample",
-            "q_enrich", "q_scoring", "q_models", "q_io"]
+            "q_enrich", "q_scoring", "q_models", "q_io", "q_basics"]
 
 
 def query(name: str, sql: Optional[str] = None):

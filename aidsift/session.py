@@ -59,12 +59,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows.
+def sized_broadcast(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast ``df`` only when it provably holds at most ``max_rows`` rows
+    and ``max_bytes`` of values.
 
-    The check is a bounded count (``limit(max_rows + 1)``), so it stops
-    early on big inputs. Beyond the bound the frame is returned unchanged
+    The check reads at most ``max_rows + 1`` rows (``limit``), so it stops
+    early on big inputs. Beyond a bound the frame is returned unchanged
     and the planner falls back to a shuffled (sort-merge) join.
     """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) if df.columns else F.lit(0)
+    held = df.limit(max_rows + 1).select(size.alias("n")).agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("bytes")).first()
+    return F.broadcast(df) if held["rows"] <= max_rows and (held["bytes"] or 0) <= max_bytes else df
