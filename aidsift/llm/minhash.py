@@ -52,6 +52,8 @@ SHORT = 48
 FULL = 1024
 #: Nodes of a long list that are compared as one block.
 BLOCK = 512
+#: Shared values of a block's sketches that are multiplied at a time.
+COLUMNS = 4096
 #: Untested partners a node of a block may propose in a round.
 BEST = 8
 WIDE = 128
@@ -141,14 +143,23 @@ def _passes(x: list[np.ndarray], y: list[np.ndarray], n: np.ndarray, m: np.ndarr
     if not len(shared):
         return np.zeros((len(x), len(y)))
 
-    def table(z: list[np.ndarray]) -> np.ndarray:
-        flat, out = np.concatenate(z), np.zeros((len(z), len(shared)), dtype=np.float32)
-        at = np.minimum(np.searchsorted(shared, flat), len(shared) - 1)
-        hit = shared[at] == flat
-        out[np.repeat(np.arange(len(z)), [len(s) for s in z])[hit], at[hit]] = 1
+    def flat(z: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        values = np.concatenate(z)
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        hit = shared[at] == values
+        return np.repeat(np.arange(len(z)), [len(v) for v in z])[hit], at[hit]
+
+    def table(rows: int, held: tuple[np.ndarray, np.ndarray], lo: int) -> np.ndarray:
+        part = (held[1] >= lo) & (held[1] < lo + COLUMNS)
+        out = np.zeros((rows, min(COLUMNS, len(shared) - lo)), dtype=np.float32)
+        out[held[0][part], held[1][part] - lo] = 1
         return out
 
-    overlap = table(x) @ table(y).T
+    # shared values a few thousand at a time: memory does not grow with their number
+    held_x, held_y = flat(x), flat(y)
+    overlap = np.zeros((len(x), len(y)), dtype=np.float32)
+    for lo in range(0, len(shared), COLUMNS):
+        overlap += table(len(x), held_x, lo) @ table(len(y), held_y, lo).T
     n, m = n[:, None].astype(float), m[None, :].astype(float)
     # both sketches hold all values of their sets up to the smaller of their last ones
     last_x, last_y = ([s[-1] if size > len(s) else np.iinfo(np.int64).max for s, size in zip(z, k.ravel())] for z, k in ((x, n), (y, m)))
@@ -220,8 +231,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     values = wide.select("rep", "n", F.size("wide").alias("size"), F.explode("wide").alias("v"))
     often = written(values.groupBy("v").agg(F.count("*").alias("m")).where("m > 1"), "often")
     rank = F.row_number().over(Window.partitionBy("rep", "n").orderBy("m", "v"))  # of the at most WIDE values of a node
-    values = values.join(often, "v", "left").fillna(1, ["m"]).withColumn("rank", rank)
-    values = values.where(F.col("rank") <= F.col("size") + 1 - F.least(F.lit(WIDE_NEED), F.ceil(F.col("n") * 3 / 4))).where("m > 1")
+    # values of one node alone are its rarest and need no row: the others' ranks begin after them
+    alone = F.col("size") - F.count("*").over(Window.partitionBy("rep", "n"))
+    values = values.join(often, "v").withColumn("rank", rank + alone)
+    values = values.where(F.col("rank") <= F.col("size") + 1 - F.least(F.lit(WIDE_NEED), F.ceil(F.col("n") * 3 / 4)))
     values = written(values.select("v", "rep", "n", "m"), "rare")
     rare = values.where(f"m <= {SHORT}").select("v", "rep", "n")
     near = (rare.toDF("v", "a", "n_a").join(rare.toDF("v", "b", "n_b"), "v")
@@ -237,7 +250,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = promising(stars)
     pairs = written(pairs.union(promising(near)).distinct(), "pairs")
-    hot = hot.join(sized, ["rep", "n"])
 
     first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct(), "first")
     ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id").join(many.toDF("doc_id"), "doc_id", "left_anti")
@@ -253,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long_lists = not heads.isEmpty()
     while True:
         if long_lists:
-            later = later.union(_blocks(of(hot, "rep"), heads, tested))
+            later = later.union(_blocks(of(hot, "rep"), heads, tested, sized))
         later = written(later.distinct().join(tested, ["a", "b"], "left_anti"), "later")
         if later.isEmpty():
             break
@@ -275,9 +287,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _blocks(hot: DataFrame, heads: DataFrame, tested: DataFrame) -> DataFrame:
+def _blocks(hot: DataFrame, heads: DataFrame, tested: DataFrame, sized: DataFrame) -> DataFrame:
     """Proposed pairs (a, b) of the long lists: each node outside the component
-    of its list's head against all nodes of the list."""
+    of its list's head against all nodes of the list. Sketches join the
+    rows of lists with such nodes alone."""
     rows = hot.join(heads, "v")
     top = rows.where("rep = head").select("v", F.col("rep_comp").alias("head_comp"))
     apart = rows.join(top, "v").where("rep_comp != head_comp").groupBy("v").agg(F.count("*").alias("apart"))
@@ -289,9 +302,9 @@ def _blocks(hot: DataFrame, heads: DataFrame, tested: DataFrame) -> DataFrame:
     spread = F.pmod(F.xxhash64("rep"), F.lit(1 << 30))
     block = rows.where("rep_comp != head_comp").join(done, "rep", "left").select(
         "v", (spread % n_blocks).alias("block"), F.explode(F.sequence(F.lit(0), n_slices - 1)).alias("slice"), "rep", "n",
-        "f", F.col("rep_comp").alias("comp"), "tested", F.lit(0).alias("role"))
+        F.col("rep_comp").alias("comp"), "tested", F.lit(0).alias("role"))
     others = rows.select(
         "v", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), (spread % n_slices).alias("slice"), "rep", "n",
-        "f", F.col("rep_comp").alias("comp"), F.lit(None).cast("array<long>").alias("tested"), F.lit(1).alias("role"))
-    return (block.union(others.select(*block.columns)).groupBy("v", "block", "slice")
+        F.col("rep_comp").alias("comp"), F.lit(None).cast("array<long>").alias("tested"), F.lit(1).alias("role"))
+    return (block.union(others.select(*block.columns)).join(sized.select("rep", "f"), "rep").groupBy("v", "block", "slice")
             .applyInPandas(_proposals, "a long, b long").distinct())
