@@ -144,12 +144,16 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pl
              .select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.explode("spans").alias("s")).where("s.live")
              .groupBy("_id", "_hash").agg(F.sort_array(F.collect_set(F.struct("s.start", "s.end"))).alias("_spans")))
     found = written(found, "live")
-    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found["_id"]) & (text_hash(docs[text_col]) == found["_hash"]), "left")
+    # columns under names of our own, so that none clashes and none needs quoting
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain, text = docs.toDF(*names), names[docs.columns.index(text_col)]
+    joined = plain.join(found, F.col(names[docs.columns.index(id_col)]).cast("long").eqNullSafe(found["_id"]) & (text_hash(F.col(text)) == found["_hash"]), "left")
     # spans may overlap: each takes what the ones before it have left
     step = F.aggregate(
         F.col("_spans"), F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, s: F.when(s["start"] >= a["at"], F.struct(
-            F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(placeholder)).alias("out"),
+            F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(placeholder)).alias("out"),
             s["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], s["end"]).alias("at"))),
-        lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.length(text_col))))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(step)).select(*docs.columns)
+        lambda a: F.concat(a["out"], F.substring(F.col(text), (a["at"] + 1).cast("int"), F.length(text))))
+    redone = joined.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(step))
+    return redone.select(*names).toDF(*docs.columns)

@@ -15,7 +15,9 @@ bytes is that of the words. The tree holds contexts of up to ``DEPTH`` bytes.
    so are in one shard, which grows its part of the tree and scores its runs; neither the driver nor a task holds more of it.
 5. The scores go back to the chunks. A byte is scored in the state of its longest retained suffix.
    A token's probability is that of its bytes mixed with the word unigram's,
-   (1 - ``UNIGRAM``) to ``UNIGRAM``, which knows whole words better than spelling does.
+   (1 - ``unigram``) to ``unigram``, which knows whole words better than spelling does. The unigram
+   gives a word c / (N + V), c of N training tokens of V kinds, and spreads the rest, V / (N + V), over
+   all words by their spelling: the probabilities of all texts sum to 1 at most, unseen words and all.
 
 The unigram score beside it counts words exactly. Words of more than
 1 / ``FREQUENT`` of all tokens, which are fewer than ``FREQUENT``, are known to the tasks; the others
@@ -240,7 +242,7 @@ def _run_scores(runs: DataFrame, n_runs: int, least: int, divergence: float) ->
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
-          divergence: float = DIVERGENCE) -> DataFrame:
+          divergence: float = DIVERGENCE, unigram: float = UNIGRAM) -> DataFrame:
     """Per row: ``doc_id``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).cast("binary").alias("text"))
     rows = written(_chunked(rows), "chunks")
@@ -258,6 +260,15 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     often_key, often_n = np.array([r["key"] for r in often], dtype=np.int64), np.array([r["n"] for r in often], dtype=np.int64)
     shared = docs.sparkSession.sparkContext.broadcast((often_key, np.append(often_n + 1.0, 1.0)))
     room = float(n_all + n_kinds + 1)
+    # of a token seen c times and spelled with probability p: by_spelling * p + by_count * c
+    by_count = unigram / max(n_all + n_kinds, 1)
+    by_spelling = 1 - unigram * n_all / max(n_all + n_kinds, 1)
+    log_spelling = float(np.log10(by_spelling)) if by_spelling > 0 else -np.inf
+
+    def mixture(spelling: np.ndarray, count: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore"):  # a long word's probability may be too small for a double
+            return np.where(count > 0, np.log10(by_spelling * 10 ** spelling + by_count * count), log_spelling + spelling)
+
     item = pa.struct([("key", pa.int64()), ("s", pa.float32())])
     empty = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("hits", pa.int64()), ("base", pa.float64()),
                        ("mixed", pa.float64()), ("rare", pa.list_(item))])
@@ -280,8 +291,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
                 is_known = known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
                 share = weight[np.where(is_known, at, len(known))]
-                mixed = np.log10((1 - UNIGRAM) * 10 ** spelling[~is_end] + UNIGRAM * share / room)
-                score = np.bincount(row[is_known], mixed[is_known], w.rows) + np.log10((1 - UNIGRAM) * 10 ** spelling[is_end] + UNIGRAM * (ends + 1) / room)
+                mixed = mixture(spelling[~is_end], share - 1)
+                score = np.bincount(row[is_known], mixed[is_known], w.rows) + mixture(spelling[is_end], np.full(w.rows, ends))
                 base = np.bincount(row, np.log10(share), w.rows)
                 hits = np.bincount(row[is_known], minlength=w.rows).astype(np.int64)
                 rest = ~is_known
@@ -296,10 +307,10 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     scored = rows.groupBy("chunk").cogroup(spelling_of.groupBy("chunk")).applyInArrow(run, "doc_id long, train boolean, n_tokens long, hits long, base double, mixed double, rare array<struct<key:long,s:float>>")
     scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("row", F.inline("rare"))
-    unigram = (F.coalesce("n", F.lit(0)) + 1) * F.lit(UNIGRAM / room)
+    seen = F.log10(F.lit(by_spelling) * F.pow(F.lit(10.0), "s") + F.lit(by_count) * F.col("n"))
     rare = (rare.join(counts.where("kind = 0").where(F.col("n") * FREQUENT <= n_all).select("key", "n"), "key", "left")
             .groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("log"),
-                                F.sum(F.log10(F.lit(1 - UNIGRAM) * F.pow(F.lit(10.0), "s") + unigram)).alias("mix")))
+                                F.sum(F.when(F.col("n").isNull(), F.lit(log_spelling) + F.col("s")).otherwise(seen)).alias("mix")))
     end_log = float(np.log10(ends + 1.0))
     out = scored.drop("rare").join(rare, "row", "left").fillna(0, ["more"]).fillna(0.0, ["log", "mix"])
     return out.select(
