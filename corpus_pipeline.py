@@ -7,6 +7,8 @@ named by ``spark.checkpoint.dir`` and read again.
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +19,27 @@ from aidsift.llm.store import shared_path
 from aidsift.sources.tables import table
 
 
+#: The columns that stages read or set; all others pass through under names that no operator uses.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _any_columns(stage):
+    """The stage on ``docs`` with further columns renamed for its time, so that no name clashes or needs quoting."""
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = [c if c in OWN else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*names), sf_dir).toDF(*docs.columns)
+    return run
+
+
+@_any_columns
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score of 0.5 or more go. Null and empty texts stay."""
+    """Documents with a toxicity score of 0.5 or more go. Null and empty texts stay; repeated rows and very
+    long texts are scored row by row and whole."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@_any_columns
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays, and
     of rows equal in id and text one. Documents without words are not duplicates."""
@@ -35,20 +53,25 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return single.union(once.where("twice_id is not null").select(*columns).dropDuplicates(["doc_id", "text"]))
 
 
+@_any_columns
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, repeated rows each on its own; null and empty texts stay. Texts are
+    searched whole."""
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_any_columns
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Owner-specific secrets are replaced; documents stay, ``n_chars`` follows the text."""
+    """Owner-specific secrets are replaced; documents stay, ``n_chars`` follows the text. Null texts stay null;
+    rows that share an id are redacted by the spans of their own text."""
     out = secret_scan.redacted(docs)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
                           .otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences, with their ids."""
+    """The pieces of the packed sequences, with their ids. A null text is an empty document; repeated rows
+    are packed each; further columns are not read."""
     return packing.pack(docs, public_tokenizers.path(WORD_TOKENIZER), "word", end_id=2)
 
 
