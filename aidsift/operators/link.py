@@ -68,23 +68,19 @@ def date_bounds(c, sep: str = "|", lo: int = 9999, hi: int = 0) -> tuple[Column,
     return (F.coalesce(F.array_min(years), F.lit(lo)), F.coalesce(F.array_max(years), F.lit(hi)))
 
 
-def _aligned(lo: Column, hi: Column) -> Column:
-    """The whole numbers from ``lo`` to ``hi`` as aligned blocks (level, number): block n of level k holds
-    the 2^k numbers from n * 2^k. An interval of s numbers is at most 2 log2(s) blocks."""
-    start = F.struct(lo.cast("long").alias("l"), (hi.cast("long") + 1).alias("r"), F.array().cast("array<struct<k:int,n:bigint>>").alias("out"))
-
-    def level(acc, k):
-        odd_l = (acc["l"] < acc["r"]) & (acc["l"].bitwiseAND(F.lit(1)) == 1)
-        left = acc["l"] + odd_l.cast("long")
-        odd_r = (left < acc["r"]) & (acc["r"].bitwiseAND(F.lit(1)) == 1)
-        right = acc["r"] - odd_r.cast("long")
-        none = F.array().cast("array<struct<k:int,n:bigint>>")
-        return F.struct(F.shiftright(left, 1).alias("l"), F.shiftright(right, 1).alias("r"), F.concat(
-            acc["out"], F.when(odd_l, F.array(F.struct(k.alias("k"), acc["l"].alias("n")))).otherwise(none),
-            F.when(odd_r, F.array(F.struct(k.alias("k"), right.alias("n")))).otherwise(none)).alias("out"))
-
-    levels = F.sequence(F.lit(0), F.greatest(F.ceil(F.log2(F.greatest(hi - lo + 1, F.lit(1)).cast("double"))).cast("int"), F.lit(0)) + 1)
-    return F.when(hi >= lo, F.aggregate(levels, start, level, lambda acc: acc["out"]))
+def _aligned(b: DataFrame, lo: str, hi: str, key: str) -> DataFrame:
+    """``b`` with a row per aligned block (k, n) of its interval: block n of level k holds the 2^k numbers from n * 2^k.
+    At each level what is left of the interval, from ceil(lo / 2^k) to floor((hi + 1) / 2^k), gives its first block if that has no
+    left sibling in it, and its last likewise: at most 2 log2(s) blocks of s numbers."""
+    span = F.col(hi).cast("long") - F.col(lo).cast("long") + 1
+    out = b.where(span > 0).withColumn("__k", F.explode(F.sequence(F.lit(0), F.floor(F.log2(span.cast("double"))).cast("int") + 1)))
+    left = -F.call_function("shiftright", -F.col(lo).cast("long"), F.col("__k"))
+    right = F.call_function("shiftright", F.col(hi).cast("long") + 1, F.col("__k"))
+    out = out.withColumns({"__l": left, "__r": right}).where("__l < __r")
+    odd = lambda c: F.col(c).bitwiseAND(F.lit(1)) == 1
+    first, last = odd("__l"), odd("__r") & (F.col("__l") + odd("__l").cast("long") < F.col("__r"))
+    blocks = F.array_compact(F.array(F.when(first, F.col("__l")), F.when(last, F.col("__r") - 1)))
+    return out.withColumn("__n", F.explode(blocks)).withColumn(key, F.struct(F.col("__k").alias("k"), F.col("__n").alias("n"))).drop("__k", "__l", "__r", "__n")
 
 
 def interval_join(a: DataFrame, b: DataFrame, block_a: str | None, block_b: str | None,
@@ -101,9 +97,10 @@ def interval_join(a: DataFrame, b: DataFrame, block_a: str | None, block_b: str
     if how != "inner":
         raise ValueError("interval_join supports inner; left-pad with a left join on the result")
     key = "__node"
-    bx = b.withColumn(key, F.explode(_aligned(F.col(lo), F.col(hi))))
+    bx = _aligned(b, lo, hi, key)
     # the longest block in use bounds the lengths that a point names
-    top = bx.agg(F.coalesce(F.max(f"{key}.k"), F.lit(0)).alias("k")).scalar()
+    span = F.greatest(F.col(hi).cast("long") - F.col(lo).cast("long") + 1, F.lit(1))
+    top = b.agg(F.coalesce(F.floor(F.log2(F.max(span).cast("double"))), F.lit(0)).cast("int").alias("k")).scalar()
     ax = a.withColumn("__k", F.explode(F.sequence(F.lit(0), top)))
     ax = ax.withColumn(key, F.struct("__k", F.call_function("shiftright", F.col(point).cast("long"), F.col("__k")).alias("n"))).drop("__k")
     cond = (ax[key]["__k"] == bx[key]["k"]) & (ax[key]["n"] == bx[key]["n"])

@@ -57,12 +57,16 @@ def chunk(df: DataFrame, text: str, max_tokens: int = 512,
 def chunk_array(text: Column, max_tokens: int = 512) -> Column:
     """ML1 as one array per row: the same balanced chunks as ``chunk``; a NULL
     text has none."""
-    toks = whitespace_tokens(text)
-    n = F.size(toks)
-    size = F.ceil(n / F.ceil(n / F.lit(max_tokens))).cast("int")
-    starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.greatest(size, F.lit(1)))
-    return F.when(text.isNull(), F.array().cast("array<string>")).when(n <= max_tokens, F.array(text)).otherwise(
-        F.transform(starts, lambda s: F.array_join(F.slice(toks, s + 1, size), " ")))
+    def pieces(toks: Column) -> Column:
+        n = F.size(toks)
+        size = F.greatest(F.ceil(n / F.ceil(n / F.lit(max_tokens))).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), size)
+        return F.when(n <= max_tokens, F.array(text)).otherwise(
+            F.transform(starts, lambda s: F.array_join(F.slice(toks, s + 1, size), " ")))
+
+    # a transform over the one token array names it, so that it is split once and not again for each chunk
+    cut = F.element_at(F.transform(F.array(whitespace_tokens(text)), pieces), 1)
+    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(cut)
 
 
 def score_columns(df: DataFrame, text: str, scorer: ColumnScorer, suffix: str = " confidence") -> DataFrame:
@@ -188,9 +192,8 @@ def score_documents(df: DataFrame, id_col: str, text: str, scorer: ColumnScorer,
     """ML2 + AG15: chunk -> score every chunk -> fold, all inside the row: any chunk over the threshold, and the
     largest confidence. No shuffle; the text stays where it is. A NULL text has no chunk and no class."""
     out = df.withColumn("__chunks", chunk_array(F.col(text), max_tokens))
-    for i, label in enumerate(labels):
-        out = out.withColumn(f"__s{i}", F.transform("__chunks", _confidence(scorer, label)))
-    return out.select(*df.columns, *_folded([(l, f"__s{i}") for i, l in enumerate(labels)], t, {}))
+    out = out.withColumn("__s", F.transform("__chunks", lambda c: F.struct(*[_confidence(scorer, l)(c).alias(f"s{i}") for i, l in enumerate(labels)])))
+    return out.select(*df.columns, *_folded([(l, f"__s.s{i}") for i, l in enumerate(labels)], t, {}))
 
 
 def cascade_chunk(df: DataFrame, id_col: str, text: str, stages: Sequence[tuple[str, ColumnScorer]],

@@ -29,13 +29,13 @@ SALTS = 16
 ROUNDS = 12
 
 
-def with_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Rows with their group's values; NULL is a group. ``groups`` (a written table with a row per group) is broadcast
-    if it has at most ``FEW_GROUPS`` rows; beyond, its rows are repeated under salts, so a large group is spread."""
+def with_group(rows: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "inner", few: bool | None = None) -> DataFrame:
+    """Rows with their group's values; NULL is a group. ``groups`` (a row per group) is broadcast if it has at most
+    ``FEW_GROUPS`` rows (``few``; counted here if not given); beyond, its rows are repeated under salts, so a large group is spread."""
     values = [c for c in groups.columns if c not in keys]
     groups = groups.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *values)
     same = [rows[k].eqNullSafe(groups[f"__k{i}"]) for i, k in enumerate(keys)]
-    if groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+    if few if few is not None else groups.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
         out = rows.join(F.broadcast(groups), reduce(lambda a, b: a & b, same, F.lit(True)), how)
         return out.drop(*[f"__k{i}" for i in range(len(keys))])
     rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
@@ -70,9 +70,11 @@ def exact_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[
     stats = cut_lineage(stats.select(
         *keys, "n", "min", "mean", "max", *[F.when(small, F.col("min")).otherwise(F.col("s")[2 * i]).alias(f"a{i}") for i in targets],
         *[F.when(small, F.col("max")).otherwise(F.col("s")[2 * i + 1]).alias(f"b{i}") for i in targets]))
-    counts = with_group(rows, stats, keys).groupBy(*keys).agg(
+    size = stats.agg(F.count(F.lit(1)).alias("groups"), F.max("n").alias("n")).first()
+    few = size["groups"] * len(probs) <= FEW_GROUPS
+    counts = with_group(rows, stats, keys, few=few).groupBy(*keys).agg(
         *[F.count_if(v < F.col(f"a{i}")).alias(f"below{i}") for i in targets], *[F.count_if(v <= F.col(f"b{i}")).alias(f"upto{i}") for i in targets])
-    known = with_group(stats, cut_lineage(counts), keys)
+    known = with_group(stats, counts, keys, few=few)
     # a sketch that missed its rank gives way to the whole range
     held = [(F.col(f"below{i}") <= F.floor(place[i])) & (F.col(f"upto{i}") > F.ceil(place[i])) for i in targets]
     bracket = F.explode(F.array(*[F.struct(
@@ -83,18 +85,18 @@ def exact_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[
 
     def inside(brackets: DataFrame) -> DataFrame:
         lists = brackets.groupBy(*keys).agg(F.collect_list(F.struct("i", "a", "b")).alias("__t"))
-        found = with_group(rows, cut_lineage(lists), keys)
+        found = with_group(rows, lists, keys, few=few)
         hit = F.filter("__t", lambda t: (v >= t["a"]) & (v <= t["b"]))
         return found.select(*keys, "__v", F.explode(hit).alias("t")).select(*keys, "__v", "t.*")
 
-    for _ in range(ROUNDS):
+    for _ in range(ROUNDS if (size["n"] or 0) > INSIDE else 0):
         wide = brackets.where((F.col("inside") > INSIDE) & (F.col("a") < F.col("b")))
         if wide.isEmpty():
             break
         slice_ = F.least(F.floor((v - F.col("a")) / (F.col("b") - F.col("a")) * SLICES), F.lit(SLICES - 1)).alias("slice")
         hist = inside(wide).groupBy(*keys, "i", slice_).agg(F.count(F.lit(1)).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"))
-        hist = cut_lineage(hist.groupBy(*keys, "i").agg(F.sort_array(F.collect_list(F.struct("slice", "n", "lo", "hi"))).alias("h")))
-        both = with_group(brackets, hist, [*keys, "i"], "left")
+        hist = hist.groupBy(*keys, "i").agg(F.sort_array(F.collect_list(F.struct("slice", "n", "lo", "hi"))).alias("h"))
+        both = with_group(brackets, hist, [*keys, "i"], "left", few)
         first = _fold(F.col("h"), F.floor("place") - F.col("below"), lambda x: x["lo"], "double")
         last = _fold(F.col("h"), F.ceil("place") - F.col("below"), lambda x: x["hi"], "double")
         both = both.withColumns({"first": F.coalesce(first, F.col("a")), "last": F.coalesce(last, F.col("b"))})
@@ -110,15 +112,16 @@ def exact_quantiles(df: DataFrame, col: str, by: Sequence[str], probs: Sequence[
 
     # distinct values with counts: equal values never fill a task
     values = inside(brackets).groupBy(*keys, "i", "__v").agg(F.count(F.lit(1)).alias("n"))
-    lists = cut_lineage(values.groupBy(*keys, "i").agg(F.sort_array(F.collect_list(F.struct(F.col("__v").alias("v"), "n"))).alias("h")))
-    found = with_group(brackets, lists, [*keys, "i"])
+    lists = values.groupBy(*keys, "i").agg(F.sort_array(F.collect_list(F.struct(F.col("__v").alias("v"), "n"))).alias("h"))
+    found = brackets.join(lists.withColumnsRenamed({k: f"__l{k}" for k in (*keys, "i")}), reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__l{k}")) for k in (*keys, "i")]))
     lo = _fold(F.col("h"), F.floor("place") - F.col("below"), lambda x: x["v"], "double")
     hi = _fold(F.col("h"), F.ceil("place") - F.col("below"), lambda x: x["v"], "double")
     found = found.select(*keys, "i", lo.alias("lo"), hi.alias("hi"), (F.col("place") - F.floor("place")).alias("part"))
     found = found.select(*keys, "i", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(
         F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")).alias("q"))
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in targets])
-    out = with_group(stats.select(*keys, "n", "min", "mean", "max"), cut_lineage(wide), keys)
+    out = with_group(stats.select(*keys, "n", "min", "mean", "max"), wide, keys, few=few)
     return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys)], "n", "min", "mean", "max", *[f"q{i}" for i in targets])
 
 
@@ -152,11 +155,13 @@ def cutoffs(keyed: DataFrame, by: Sequence[str], wanted: Column) -> DataFrame:
         state = state.withColumns({"rank": F.col("rank") - total("h", lambda x: x["prefix"] < F.col("prefix")),
                                    "many": total("h", lambda x: x["prefix"] == F.col("prefix"))})
         state = cut_lineage(state.drop("h"))
-        if length >= 30 or state.where(F.col("many") > INSIDE).isEmpty():
+        size = state.agg(F.count(F.lit(1)).alias("groups"), F.max("many").alias("many")).first()
+        few = size["groups"] <= FEW_GROUPS
+        if length >= 30 or (size["many"] or 0) <= INSIDE:
             break
         length += DIGITS
-        at = with_group(keyed, state.select(*by, "prefix").where("prefix is not null"), list(by)).where(F.startswith("hash", "prefix"))
-        state = with_group(state.drop("prefix", "many"), cut_lineage(step(at.drop("prefix"), length).drop(*extra)), list(by), "left")
-    at = with_group(keyed, state.select(*by, "prefix", "rank").where("prefix is not null"), list(by)).where(F.startswith("hash", "prefix"))
+        at = with_group(keyed, state.select(*by, "prefix").where("prefix is not null"), list(by), few=few).where(F.startswith("hash", "prefix"))
+        state = with_group(state.drop("prefix", "many"), step(at.drop("prefix"), length).drop(*extra), list(by), "left", few)
+    at = with_group(keyed, state.select(*by, "prefix", "rank").where("prefix is not null"), list(by), few=few).where(F.startswith("hash", "prefix"))
     last = at.groupBy(*by).agg(F.try_element_at(F.sort_array(F.collect_list(F.struct("hash", "id"))), (F.first("rank") + 1).cast("int")).alias("last"))
-    return cut_lineage(with_group(state.select(*by, "n"), cut_lineage(last), list(by), "left"))
+    return cut_lineage(with_group(state.select(*by, "n"), last, list(by), "left", few))

@@ -73,13 +73,16 @@ def _keyed(df: DataFrame, text: str, windows: dict[int, int], needle: bool) -> D
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                keys = []
+                found, size, held = [], [], [0]
                 for value in part.column(part.num_columns - 1):
                     data = value.as_buffer().to_pybytes()
-                    sizes = [gram_size(len(data))] if needle else windows
-                    keys.append([{"q": q, "g": g} for q in sizes for g in anchors(data, q, windows[q]).tolist()])
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(part.num_columns - 1)], pa.array(keys, _KEYS)],
-                                                 names=[*others, "__keys"])
+                    for q in [gram_size(len(data))] if needle else windows:
+                        found.append(anchors(data, q, windows[q]))
+                        size.append(np.full(len(found[-1]), q, dtype=np.int32))
+                    held.append(sum(map(len, found[len(found) - (1 if needle else len(windows)):])))
+                keys = pa.StructArray.from_arrays([pa.array(np.concatenate(size)), pa.array(np.concatenate(found))], fields=list(_KEYS.value_type))
+                keys = pa.ListArray.from_arrays(pa.array(np.cumsum(held), pa.int32()), keys)
+                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(part.num_columns - 1)], keys.cast(_KEYS)], names=[*others, "__keys"])
 
     schema = rows.drop("__bytes").schema.add("__keys", T.ArrayType(T.StructType([T.StructField("q", T.IntegerType()), T.StructField("g", T.LongType())])))
     return rows.mapInArrow(run, schema)
