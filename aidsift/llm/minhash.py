@@ -250,6 +250,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = promising(stars)
     pairs = written(pairs.union(promising(near)).distinct(), "pairs")
+    # a row per node, so that its component is looked up once and not for each of its lists
+    held = written(hot.groupBy("rep", "n").agg(F.collect_list("v").alias("vs")), "held")
 
     first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct(), "first")
     ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id").join(many.toDF("doc_id"), "doc_id", "left_anti")
@@ -265,7 +267,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long_lists = not heads.isEmpty()
     while True:
         if long_lists:
-            later = later.union(_blocks(of(hot, "rep"), heads, tested, sized))
+            later = later.union(_blocks(of(held, "rep").select("rep", "n", "rep_comp", F.explode("vs").alias("v")), heads, tested, sized))
         later = written(later.distinct().join(tested, ["a", "b"], "left_anti"), "later")
         if later.isEmpty():
             break
