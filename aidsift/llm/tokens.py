@@ -10,7 +10,8 @@ whole text:
   two at its end, is cut only before a blank that follows a non-blank.
 * ``word``: the normaliser drops white space, so any blank or newline is a cut.
 
-A new word of Latin-1 letters is one pre-token, so it goes to the BPE model
+A text that holds the string of a special token goes through the whole
+tokenizer, which gives that token's id, as the library does by default. A new word of Latin-1 letters is one pre-token, so it goes to the BPE model
 straight; all else goes through the whole tokenizer.
 """
 
@@ -24,16 +25,14 @@ from array import array
 from tokenizers import Tokenizer
 
 #: Words that a Python worker keeps, half of them recent; about 200 bytes each.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 _LONG_RUN = re.compile(r"\s\s(?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _TAIL = ".,;:!?)\"'|"
 
 
 def load(path: str) -> Tokenizer:
-    tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tok
+    return Tokenizer.from_file(path)
 
 
 def byte_letters() -> dict[int, str]:
@@ -70,43 +69,59 @@ class Encoder:
             raise ValueError(f"kind must be 'byte' or 'word', not {kind!r}")
         self.tok, self.kind, self.cache_words = load(path), kind, cache_words
         self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.bare, self.spaced = Words(), Words()  # spaced: of " " + the word
 
     def encode(self, text: str) -> bytes:
+        if any(x in low for low in {text, text.lower()} for x in self.added):
+            return self._whole([text])[0]
         for words in (self.bare, self.spaced):
             if len(words.recent) > self.cache_words // 2:
                 words.age()
-        if self.kind == "word":
-            return self._ids(text.replace("\n", " ").split(" "), self.bare, "")
+        if self.kind == "word":  # the normaliser lowers letters one by one; A-Z beforehand makes fewer words
+            low = text.lower() if text.isascii() else text.encode().lower().decode()
+            return self._ids(low.replace("\n", " ").split(" "), self.bare, "")
         if _LONG_RUN.search(text):
             return self._ids(_CUT.split(text), self.bare, "")
-        out = []
-        for line in text.split("\n"):
-            first, *rest = line.split(" ")
-            out.append(self._ids(("\n", first) if out else (first,), self.bare, ""))
-            if rest:
-                out.append(self._ids(rest, self.spaced, " "))
-        return b"".join(out)
-
-    def _ids(self, pieces, words: Words, before: str) -> bytes:
-        known = words.recent
-        try:
-            return b"".join([known[x] for x in pieces])
-        except KeyError:
-            self._learn(set(pieces).difference(known), words, before)
-            return b"".join([known[x] for x in pieces])
+        first, *rest = text.replace("\n", " \n").split(" ")  # a newline stays with the word behind it
+        head = self._ids([first], self.bare, "")
+        return head + self._ids(rest, self.spaced, " ") if rest else head
+
+    def _ids(self, pieces: list[str], words: Words, before: str) -> bytes:
+        got = list(map(words.recent.get, pieces))
+        if None in got:
+            new = [i for i, ids in enumerate(got) if ids is None]
+            self._learn({pieces[i] for i in new}, words, before)
+            known = words.recent
+            for i in new:
+                got[i] = known[pieces[i]]
+        return b"".join(got)
 
     def _learn(self, new: set[str], words: Words, before: str) -> None:
-        known, older, hard = words.recent, words.older, []
+        known, older, tokenize, hard = words.recent, words.older, self.tokenize, []
+        mark = self.letters[32] if before else ""
         for x in new:
-            if x in older:
-                known[x] = older[x]
+            if (ids := older.get(x)) is not None:
+                known[x] = ids
+                continue
+            if before and x.startswith("\n"):
+                known[x] = self._ids(["\n", x[1:]], self.bare, "")
                 continue
             body = x if x.isalpha() else x.rstrip(_TAIL)
-            if not (body.isascii() or max(body, default="") < "Ā") or not body.isalpha():
+            if not body.isalpha():
                 hard.append(x)
                 continue
-            ids = known.get(body) or self._word(before, body)
+            ids = known.get(body) or older.get(body)
+            if ids is None:
+                if body.isascii():
+                    shown = mark + body
+                elif max(body) < "Ā":
+                    lower = body.lower() if self.kind == "word" else body
+                    shown = (before + lower).encode().decode("latin-1").translate(self.letters)
+                else:
+                    hard.append(x)
+                    continue
+                ids = _bytes([t.id for t in tokenize(shown)])
             if body is not x:
                 known[body] = ids
                 ids += self._tail(x[len(body):])
@@ -120,15 +135,6 @@ class Encoder:
             known[tail] = self._whole([tail])[0]
         return known[tail]
 
-    def _word(self, before: str, word: str) -> bytes:
-        if self.kind == "word":
-            word = word.lower()
-        if word.isascii():
-            shown = self.letters[32] + word if before else word
-        else:
-            shown = (before + word).encode().decode("latin-1").translate(self.letters)
-        return _bytes([t.id for t in self.tokenize(shown)])
-
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [_bytes(e.ids) for e in got]

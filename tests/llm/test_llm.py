@@ -174,11 +174,11 @@ def test_fm_index():
 
 def tokenizer(name):
     tok = Tokenizer.from_file(public_tokenizers.path(name))
-    tok.encode_special_tokens = True
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
-ODD_TEXTS = ["", "a  b", "a\n\n b", " \n\tx", "it's  'S <|endoftext|> 12", "é É  ñ", "ΣΑΣ İ", "x " * 50, "tail  ", "tab\t\tword"]
+ODD_TEXTS = ["", "a  b", "a\n\n b", " \n\tx", "it's  'S <|endoftext|> 12", "é É  ñ", "ΣΑΣ İ", "x " * 50, "tail  ", "tab\t\tword",
+             "<|startoftext|>x", "<|ENDOFTEXT|>"]
 
 
 def test_token_files(spark, odd):
