@@ -23,6 +23,7 @@ its own; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -144,6 +145,12 @@ class Matcher:
         return 2 if any(e <= self.term[n] for n, e in self.sets[state]) else 0
 
 
+@functools.lru_cache(maxsize=1)
+def matcher_of(terms: tuple[str, ...], stems: tuple[str, ...]) -> Matcher:
+    """The matcher of this Python worker, with the states and words that its tasks have met."""
+    return Matcher(list(terms), list(stems))
+
+
 def glued(matcher: Matcher, low: str, spans: list[re.Match]) -> dict[int, int]:
     """Of misspelt terms with digits or signs between their letters: the first of the
     words that make them up, and the one behind the last. Words that match as they are do not take part."""
@@ -258,7 +265,7 @@ def _features(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     schema = ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep), "x array<double>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms, model.stems)
+        matcher = matcher_of(tuple(model.terms), tuple(model.stems))
         for batch in batches:
             x = [features(matcher, t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*keep, "x"])
@@ -285,7 +292,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id
     text = F.col(text_col).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(model.terms, model.stems)
+        matcher = matcher_of(tuple(model.terms), tuple(model.stems))
         for batch in batches:
             x = np.array([features(matcher, t.as_py() or "") for t in batch.column(batch.num_columns - 1)]).reshape(-1, FEATURES)
             keep = pa.array(model.score(x) < threshold, pa.bool_())
