@@ -18,8 +18,8 @@ similarity of their sets is at least ``percent`` / 100.
    lists the rarest, one more than it may miss of the union's. Passages that
    many documents share are then left out, unless they are most of the text.
    Short lists again give pairs. In long ones the nodes are compared by their
-   sketches: first with the smallest id of the list; then each node outside that one's
-   component, in blocks, with all nodes of the list. Each round proposes the
+   sketches: first with the smallest ids of a node's ``HEADS`` longest lists; then each node outside
+   the component of a list's smallest id, in blocks, with all nodes of the list. Each round proposes the
    best few untested partners per node and ends when none is left, so nothing
    is capped and a large group of near copies costs a link for each copy.
 5. The union-sketch estimate filters, the exact similarity of the full sets
@@ -56,6 +56,10 @@ BLOCK = 512
 COLUMNS = 4096
 #: Untested partners a node of a block may propose in a round.
 BEST = 8
+#: Of so many of its lists, the longest, a node is compared with the smallest id first; of the others in blocks.
+HEADS = 4
+#: Ids whose texts are picked by a broadcast (16 bytes each or so); more are joined by a shuffle of the texts.
+PICKED = 4_000_000
 WIDE = 128
 WIDE_NEED = 70
 
@@ -100,8 +104,8 @@ def _input(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """``doc_id``, ``n``, ``s`` and ``f`` of the documents in ``ids``: the size of the set, the
-    whole set and its ``FULL`` smallest values, 32 bits of each (binary, ascending)."""
+    """``doc_id``, ``n``, ``s`` and ``f`` of the documents in ``ids`` (a written table): the size of the set,
+    the whole set and its ``FULL`` smallest values, 32 bits of each (binary, ascending)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,7 +115,8 @@ def _set_table(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()),
                  pa.array(short, pa.binary())], names=["doc_id", "n", "s", "f"])
 
-    return docs.join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, s binary, f binary")
+    few = ids.count() <= PICKED
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, n long, s binary, f binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -239,9 +244,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rare = values.where(f"m <= {SHORT}").select("v", "rep", "n")
     near = (rare.toDF("v", "a", "n_a").join(rare.toDF("v", "b", "n_b"), "v")
             .where("a < b and 4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)").select("a", "b").distinct())
-    hot = values.where(f"m > {SHORT}").select("v", "rep", "n")
-    heads = written(hot.groupBy("v").agg(F.min("rep").alias("head"), F.count("*").alias("m")), "heads")
-    stars = hot.join(heads, "v").where("rep > head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    hot = values.where(f"m > {SHORT}").select("v", "rep", "n", "m")
+    heads = written(hot.groupBy("v").agg(F.min("rep").alias("head")), "heads")
+    # a row per node, so that its component is looked up once and not for each of its lists
+    held = written(hot.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("m", "v")), asc=False)["v"].alias("vs")), "held")
+    stars = (held.select("rep", F.explode(F.slice("vs", 1, HEADS)).alias("v")).join(heads, "v").where("rep > head")
+             .select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct())
 
     def promising(frame: DataFrame) -> DataFrame:
         for side in "ab":
@@ -250,11 +258,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     stars = promising(stars)
     pairs = written(pairs.union(promising(near)).distinct(), "pairs")
-    # a row per node, so that its component is looked up once and not for each of its lists
-    held = written(hot.groupBy("rep", "n").agg(F.collect_list("v").alias("vs")), "held")
 
     first = written(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct(), "first")
-    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id").join(many.toDF("doc_id"), "doc_id", "left_anti")
+    ids = written(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc_id").join(many.toDF("doc_id"), "doc_id", "left_anti"), "ids")
     sets = whole.union(written(_set_table(source, ids, words), "whole")).select("doc_id", "s")
     links = written(_linked(first, sets, percent), "links")
     tested, comp = first, written(components(links), "components")
@@ -267,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long_lists = not heads.isEmpty()
     while True:
         if long_lists:
-            later = later.union(_blocks(of(held, "rep").select("rep", "n", "rep_comp", F.explode("vs").alias("v")), heads, tested, sized))
+            later = later.union(_blocks(of(held, "rep").select("rep", "n", "rep_comp", F.explode("vs").alias("v")), tested, sized))
         later = written(later.distinct().join(tested, ["a", "b"], "left_anti"), "later")
         if later.isEmpty():
             break
@@ -289,14 +295,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _blocks(hot: DataFrame, heads: DataFrame, tested: DataFrame, sized: DataFrame) -> DataFrame:
+def _blocks(hot: DataFrame, tested: DataFrame, sized: DataFrame) -> DataFrame:
     """Proposed pairs (a, b) of the long lists: each node outside the component
     of its list's head against all nodes of the list. Sketches join the
     rows of lists with such nodes alone."""
-    rows = hot.join(heads, "v")
-    top = rows.where("rep = head").select("v", F.col("rep_comp").alias("head_comp"))
-    apart = rows.join(top, "v").where("rep_comp != head_comp").groupBy("v").agg(F.count("*").alias("apart"))
-    rows = written(rows.join(top, "v").join(apart, "v"), "blocks")
+    comps = hot.groupBy("v", "rep_comp").agg(F.min("rep").alias("head"), F.count("*").alias("held"))
+    lists = comps.groupBy("v").agg(F.min(F.struct("head", "rep_comp", "held")).alias("top"), F.sum("held").alias("m"))
+    lists = lists.select("v", F.col("top.rep_comp").alias("head_comp"), "m", (F.col("m") - F.col("top.held")).alias("apart"))
+    lists = written(lists.where("apart > 0"), "lists")  # the others hold one component
+    rows = written(hot.join(lists, "v"), "blocks")
     done = tested.select(F.col("a").alias("rep"), F.col("b").alias("o")).union(tested.select("b", "a"))
     left = rows.where("rep_comp != head_comp").select("rep")
     done = done.join(left, "rep", "left_semi").groupBy("rep").agg(F.collect_set("o").alias("tested"))
