@@ -108,19 +108,16 @@ class Encoder:
                 known[x] = self._ids(["\n", x[1:]], self.bare, "")
                 continue
             body = x if x.isalpha() else x.rstrip(_TAIL)
-            if not body.isalpha():
-                hard.append(x)
+            if not body.isalpha() or not (body.isascii() or max(body) < "Ā"):
+                hard.append(x)  # beyond Latin-1, lowering may give a mark that belongs to the tail
                 continue
             ids = known.get(body) or older.get(body)
             if ids is None:
                 if body.isascii():
                     shown = mark + body
-                elif max(body) < "Ā":
+                else:
                     lower = body.lower() if self.kind == "word" else body
                     shown = (before + lower).encode().decode("latin-1").translate(self.letters)
-                else:
-                    hard.append(x)
-                    continue
                 ids = _bytes([t.id for t in tokenize(shown)])
             if body is not x:
                 known[body] = ids

@@ -178,7 +178,7 @@ def tokenizer(name):
 
 
 ODD_TEXTS = ["", "a  b", "a\n\n b", " \n\tx", "it's  'S <|endoftext|> 12", "é É  ñ", "ΣΑΣ İ", "x " * 50, "tail  ", "tab\t\tword",
-             "<|startoftext|>x", "<|ENDOFTEXT|>"]
+             "<|startoftext|>x", "<|ENDOFTEXT|>", "İ İ.) İ"]
 
 
 def test_token_files(spark, odd):
