@@ -41,6 +41,25 @@ def test_a_million_keywords(spark):
     assert got == {1: True, 2: False, 3: False, 4: True}
 
 
+def test_keyword_tables_that_fit_shuffle_no_tokens(spark, monkeypatch):
+    """The broadcast form and the salted one give the same flags; the first joins tokens where they are."""
+    texts = [(i, "early flood of cash aid " * (i % 3) + "x") for i in range(30)] + [(None, "flood of cash")]
+    df = spark.createDataFrame(texts, "id int, text string")
+    table = spark.createDataFrame([("flood of", "CF"), ("aid x", "PAF"), ("early", "AA"), ("of the", "CF")], "keyword string, category string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = KW.keyword_flags(df, "id", "text", table, punct="ascii")
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [token" in plan and "SortMergeJoin [token" not in plan and "hashpartitioning(token" not in plan
+        monkeypatch.setattr(KW, "BROADCAST_ROWS", 0)
+        many = KW.keyword_flags(df, "id", "text", table, punct="ascii")
+        assert "SortMergeJoin [token" in many._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = Counter(tuple(x) for x in few.collect())
+    assert got == Counter(tuple(x) for x in many.collect()) and {x[1:] for x in got} >= {(True, True, True), (False, False, False)}
+
+
 @pytest.mark.parametrize("tracked", [4096, 16])
 def test_top_values(spark, monkeypatch, tracked):
     """Sure of the sketch's candidates, and counting all where it is not."""
