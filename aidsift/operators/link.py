@@ -8,8 +8,8 @@ description), where a stage wins with 1..5 matches.
 Spark form: no per-row loops. Substring tests run as *equi-joins on an
 index key* followed by an exact ``contains`` check:
 
-* ``hash``: anchors of hashed grams (``operators/substring.py``); serves
-  needles of every length.
+* ``hash``: one anchor per needle of hashed grams (``operators/substring.py``);
+  serves needles of every length.
 * ``token``: if needle ``s`` (split on single blanks) has >= 3 pieces, each
   interior piece is a whole blank-separated token of any text containing
   ``s``. Join on (block, anchor token) against the exploded distinct tokens
@@ -27,7 +27,7 @@ from typing import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .substring import substring_pairs
+from .substring import WIDEST, digest, substring_pairs
 
 
 def _c(c) -> Column:
@@ -123,43 +123,21 @@ def _interior_tokens(s: Column) -> Column:
     return F.slice(toks, 2, F.greatest(F.size(toks) - 2, F.lit(0)))
 
 
-def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str, text: str,
-                  block_a: str | None = None, block_b: str | None = None,
-                  method: str = "hash", anchor: str = "rarest", df_sample: float = 0.05) -> DataFrame:
-    """JN15: all pairs (a_id, b_id) where lower(needle) is a substring of
-    lower(text), within equal blocks. Returns ``a_id, b_id``. An empty needle
-    says nothing about a text and gives no pairs.
-
-    ``method`` = ``hash`` | ``token`` (see module doc). ``anchor``, for tokens,
-    = ``rarest`` (document frequency over all of ``b``, robust to hot
-    tokens), ``sampled`` (the same frequencies estimated on a seeded
-    ``df_sample`` share of ``b``: a cheap statistics pass; the pairs stay
-    exact, only the choice of index key uses the estimate) or ``longest``
-    (no frequency pass).
-    """
-    A = a.select(F.col(a_id).alias("__a"), F.lower(F.col(needle)).alias("__s"),
-                 *([F.col(block_a).alias("__blk")] if block_a else [])).where(F.col("__s") != "")
-    B = b.select(F.col(b_id).alias("__b"), F.lower(F.col(text)).alias("__t"),
-                 *([F.col(block_b).alias("__blk")] if block_b else [])).where(F.col("__t").isNotNull())
-    blk = ["__blk"] if block_a else []
-
-    def hashed(A_):
-        block = (lambda X: X) if blk else (lambda X: X.withColumn("__blk", F.lit(0)))
-        pairs = substring_pairs(block(A_).select("__blk", "__s"), block(B).select("__blk", "__b", "__t"))
-        return block(A_).select("__a", "__blk", "__s").join(pairs, ["__blk", "__s"]).select("__a", "__b")
-
+def _needle_pairs(needles: DataFrame, texts: DataFrame, method: str, anchor: str, df_sample: float, widest: int) -> DataFrame:
+    """``__blk, __n, __b``: distinct needles ``__s`` (as digests) and the rows ``__b`` of texts ``__t`` of their block that hold them."""
     if method == "hash":
-        return hashed(A).withColumnsRenamed({"__a": a_id, "__b": b_id})
+        return substring_pairs(needles, texts, widest)
     if method != "token":
         raise ValueError(method)
-    A = A.withColumn("__keys", F.array_distinct(_interior_tokens(F.col("__s"))))
+    A = needles.withColumn("__keys", F.array_distinct(_interior_tokens(F.col("__s"))))
     A = A.withColumn("__keys", F.filter("__keys", lambda x: x != ""))
+    B = texts
+    blk = ["__blk"]
     keys_of = lambda X: X.select("__b", "__h", *blk, F.explode(F.array_distinct(F.split("__t", " "))).alias("__k"))
 
-    # Needles are matched once per (block, needle) and mapped back to their rows at
-    # the end; a text is found again by id and hash, so ids may repeat on both sides.
-    needles = A.drop("__a").dropDuplicates([*blk, "__s"])
-    indexable = needles.where(F.size("__keys") > 0)
+    # Needles are matched once per (block, needle) and mapped back to their rows by
+    # the caller; a text is found again by id and hash, so ids may repeat on both sides.
+    indexable = A.where(F.size("__keys") > 0).dropDuplicates([*blk, "__s"])
     rest = A.where(F.size("__keys") == 0).drop("__keys")
     wanted = indexable.select(*blk, F.explode("__keys").alias("__k"))
     B = B.withColumn("__h", F.xxhash64("__t"))
@@ -179,12 +157,40 @@ def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str,
         anchored = indexable.select(*blk, "__s", F.element_at(F.array_sort(F.transform(
             "__keys", lambda k: F.struct((-F.length(k)).alias("l"), k.alias("k")))), 1)["k"].alias("__k"))
     cand = anchored.join(B_keys, blk + ["__k"]).select(*blk, "__s", F.col("__b").alias("__cb"), F.col("__h").alias("__ch")).distinct()
-    texts = B.select("__b", "__h", "__t", *[F.col(c).alias("__tblk") for c in blk])
-    same = (F.col("__h") == F.col("__ch")) & F.col("__b").eqNullSafe(F.col("__cb"))
-    if blk:
-        same = same & (F.col("__tblk") == F.col("__blk"))
-    hits = cand.join(texts, same).where(F.contains(F.col("__t"), F.col("__s"))).select(*blk, "__s", "__b")
-    out = A.select("__a", *blk, "__s").join(hits, blk + ["__s"]).select("__a", "__b").unionByName(hashed(rest))
+    whole = B.select("__b", "__h", "__t", *[F.col(c).alias("__tblk") for c in blk])
+    same = (F.col("__h") == F.col("__ch")) & F.col("__b").eqNullSafe(F.col("__cb")) & (F.col("__tblk") == F.col("__blk"))
+    hits = cand.join(whole, same).where(F.contains(F.col("__t"), F.col("__s"))).select(*blk, digest(F.col("__s")).alias("__n"), "__b")
+    return hits.unionByName(substring_pairs(rest, B.drop("__h"), widest))
+
+
+def _needles(df: DataFrame, needle: str, block: str | None) -> DataFrame:
+    block = F.col(block) if block else F.lit(0)
+    return df.select("*", F.lower(F.col(needle)).alias("__s"), block.alias("__blk")).where(F.col("__s") != "")
+
+
+def _texts(b: DataFrame, b_id: str, text: str, block: str | None) -> DataFrame:
+    block = F.col(block) if block else F.lit(0)
+    return b.select(F.col(b_id).alias("__b"), F.lower(F.col(text)).alias("__t"), block.alias("__blk")).where(F.col("__t").isNotNull())
+
+
+def contains_join(a: DataFrame, b: DataFrame, a_id: str, needle: str, b_id: str, text: str,
+                  block_a: str | None = None, block_b: str | None = None,
+                  method: str = "hash", anchor: str = "rarest", df_sample: float = 0.05) -> DataFrame:
+    """JN15: all pairs (a_id, b_id) where lower(needle) is a substring of
+    lower(text), within equal blocks. Returns ``a_id, b_id``. An empty needle
+    says nothing about a text and gives no pairs.
+
+    ``method`` = ``hash`` | ``token`` (see module doc). ``anchor``, for tokens,
+    = ``rarest`` (document frequency over all of ``b``, robust to hot
+    tokens), ``sampled`` (the same frequencies estimated on a seeded
+    ``df_sample`` share of ``b``: a cheap statistics pass; the pairs stay
+    exact, only the choice of index key uses the estimate) or ``longest``
+    (no frequency pass).
+    """
+    A = _needles(a.select(F.col(a_id).alias("__a"), F.col(needle).alias("__raw"), *([F.col(block_a).alias("__ablk")] if block_a else [])),
+                 "__raw", "__ablk" if block_a else None)
+    pairs = _needle_pairs(A.select("__blk", "__s"), _texts(b, b_id, text, block_b), method, anchor, df_sample, WIDEST)
+    out = A.select("__a", "__blk", digest(F.col("__s")).alias("__n")).join(pairs, ["__blk", "__n"]).select("__a", "__b")
     return out.withColumnsRenamed({"__a": a_id, "__b": b_id})
 
 
@@ -215,52 +221,56 @@ def link_cascade(a: DataFrame, b: DataFrame, *, a_id: str, a_block: str | None,
     ``matched_text``, ``match_type`` ("" when unmatched) and, if ``over`` names it, whether
     some stage had more than ``max_matches``.
     """
-    cols = [a_id] + ([a_block] if a_block else []) + ([year] if year else [])
+    cols = [a_id] + ([a_block] if a_block else [])
     base = a.select(*cols, *([number] if number else []), *texts)
-    # stage 0: identifier needles against identifiers
+
+    def counted(needles, text, method, widest):
+        """Matches and first position by (row, stage). Needles are counted once per (block, needle) and (year interval), so
+        equal needles of many rows never multiply with their texts."""
+        needles = _needles(needles, "__raw", a_block)
+        hits = _needle_pairs(needles.select("__blk", "__s"), _texts(b, b_pos, text, b_block), method, anchor, 0.05, widest)
+        rows = needles.select(F.col(a_id).alias("__a"), "__stage", "__blk", digest(F.col("__s")).alias("__n"))
+        if year:
+            hits = hits.join(b.select(F.col(b_pos).alias("__b"), F.col(b_lo).alias("__lo"), F.col(b_hi).alias("__hi")), "__b")
+            rows = rows.join(a.select(F.col(a_id).alias("__a"), F.col(year).alias("__yr")), "__a")
+        hits = hits.groupBy("__blk", "__n", *(["__lo", "__hi"] if year else [])).agg(
+            F.count(F.lit(1)).alias("__n_hits"), F.min("__b").alias("__least"))
+        rows = rows.join(hits, ["__blk", "__n"])
+        if year:
+            rows = rows.where((F.col("__yr") >= F.col("__lo")) & (F.col("__yr") <= F.col("__hi")))
+        return rows.select("__a", "__stage", "__n_hits", "__least")
+
     parts = []
+    # stage 0: identifier needles against identifiers, which share their beginnings: all their grams are indexed
     if number:
-        ids = base.select(a_id, *([a_block] if a_block else []),
-                          prefixed_id(F.col(a_block) if a_block else F.lit(""), number).alias("__s"))
-        pid = contains_join(ids, b, a_id, "__s", b_pos, b_ident, a_block, b_block, method=id_method)
-        parts.append(pid.withColumn("__stage", F.lit(0)))
+        ids = base.select(*cols, F.lit(0).alias("__stage"), prefixed_id(F.col(a_block) if a_block else F.lit(""), number).alias("__raw"))
+        parts.append(counted(ids, b_ident, id_method, 1))
     # text stages: needles stacked as (a_id, stage, needle) -> one join
-    stacked = base.select(a_id, *([a_block] if a_block else []), F.explode(F.array(*[
+    stacked = base.select(*cols, F.explode(F.array(*[
         F.struct(F.lit(i + 1).alias("stage"), F.col(t).alias("needle")) for i, t in enumerate(texts)
-    ])).alias("__st")).select(a_id, *([a_block] if a_block else []),
-                              F.col("__st.stage").alias("__stage"), F.col("__st.needle").alias("__s"))
-    stacked = stacked.where(F.col("__s").isNotNull() & (F.length("__s") > min_len))
-    stacked = stacked.withColumn("__sid", F.struct(F.col(a_id).alias("a"), F.col("__stage").alias("s")))
-    tj = contains_join(stacked, b, "__sid", "__s", b_pos, b_text, a_block, b_block, method=text_method,
-                       anchor=anchor)
-    parts.append(tj.select(F.col("__sid.a").alias(a_id), b_pos, F.col("__sid.s").alias("__stage")))
+    ])).alias("__st")).select(*cols, F.col("__st.stage").alias("__stage"), F.col("__st.needle").alias("__raw"))
+    stacked = stacked.where(F.col("__raw").isNotNull() & (F.length("__raw") > min_len))
+    parts.append(counted(stacked, b_text, text_method, WIDEST))
     pairs = parts[0]
     for p in parts[1:]:
         pairs = pairs.unionByName(p)
-    # year interval on the (few) substring pairs, not on all block pairs
-    if year:
-        yr = a.select(a_id, year)
-        iv = b.select(b_pos, b_lo, b_hi)
-        pairs = pairs.join(yr, a_id).join(iv, b_pos) \
-            .where((F.col(year) >= F.col(b_lo)) & (F.col(year) <= F.col(b_hi))).select(a_id, b_pos, "__stage")
-    per_stage = pairs.groupBy(a_id, "__stage").agg(F.count(F.lit(1)).alias("__n"),
-                                                  F.min(b_pos).alias("__first"))
+    per_stage = pairs.groupBy(F.col("__a").alias(a_id), "__stage").agg(F.sum("__n_hits").alias("__n"), F.min("__least").alias("__first"))
     wins = F.when(F.col("__n") <= max_matches, F.col("__stage"))
     winner = per_stage.groupBy(a_id).agg(F.min_by(F.struct("__stage", "__first"), wins).alias("__w"),
                                          (F.max("__n") > max_matches).alias("__over"))
     names = F.array(*[F.lit(s) for s in stage_names])
     bt = b.select(F.col(b_pos).alias("__first"), F.col(b_ident).alias("matched_identifier"),
                   F.col(b_text).alias("matched_text"))
-    w = winner.select(a_id, F.col("__w.__stage").alias("__stage"), F.col("__w.__first").alias("__first"), "__over") \
-        .join(bt, "__first", "left")
-    out = a.join(w, a_id, "left")
+    w = winner.select(a_id, F.col("__w.__stage").alias("__stage"), F.col("__w.__first").alias("__first"), "__over")
+    # texts join last, so that they are shuffled once
+    out = a.join(w, a_id, "left").join(bt, "__first", "left").select(*a.columns, "__stage", "__over", "matched_identifier", "matched_text")
     return out.withColumns({
         "matched_identifier": F.coalesce(F.col("matched_identifier"), F.lit("")),
         "matched_text": F.coalesce(F.col("matched_text"), F.lit("")),
         "match_type": F.when(F.col("__stage").isNull(), F.lit("")).otherwise(
             F.try_element_at(names, F.col("__stage") + 1)),
         **({over: F.coalesce("__over", F.lit(False))} if over else {}),
-    }).drop("__stage", "__first", "__over")
+    }).drop("__stage", "__over")
 
 
 def first_match(df: DataFrame, key: str, order_col: str, cols: Sequence[str]) -> DataFrame:

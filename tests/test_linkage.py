@@ -79,3 +79,58 @@ def test_interval_join_any_length(spark):
     plan = K.interval_join(a, b, "blk", "bblk", "yr", "lo", "hi")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert K.interval_join(a, b.where(F.lit(False)), "blk", "bblk", "yr", "lo", "hi").collect() == []
+
+
+@pytest.mark.parametrize("widest", [1, 16])
+def test_pairs_of_long_needles(spark, widest):
+    """Needles of every gram size, up to whole texts."""
+    r = random.Random(8)
+    words = ["river", "stone", "été", "the", "of", "hill-side"]
+    texts = [(i, " ".join(r.choices(words, k=r.choice([3, 12, 80])))) for i in range(60)]
+    needles = [t[at:at + n] for _, t in texts for n in (5, 21, 23, 24, 47, 48, 70, 1000) for at in [r.randrange(20)]]
+    needles = [s for s in needles if s] + ["not there " * 9]
+    a = spark.createDataFrame([(0, s) for s in needles + needles[:9]], "__blk int, __s string")
+    b = spark.createDataFrame([(0, i, t) for i, t in texts + texts[:4]], "__blk int, __b int, __t string")
+    digests = {bytes(x["n"]): x["__s"] for x in a.select("__s", substring.digest(F.col("__s")).alias("n")).collect()}
+    got = Counter((digests[bytes(x["__n"])], x["__b"]) for x in substring.substring_pairs(a, b, widest).collect())
+    assert got == Counter((s, i) for s in set(needles) for i, t in texts + texts[:4] if s in t)
+
+
+def test_a_long_needle_takes_one_row_of_the_index(spark, monkeypatch):
+    """Whole texts as needles: what is kept between jobs does not grow with their length."""
+    kept, cut = [], substring.cut_lineage
+    monkeypatch.setattr(substring, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    r = random.Random(9)
+    text = " ".join(str(r.randrange(10 ** 9)) for _ in range(10_000))
+    a, b = spark.createDataFrame([(1, text)], "id int, s string"), spark.createDataFrame([(2, "x " + text), (3, "y")], "bid int, t string")
+    assert [tuple(x) for x in K.contains_join(a, b, "id", "s", "bid", "t").collect()] == [(1, 2)]
+    assert [df.count() for df in kept] == [1]
+
+
+def test_cascade_counts_equal_needles_once(spark):
+    """Rows with equal needles meet the needle's count, not its texts: no join of rows with single texts."""
+    a = spark.createDataFrame([(i, "o", "the same title of many rows", 2015 + i % 3) for i in range(60)], "id int, org string, t string, yr int")
+    b = spark.createDataFrame([(i, "o", f"n{i}", f"the same title of many rows, {i}", 2015, 2015 + (i == 3)) for i in range(7)],
+                              "pos int, borg string, ident string, text string, lo int, hi int")
+    out = K.link_cascade(a, b, a_id="id", a_block="org", number=None, texts=["t"], b_pos="pos", b_ident="ident", b_text="text", b_block="borg",
+                         year="yr", b_lo="lo", b_hi="hi", over="over")
+    got = Counter((x["yr"], x["matched_identifier"], x["over"]) for x in out.collect())
+    assert got == {(2015, "", True): 20, (2016, "n3", False): 20, (2017, "", False): 20}
+    plan = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    counts = [i for i, x in enumerate(plan) if "Aggregate" in x and "__n_hits" in x and "__lo" in x]
+    verified = [i for i, x in enumerate(plan) if "Join" in x and "Contains" in x]
+    rows = [i for i, x in enumerate(plan) if "Join" in x and "__yr" in x and "__lo" in x]
+    assert counts and verified and rows and rows[0] < counts[0] < verified[0]
+
+
+def test_register_documents_are_not_shuffled_by_language(spark, tmp_path):
+    from aidsift.plans.q_link import _register_link
+    spark.createDataFrame([(i, f"title of document {i}, long enough\nsecond\nthird", x) for i, x in enumerate(["en", "fr", "de", "es", None] * 4)],
+                          "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, f'<html lang="en">title of document {i}, long enough</html>') for i in range(20)],
+                          "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    out = _register_link(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(lang" not in plan and "hashpartitioning(rblk" not in plan
+    got = {x["doc_id"]: x["match_type"] for x in out.collect()}
+    assert len(got) == 20 and "identifier" in got.values() and all(got[i] == "" for i in got if i % 5)
