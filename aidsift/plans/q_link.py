@@ -167,7 +167,7 @@ win AS (SELECT doc_id, min(stage) AS stage, arg_min(first_pos, stage) AS pos FRO
 
 def _register_link(spark, sf):
     d, p = T(spark, sf, "documents"), T(spark, sf, "pages")
-    donors = spark.createDataFrame(list(ORG_REFS.items()), "lang string, blk string")
+    donors = F.broadcast(spark.createDataFrame(list(ORG_REFS.items()), "lang string, blk string"))  # a few rows: documents are not shuffled by language
     lines = F.split("text", "\n")
     a = K.lookup(d.select("doc_id", "lang", "text"), donors, "lang").select(
         "doc_id", "blk", (F.lit(2013) + F.col("doc_id") % 11).cast("int").alias("yr"),
@@ -181,7 +181,7 @@ def _register_link(spark, sf):
     lo, hi = K.date_bounds(dates)
     b = p.select(F.col("page_id").alias("pos"), ref.alias("rblk"), F.concat(ref, F.lit("-"), F.col("page_id").cast("string")).alias("ident"),
                  F.col("html").alias("text"), lo.alias("lo"), hi.alias("hi"))
-    b = b.join(donors.select(F.col("blk").alias("rblk")), "rblk", "left_semi").where("hi >= 2017")
+    b = b.join(F.broadcast(donors.select(F.col("blk").alias("rblk"))), "rblk", "left_semi").where("hi >= 2017")
     return K.link_cascade(a, b, a_id="doc_id", a_block="blk", number="num", texts=["title", "short", "long"], b_pos="pos", b_ident="ident",
                           b_text="text", b_block="rblk", year="yr", b_lo="lo", b_hi="hi", over="over_five")
 
