@@ -154,8 +154,11 @@ def matcher_of(terms: tuple[str, ...], stems: tuple[str, ...]) -> Matcher:
 def glued(matcher: Matcher, low: str, spans: list[re.Match]) -> dict[int, int]:
     """Of misspelt terms with digits or signs between their letters: the first of the
     words that make them up, and the one behind the last. Words that match as they are do not take part."""
+    found = list(GAP.finditer(low))
+    if not found:
+        return {}
     starts, out, match = {m.start(): i for i, m in enumerate(spans)}, {}, matcher.match
-    gaps = {starts[g.end()]: len(g[0]) for g in GAP.finditer(low)}  # by the word behind the gap
+    gaps = {starts[g.end()]: len(g[0]) for g in found}  # by the word behind the gap
     for i, size in gaps.items():
         ends = [i + 1, i + 2] if size == 1 and gaps.get(i + 1) == 1 else [i + 1]
         for e in ends:
@@ -187,9 +190,11 @@ def features(matcher: Matcher, text: str) -> list[float]:
     all in quotation, and the share of matched words."""
     match = matcher.match
     low = text.lower()
-    spans = list(WORD.finditer(low))
-    words = [m[0] for m in spans]
+    words = WORD.findall(low)
     hit = {w: k for w in set(words) if (k := match(w))}
+    if not hit and not GAP.search(low):  # most texts: places of words are not needed
+        return [0.0] * FEATURES
+    spans = list(WORD.finditer(low))
     joined = glued(matcher, low, spans)
     if not hit and not joined:
         return [0.0] * FEATURES

@@ -234,3 +234,22 @@ def test_every_conversation_is_returned(spark):
     ids = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct()
     assert got.count() == ids.count() == got.select("conv_id").distinct().count()
     assert got.where(~F.col("audit").rlike("^[KRDI]*$") | F.col("cost").isNull()).isEmpty()
+
+
+def test_toxicity_places_words_only_where_needed(monkeypatch):
+    """A text without matched words or glued ones is not searched for the places of its words; others score as before."""
+    from aidsift.llm import toxicity as X
+
+    class Words:
+        findall, places = X.WORD.findall, 0
+
+        def finditer(self, text):
+            self.places += 1
+            return real.finditer(text)
+
+    real, words = X.WORD, Words()
+    monkeypatch.setattr(X, "WORD", words)
+    matcher = X.Matcher(["horrible"], ["zqx"])
+    assert X.features(matcher, "a calm text of words") == X.features(matcher, "") == [0.0] * X.FEATURES and words.places == 0
+    assert [sum(x > 0 for x in X.features(matcher, t)[:4]) for t in ("so horrible", "so horible", "ho.rrible it is", "zqxy", "no-one")] == [1, 1, 1, 1, 0]
+    assert words.places == 5
