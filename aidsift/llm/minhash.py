@@ -20,10 +20,12 @@ similarity of their sets is at least ``percent`` / 100.
    Short lists again give pairs. In long ones the nodes are compared by their
    sketches: first with the smallest ids of a node's ``HEADS`` longest lists; then each node outside
    the component of a list's smallest id, in blocks, with all nodes of the list. Each round proposes the
-   best few untested partners per node and ends when none is left, so nothing
-   is capped and a large group of near copies costs a link for each copy.
+   best few untested partners per node, of as many components as it can. Lists whose nodes have further
+   ones are looked at again until none has, so nothing is capped and a large group of near copies costs a
+   link for each copy.
 5. The union-sketch estimate filters, the exact similarity of the full sets
-   confirms, and star contraction gives the components.
+   confirms, and star contraction gives the components. Of sets that sketches hold whole the filter is
+   exact, but for values that 32 bits take for one, so few pairs are tested in vain.
 
 Rows with a null id are not linked and kept; rows that repeat an id count as
 one document; other columns are not read.
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import written
+from .worker import release
 from .wordhash import mix, words as words_of
 
 SHINGLE_WORDS = 5
@@ -53,7 +56,9 @@ FULL = 1024
 #: Nodes of a long list that are compared as one block.
 BLOCK = 512
 #: Shared values of a block's sketches that are multiplied at a time.
-COLUMNS = 4096
+COLUMNS = 2048
+#: Rows of a block whose estimates are made at a time.
+ROWS = 64
 #: Untested partners a node of a block may propose in a round.
 BEST = 8
 #: Of so many of its lists, the longest, a node is compared with the smallest id first; of the others in blocks.
@@ -82,6 +87,7 @@ def sketched(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     indexed of its sketch), ``wide`` (the sketch, upper 32 bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             n, s1, s2, sk, wide = [], [], [], [], []
             for s in shingle_sets(batch.column(1), k):
@@ -160,23 +166,31 @@ def _passes(x: list[np.ndarray], y: list[np.ndarray], n: np.ndarray, m: np.ndarr
         out[held[0][part], held[1][part] - lo] = 1
         return out
 
-    # shared values a few thousand at a time: memory does not grow with their number
+    # shared values a few thousand at a time, estimates a few rows at a time: memory grows with neither
     held_x, held_y = flat(x), flat(y)
     overlap = np.zeros((len(x), len(y)), dtype=np.float32)
     for lo in range(0, len(shared), COLUMNS):
         overlap += table(len(x), held_x, lo) @ table(len(y), held_y, lo).T
-    n, m = n[:, None].astype(float), m[None, :].astype(float)
+    size_x, size_y = (np.array([len(s) for s in z]) for z in (x, y))
     # both sketches hold all values of their sets up to the smaller of their last ones
-    last_x, last_y = ([s[-1] if size > len(s) else np.iinfo(np.int64).max for s, size in zip(z, k.ravel())] for z, k in ((x, n), (y, m)))
-    in_x = np.stack([np.searchsorted(s, last_y, side="right") for s in x])
-    in_y = np.stack([np.searchsorted(s, last_x, side="right") for s in y]).T
-    union = np.maximum(in_x + in_y - overlap, 1)
-    est = overlap / union
-    whole = np.maximum((n + m) / (1 + est), union)
-    # 32 bits may take two of a set's values for one, hardly ever more than two such pairs
-    slack = 2 / union + 5 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / union * (1 - union / whole))
-    good = (est >= PERCENT / 100 - slack) & (4 * np.minimum(n, m) >= 3 * np.maximum(n, m))
-    return np.where(good, est, 0.0)
+    last_x, last_y = ([s[-1] if size > FULL else np.iinfo(np.int64).max for s, size in zip(z, k)] for z, k in ((x, n), (y, m)))
+    m = m.astype(float)
+    for lo in range(0, len(x), ROWS):
+        part = slice(lo, lo + ROWS)
+        k, both = n[part, None].astype(float), overlap[part].astype(float)
+        in_x = np.stack([np.searchsorted(s, last_y, side="right") for s in x[part]])
+        in_y = np.stack([np.searchsorted(s, last_x[part], side="right") for s in y]).T
+        union = np.maximum(in_x + in_y - both, 1)
+        est = both / union
+        whole = np.maximum((k + m) / (1 + est), union)
+        # 32 bits may take two of a set's values for one, hardly ever more than two such pairs
+        slack = 2 / union + 5 * np.sqrt(PERCENT / 100 * (1 - PERCENT / 100) / union * (1 - union / whole))
+        good = (est >= PERCENT / 100 - slack) & (4 * np.minimum(k, m) >= 3 * np.maximum(k, m))
+        # sets that both sketches hold whole: of the values they share, 32 bits hide as many at most as the smaller loss
+        most = both + np.minimum(k - size_x[part, None], m - size_y)
+        good &= (k > FULL) | (m > FULL) | (100 * most >= PERCENT * (k + m - most))
+        overlap[part] = np.where(good, est, 0.0)
+    return overlap
 
 
 def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -189,21 +203,24 @@ def _promising(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _proposals(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one block of a long list: for each node of the block (role 0) the best
-    partners among the nodes of the slice (role 1) in other components."""
+    partners among the nodes of the slice (role 1) in other components, the best one of each component
+    first. ``more``: the node has further ones in this list ``v``."""
     x, y = pdf[pdf.role == 0], pdf[pdf.role == 1]
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int, bool]] = []
     if len(x) and len(y):
         est = _passes(*([np.frombuffer(f, np.uint32) for f in z.f] for z in (x, y)), x.n.to_numpy(), y.n.to_numpy())
-        est[x.comp.to_numpy()[:, None] == y.comp.to_numpy()[None, :]] = 0
-        names = y.rep.to_numpy()
+        names, comps = y.rep.to_numpy(), y.comp.to_numpy()
         for i in np.flatnonzero(est.any(axis=1)):
+            est[i, comps == x.comp.iloc[i]] = 0
             if x.tested.iloc[i] is not None:
                 est[i, np.isin(names, x.tested.iloc[i])] = 0
-            a = int(x.rep.iloc[i])
-            for j in np.argsort(-est[i], kind="stable")[:BEST]:
-                if est[i, j] > 0:
-                    out.append((min(a, int(names[j])), max(a, int(names[j]))))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+            a, open_ = int(x.rep.iloc[i]), np.flatnonzero(est[i])
+            open_ = open_[np.argsort(-est[i, open_], kind="stable")]
+            later = np.ones(len(open_), dtype=bool)
+            later[np.unique(comps[open_], return_index=True)[1]] = False
+            for j in open_[np.argsort(later, kind="stable")][:BEST]:
+                out.append((int(x.v.iloc[0]), min(a, int(names[j])), max(a, int(names[j])), len(open_) > BEST))
+    return pd.DataFrame(out, columns=["v", "a", "b", "more"]).astype({"v": "int64", "a": "int64", "b": "int64", "more": "bool"})
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
@@ -270,18 +287,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .withColumn(f"{col}_comp", F.coalesce("c", col)).drop("c")
 
     later = of(of(pairs.join(tested, ["a", "b"], "left_anti"), "a"), "b").where("a_comp != b_comp").select("a", "b")
-    long_lists = not heads.isEmpty()
+    open_lists, more = heads.select("v"), not heads.isEmpty()
     while True:
-        if long_lists:
-            later = later.union(_blocks(of(held, "rep").select("rep", "n", "rep_comp", F.explode("vs").alias("v")), tested, sized))
+        if more:
+            hot = of(held, "rep").select("rep", "n", "rep_comp", F.explode("vs").alias("v")).join(open_lists, "v", "left_semi")
+            found = written(_blocks(hot, tested, sized), "proposed")
+            later = later.union(found.select("a", "b"))
+            open_lists = written(found.where("more").select("v").distinct(), "open")
+            more = not open_lists.isEmpty()
         later = written(later.distinct().join(tested, ["a", "b"], "left_anti"), "later")
-        if later.isEmpty():
-            break
         found = written(_linked(later, sets, percent), "links")
         if not found.isEmpty():
             stars = comp.select(F.col("component_id").alias("a"), F.col("id").alias("b"))
             comp = written(components(stars.union(found)), "components")
-        if not long_lists:
+        if not more:  # each node has proposed all that it may be linked with in other components
             break
         tested = written(tested.union(later), "tested")
         later = later.limit(0)
@@ -316,4 +335,4 @@ def _blocks(hot: DataFrame, tested: DataFrame, sized: DataFrame) -> DataFrame:
         "v", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), (spread % n_slices).alias("slice"), "rep", "n",
         F.col("rep_comp").alias("comp"), F.lit(None).cast("array<long>").alias("tested"), F.lit(1).alias("role"))
     return (block.union(others.select(*block.columns)).join(sized.select("rep", "f"), "rep").groupBy("v", "block", "slice")
-            .applyInPandas(_proposals, "a long, b long").distinct())
+            .applyInPandas(_proposals, "v long, a long, b long, more boolean").distinct())
