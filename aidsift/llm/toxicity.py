@@ -23,7 +23,6 @@ its own; other columns are not read.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections import Counter
@@ -36,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
+from .worker import kept
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Up to two digits or signs between letters; more are more edits than any term may have.
@@ -145,10 +145,9 @@ class Matcher:
         return 2 if any(e <= self.term[n] for n, e in self.sets[state]) else 0
 
 
-@functools.lru_cache(maxsize=1)
 def matcher_of(terms: tuple[str, ...], stems: tuple[str, ...]) -> Matcher:
     """The matcher of this Python worker, with the states and words that its tasks have met."""
-    return Matcher(list(terms), list(stems))
+    return kept(Matcher, terms, stems)
 
 
 def glued(matcher: Matcher, low: str, spans: list[re.Match]) -> dict[int, int]:
