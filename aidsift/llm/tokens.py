@@ -17,13 +17,15 @@ straight; all else goes through the whole tokenizer.
 
 from __future__ import annotations
 
-import functools
 import re
 import sys
 from array import array
 
+import numpy as np
 from tokenizers import Tokenizer
 
+from .worker import kept
+
 #: Words that a Python worker keeps, half of them recent; about 200 bytes each.
 CACHE_WORDS = 1_000_000
 _LONG_RUN = re.compile(r"\s\s(?:\s|\Z)")
@@ -71,6 +73,9 @@ class Encoder:
         self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.bare, self.spaced = Words(), Words()  # spaced: of " " + the word
+        #: By id, whether the token begins with a blank.
+        self.blank = np.zeros(1 + max(self.tok.get_vocab().values(), default=0), dtype=bool)
+        self.blank[[i for t, i in self.tok.get_vocab().items() if t.startswith(self.letters[32])]] = True
 
     def encode(self, text: str) -> bytes:
         if any(x in low for low in {text, text.lower()} for x in self.added):
@@ -88,14 +93,9 @@ class Encoder:
         return head + self._ids(rest, self.spaced, " ") if rest else head
 
     def _ids(self, pieces: list[str], words: Words, before: str) -> bytes:
-        got = list(map(words.recent.get, pieces))
-        if None in got:
-            new = [i for i, ids in enumerate(got) if ids is None]
-            self._learn({pieces[i] for i in new}, words, before)
-            known = words.recent
-            for i in new:
-                got[i] = known[pieces[i]]
-        return b"".join(got)
+        if new := set(pieces).difference(words.recent):
+            self._learn(new, words, before)
+        return b"".join(map(words.recent.__getitem__, pieces))
 
     def _learn(self, new: set[str], words: Words, before: str) -> None:
         known, older, tokenize, hard = words.recent, words.older, self.tokenize, []
@@ -124,7 +124,17 @@ class Encoder:
                 ids += self._tail(x[len(body):])
             known[x] = ids
         if hard:
-            known.update(zip(hard, self._whole([before + x for x in hard])))
+            known.update(zip(hard, self._joined(hard) if before else self._whole(hard)))
+
+    def _joined(self, words: list[str]) -> list[bytes]:
+        """Of each word with a blank before it, encoded as one text, which is cut where a token begins with a blank:
+        the pre-tokenizer cuts there too, and no other token of a word without white space does."""
+        if all(x.split() == [x] for x in words):
+            ids = self._whole([" " + " ".join(words)])[0]
+            at = 4 * np.flatnonzero(self.blank[np.frombuffer(ids, dtype=np.uint32)])
+            if len(at) == len(words):
+                return [ids[lo:hi] for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(ids)])]
+        return self._whole([" " + x for x in words])
 
     def _tail(self, tail: str) -> bytes:
         known = self.bare.recent
@@ -137,7 +147,6 @@ class Encoder:
         return [_bytes(e.ids) for e in got]
 
 
-@functools.cache
 def encoder(path: str, kind: str) -> Encoder:
     """The encoder of this Python worker."""
-    return Encoder(path, kind)
+    return kept(Encoder, path, kind)
