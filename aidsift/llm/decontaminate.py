@@ -30,10 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .wordhash import mix, words as words_of
+from .worker import text_place
 
 SHARE = 0.15
 SEED = 5
@@ -206,16 +207,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                       share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found. Rows stay where they are."""
+    width = len(docs.columns)
+    at, more = text_place(docs, text_col)
 
     def against(items: Items):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 keep = np.ones(batch.num_rows, dtype=bool)
-                keep[[r for r, *_ in search(items, batch.column(batch.num_columns - 1))]] = False
-                yield batch.select(range(batch.num_columns - 1)).filter(pa.array(keep))
+                keep[[r for r, *_ in search(items, batch.column(at))]] = False
+                yield batch.select(range(width)).filter(pa.array(keep))
         return run
 
-    text: Column = F.col(text_col).cast("binary").alias("_text_to_search")
     for items in _parts(benchmark, item_col, item_text, share):
-        docs = docs.select(*docs.columns, text).mapInArrow(against(items), docs.schema)
+        docs = docs.select(*docs.columns, *more).mapInArrow(against(items), docs.schema)
     return docs

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .wordhash import flat
+from .wordhash import CHUNK, flat
 
 #: The base kinds, in the order that breaks ties of a start.
 KINDS = ("assign", "access", "hex", "entropy")
@@ -71,16 +71,18 @@ def _extra(text: str, base: list[tuple[int, int, str, str]]) -> list[tuple[int,
     return out
 
 
-def long_runs(data: np.ndarray, off: np.ndarray, size: int = 20) -> np.ndarray:
-    """Whether each text has a run of ``size`` token characters (bytes)."""
-    lo, hi = int(off[0]), int(off[-1])
-    run, have = _TOKEN[data[lo:hi]], 1
-    while have < size and len(run):
-        step = min(have, size - have)
-        run = run[:-step] & run[step:] if len(run) > step else run[:0]
-        have += step
-    ends = np.concatenate([[0], np.cumsum(run, dtype=np.int64), np.full(max(0, hi - lo - len(run)), run.sum(), dtype=np.int64)])
-    return ends[off[1:] - lo] > ends[off[:-1] - lo]
+def long_runs(data: np.ndarray, off: np.ndarray, size: int = 20, chunk: int = CHUNK) -> np.ndarray:
+    """Whether each text has a run of ``size`` token characters (bytes). ``chunk`` places are looked at
+    at a time, so the memory beside the texts does not grow with them."""
+    out = np.zeros(len(off) - 1, dtype=bool)
+    for lo in range(int(off[0]), int(off[-1]), chunk):
+        run, have = _TOKEN[data[lo:min(lo + chunk + size - 1, int(off[-1]))]], 1
+        while have < size and len(run):
+            step = min(have, size - have)
+            run = run[:-step] & run[step:] if len(run) > step else run[:0]
+            have += step
+        out[np.searchsorted(off, lo + np.flatnonzero(run), side="right") - 1] = True
+    return out
 
 
 def text_hash(text: Column) -> Column:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .worker import kept
+from .worker import kept, text_place
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Up to two digits or signs between letters; more are more edits than any term may have.
@@ -292,14 +292,14 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id
     """The rows of ``docs`` with a score below ``threshold``. The text stays with
     its row: scores are joined by id only where a row is to go."""
     model = learn(docs, labels, id_col, text_col)
-    columns = docs.columns
-    text = F.col(text_col).cast("string")
+    width = len(docs.columns)
+    at, more = text_place(docs, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = matcher_of(tuple(model.terms), tuple(model.stems))
         for batch in batches:
-            x = np.array([features(matcher, t.as_py() or "") for t in batch.column(batch.num_columns - 1)]).reshape(-1, FEATURES)
+            x = np.array([features(matcher, t.as_py() or "") for t in batch.column(at)]).reshape(-1, FEATURES)
             keep = pa.array(model.score(x) < threshold, pa.bool_())
-            yield batch.select(range(batch.num_columns - 1)).filter(keep)
+            yield batch.select(range(width)).filter(keep)
 
-    return docs.select(*columns, text.alias("_text_to_score")).mapInArrow(run, docs.schema)
+    return docs.select(*docs.columns, *more).mapInArrow(run, docs.schema)
