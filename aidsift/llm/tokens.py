@@ -18,8 +18,10 @@ straight; all else goes through the whole tokenizer.
 from __future__ import annotations
 
 import re
+import string
 import sys
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -31,6 +33,8 @@ CACHE_WORDS = 1_000_000
 _LONG_RUN = re.compile(r"\s\s(?:\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= )")
 _TAIL = ".,;:!?)\"'|"
+#: What byte-level BPE cuts from the letters before it and keeps together.
+_MARKS = string.punctuation
 
 
 def load(path: str) -> Tokenizer:
@@ -52,15 +56,26 @@ def _bytes(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class Recent(dict):
+    """Ids by word; a word that is not there is learnt."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.learn(word)
+        return ids
+
+
 class Words:
     """Ids by word: the recent ones, and those before them until these fill up."""
 
-    def __init__(self):
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+        self.recent, self.older = Recent(learn), {}
 
     def age(self) -> None:
-        self.older, self.recent = self.recent, {}
+        self.older, self.recent = self.recent, Recent(self.learn)
 
 
 class Encoder:
@@ -72,7 +87,9 @@ class Encoder:
         self.tok, self.kind, self.cache_words = load(path), kind, cache_words
         self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.bare, self.spaced = Words(), Words()  # spaced: of " " + the word
+        self.tail = _TAIL if kind == "word" else _MARKS
+        self.bare, self.spaced = Words(self._bare), Words(self._spaced)  # spaced: of " " + the word
+        self.hard: list[str] = []  # words of ``spaced`` that are still to go through the whole tokenizer
         #: By id, whether the token begins with a blank.
         self.blank = np.zeros(1 + max(self.tok.get_vocab().values(), default=0), dtype=bool)
         self.blank[[i for t, i in self.tok.get_vocab().items() if t.startswith(self.letters[32])]] = True
@@ -85,46 +102,42 @@ class Encoder:
                 words.age()
         if self.kind == "word":  # the normaliser lowers letters one by one; A-Z beforehand makes fewer words
             low = text.lower() if text.isascii() else text.encode().lower().decode()
-            return self._ids(low.replace("\n", " ").split(" "), self.bare, "")
+            return b"".join(map(self.bare.recent.__getitem__, low.replace("\n", " ").split(" ")))
         if _LONG_RUN.search(text):
-            return self._ids(_CUT.split(text), self.bare, "")
+            return b"".join(map(self.bare.recent.__getitem__, _CUT.split(text)))
         first, *rest = text.replace("\n", " \n").split(" ")  # a newline stays with the word behind it
-        head = self._ids([first], self.bare, "")
-        return head + self._ids(rest, self.spaced, " ") if rest else head
-
-    def _ids(self, pieces: list[str], words: Words, before: str) -> bytes:
-        if new := set(pieces).difference(words.recent):
-            self._learn(new, words, before)
-        return b"".join(map(words.recent.__getitem__, pieces))
-
-    def _learn(self, new: set[str], words: Words, before: str) -> None:
-        known, older, tokenize, hard = words.recent, words.older, self.tokenize, []
-        mark = self.letters[32] if before else ""
-        for x in new:
-            if (ids := older.get(x)) is not None:
-                known[x] = ids
-                continue
-            if before and x.startswith("\n"):
-                known[x] = self._ids(["\n", x[1:]], self.bare, "")
-                continue
-            body = x if x.isalpha() else x.rstrip(_TAIL)
-            if not body.isalpha() or not (body.isascii() or max(body) < "Ā"):
-                hard.append(x)  # beyond Latin-1, lowering may give a mark that belongs to the tail
-                continue
-            ids = known.get(body) or older.get(body)
-            if ids is None:
-                if body.isascii():
-                    shown = mark + body
-                else:
-                    lower = body.lower() if self.kind == "word" else body
-                    shown = (before + lower).encode().decode("latin-1").translate(self.letters)
-                ids = _bytes([t.id for t in tokenize(shown)])
-            if body is not x:
-                known[body] = ids
-                ids += self._tail(x[len(body):])
-            known[x] = ids
-        if hard:
-            known.update(zip(hard, self._joined(hard) if before else self._whole(hard)))
+        known = self.spaced.recent
+        ids = b"".join(map(known.__getitem__, rest))
+        if self.hard:
+            known.update(zip(self.hard, self._joined(self.hard)))
+            self.hard = []
+            ids = b"".join(map(known.__getitem__, rest))
+        return self.bare.recent[first] + ids
+
+    def _bare(self, word: str) -> bytes:
+        ids = self.bare.older.get(word) or self._plain(word, self.bare.recent, "", "")
+        return self._whole([word])[0] if ids is None else ids
+
+    def _spaced(self, word: str) -> bytes:
+        if word.startswith("\n"):
+            return self.bare.recent["\n"] + self.bare.recent[word[1:]]
+        ids = self.spaced.older.get(word) or self._plain(word, self.spaced.recent, " ", self.letters[32])
+        if ids is None:  # the hard words of a text are learnt together
+            self.hard.append(word)
+            return b""
+        return ids
+
+    def _plain(self, word: str, known: Recent, before: str, mark: str) -> bytes | None:
+        """Ids of ``before``, which the model shows as ``mark``, and a word of Latin-1 letters with or without a tail; None of others."""
+        body = word if word.isalpha() else word.rstrip(self.tail)
+        if not body.isalpha() or not (body.isascii() or max(body) < "Ā"):
+            return None  # beyond Latin-1, lowering may give a mark that belongs to the tail
+        if body is not word:
+            return known[body] + self.bare.recent[word[len(body):]]
+        if not word.isascii():
+            lower = word.lower() if self.kind == "word" else word
+            mark, word = "", (before + lower).encode().decode("latin-1").translate(self.letters)
+        return _bytes([t.id for t in self.tokenize(mark + word)])
 
     def _joined(self, words: list[str]) -> list[bytes]:
         """Of each word with a blank before it, encoded as one text, which is cut where a token begins with a blank:
@@ -136,12 +149,6 @@ class Encoder:
                 return [ids[lo:hi] for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(ids)])]
         return self._whole([" " + x for x in words])
 
-    def _tail(self, tail: str) -> bytes:
-        known = self.bare.recent
-        if tail not in known:
-            known[tail] = self._whole([tail])[0]
-        return known[tail]
-
     def _whole(self, texts: list[str]) -> list[bytes]:
         got = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [_bytes(e.ids) for e in got]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable
 from typing import Any
 
@@ -22,7 +23,9 @@ def kept(make: Callable, *key: Hashable) -> Any:
 
 def release() -> None:
     """Drop what an earlier stage has left in this worker."""
-    _held.clear()
+    if _held:
+        _held.clear()
+        gc.collect()  # an encoder's words refer back to it
 
 
 def text_place(docs: DataFrame, text_col: str) -> tuple[int, list[Column]]:

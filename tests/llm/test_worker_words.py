@@ -35,3 +35,39 @@ def test_a_worker_keeps_one_thing():
     assert len(worker._held) == 1 and worker.kept(make, 1) is not first
     worker.release()
     assert not worker._held and made == [1, 2, 1]
+
+
+def test_a_known_word_is_looked_up_once():
+    """Nothing but the lookup itself is done for words that have been met; new ones are learnt by it."""
+    encoder, whole = tokens.Encoder(BYTE, "byte"), Tokenizer.from_file(BYTE)
+    marks = "one*** two$$$ three_ four<> five&%@ don't' six's\nseven## \neight\n nine"
+    for t in [marks, marks, "İ.) " + marks, " " + marks.replace(" ", "\n") + " hard1 x" + marks + " hard1"]:
+        assert np.frombuffer(encoder.encode(t), dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert not encoder.hard
+    asked = []
+    words, learn = encoder.spaced.recent, encoder.spaced.recent.learn
+    words.learn = lambda w: (asked.append(w), learn(w))[1]
+    encoder.encode("new one*** two$$$ zwei zwei hard1 hard2 hard2 one***")
+    assert sorted(asked) == ["hard2", "zwei"]
+
+
+def test_words_that_age_are_kept_and_tails_of_marks_need_no_whole_text(monkeypatch):
+    encoder, whole = tokens.Encoder(BYTE, "byte", cache_words=8), Tokenizer.from_file(BYTE)
+    for i in range(6):
+        t = " ".join(["the", "a***", "b\nc", f"n{i}", "", "is", "Éa,", *(f"w{'abcdef'[j]}" for j in range(i + 1))])
+        assert np.frombuffer(encoder.encode(t), dtype="<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert len(encoder.spaced.older) and len(encoder.spaced.recent)
+    encoder, calls = tokens.Encoder(BYTE, "byte"), []
+    encoder.encode("x a***")
+    ask = encoder._whole
+    monkeypatch.setattr(encoder, "_whole", lambda texts: (calls.append(texts), ask(texts))[1])
+    encoder.encode("x other*** words*** elle***")
+    assert not calls
+
+
+def test_what_a_worker_drops_is_gone():
+    import weakref
+
+    held = weakref.ref(worker.kept(tokens.Encoder, BYTE, "byte"))
+    worker.release()
+    assert held() is None
