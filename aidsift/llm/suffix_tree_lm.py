@@ -4,24 +4,24 @@ Symbols are bytes. A text is its words (A-Z lower-cased), each spelled and
 closed by a blank, and then the end, a newline; so the probability of the
 bytes is that of the words. The tree holds contexts of up to ``DEPTH`` bytes.
 
-1. Rows are dealt into chunks of about ``CHUNK`` bytes. A chunk gives each distinct run of
-   ``DEPTH`` bytes and the next one that it has, with how often its training rows hold it.
+1. Rows are dealt into chunks of about ``CHUNK`` bytes. A chunk gives each distinct word, and each distinct run of
+   ``DEPTH`` bytes and the next one, that it has, with how often its training rows hold it.
 2. A context is looked at if it occurs ``LEAST`` times in training, however large that is, and
    retained if its next bytes diverge from its suffix's: n * KL over ``DIVERGENCE`` nats.
    Suffixes of retained contexts stay, and all contexts of up to ``SHORT`` bytes, whose number the alphabet bounds.
 3. Next-symbol distributions are smoothed towards the suffix's by Witten-Bell
    weights, and the root's by one count for each byte, so all are proper.
-4. The runs are a Spark table, in shards by the last ``SHORT`` + 1 bytes of the context. All longer contexts that end
+4. The runs go to shards by the last ``SHORT`` + 1 bytes of the context, sorted and compressed: a row for each chunk and shard. All longer contexts that end
    so are in one shard, which grows its part of the tree and scores its runs; neither the driver nor a task holds more of it.
-5. The scores go back to the chunks. A byte is scored in the state of its longest retained suffix.
+   Words go to shards by their hashes, which sum their counts.
+5. The scores and counts go back to the chunks, in the order in which the keys came; a chunk's texts give the same keys again. Of the
+   runs of one state and last byte, one score is sent. A byte is scored in the state of its longest retained suffix.
    A token's probability is that of its bytes mixed with the word unigram's,
    (1 - ``unigram``) to ``unigram``, which knows whole words better than spelling does. The unigram
    gives a word c / (N + V), c of N training tokens of V kinds, and spreads the rest, V / (N + V), over
    all words by their spelling: the probabilities of all texts sum to 1 at most, unseen words and all.
 
-The unigram score beside it counts words exactly. Words of more than
-1 / ``FREQUENT`` of all tokens, which are fewer than ``FREQUENT``, are known to the tasks; the others
-are joined with their counts, so no key of the join is frequent.
+The unigram score beside it counts words exactly. A chunk asks for each of its words once, so no key is frequent.
 
 A null or empty text has the end token only. Without training texts all
 counts are zero and bytes are equally likely. A null id trains. Repeated rows
@@ -30,30 +30,31 @@ are scored each on its own, and count in training as often as they come.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .wordhash import flat, words as words_of
+from .wordhash import flat, mix, words as words_of
 
 DEPTH = 7
 LEAST = 20
 SHORT = 2
-CHUNK = 8 << 20
-#: Runs of a shard, on average.
-SHARD = 1 << 19
+CHUNK = 28 << 20
+#: Bytes of text for each shard; their runs are about a quarter as many.
+SHARD = 8 << 20
 DIVERGENCE = 6.0
 UNIGRAM = 0.5
-FREQUENT = 50_000
-#: Keys that a task's running counts may hold.
-HELD = 1 << 20
+#: Keys of a chunk that wait for being merged with the others.
+HELD = 1 << 21
+#: Of compression, for the texts of a chunk.
+LEVEL = 5
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 _LOW[0] = 1  # a NUL is spelled so, as 0 stands for what lies before a row
@@ -79,21 +80,27 @@ def spelled(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, off: np.ndar
     return out, begin, np.sort(np.concatenate([place, begin[1:] - 1]))
 
 
-def _inside(begin: np.ndarray) -> np.ndarray:
-    """Of each byte, how many bytes of its row stand before it."""
-    return np.arange(begin[-1], dtype=np.int32) - np.repeat(begin[:-1].astype(np.int32), np.diff(begin))
+def scored_bytes(begin: np.ndarray) -> np.ndarray:
+    """Of each byte, whether it is scored: all but the first of a row."""
+    out = np.ones(begin[-1], dtype=bool)
+    out[begin[:-1]] = False
+    return out
+
+
+def turned_grams(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Of each scored byte: itself, the byte before it, and so on for ``DEPTH`` bytes (0 beyond the row), packed from the highest byte down."""
+    around = np.concatenate([np.zeros(DEPTH, dtype=np.uint8), b])
+    out = np.ndarray(len(b), dtype="<u8", buffer=around, strides=(1,)).astype(np.uint64)
+    for k in range(1, DEPTH):  # places with k bytes of their row before them
+        at = begin[:-1] + k
+        at = at[at < begin[1:]]
+        out[at] &= np.uint64(~((1 << (8 * (DEPTH - k))) - 1) & ((1 << 64) - 1))
+    return out[scored_bytes(begin)]
 
 
 def grams(b: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Of each scored byte: ``DEPTH`` bytes before it (0 beyond the row) and itself, packed."""
-    inside = _inside(begin)
-    out = b.astype(np.uint64)
-    for k in range(1, DEPTH + 1):
-        before = np.zeros(len(b), dtype=np.uint64)
-        before[k:] = b[:-k]
-        before[inside < k] = 0
-        out |= before << np.uint64(8 * k)
-    return out[inside > 0]
+    """``turned_grams`` with their bytes turned round: the last byte lowest."""
+    return turned_grams(b, begin).byteswap()
 
 
 @dataclass
@@ -102,15 +109,16 @@ class Tree:
     child: np.ndarray  # [state, kind of the byte before]
     logs: np.ndarray  # [state, kind of the next byte], log10
 
-    def scores(self, packed: np.ndarray) -> np.ndarray:
-        """The log10 probability of the last byte of each packed run after the others."""
+    def scores(self, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The log10 probability of the last byte of each packed run after the others, and how many of these its state has."""
+        depth = np.zeros(len(packed), dtype=np.uint8)
         state, live = np.zeros(len(packed), dtype=np.int32), np.arange(len(packed))
         for k in range(1, DEPTH + 1):
             before = self.kind[(packed[live] >> np.uint64(8 * k)) & np.uint64(255)]
             deeper = self.child[state[live], before]  # bytes that training lacks, and 0, lead nowhere
             live, deeper = live[deeper > 0], deeper[deeper > 0]
-            state[live] = deeper
-        return self.logs[state, self.kind[packed & np.uint64(255)]]
+            state[live], depth[live] = deeper, k
+        return self.logs[state, self.kind[packed & np.uint64(255)]], depth
 
 
 def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: float, short: int = 0) -> Tree:
@@ -126,14 +134,14 @@ def grow(levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], divergence: fl
     for k in range(1, len(levels)):
         c, after, n = levels[k]
         unique, at = np.unique(c, return_inverse=True)
-        counts = np.zeros((len(unique), width), dtype=np.float64)
-        counts[at, kind[after]] = n
         up = np.searchsorted(contexts[-1], unique & ((1 << (8 * (k - 1))) - 1))  # a suffix is as frequent, so it is there
-        total, kinds, base = counts.sum(axis=1, keepdims=True), (counts > 0).sum(axis=1, keepdims=True), smooth[-1][up]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(counts > 0, counts * np.log(counts / total / base), 0).sum(axis=1)
+        total, kinds, base = np.bincount(at, n, len(unique)), np.bincount(at, minlength=len(unique)), smooth[-1][up]
+        gain = np.bincount(at, n * np.log(n / total[at] / base[at, kind[after]]), len(unique))
+        base *= kinds[:, None]  # in place, as these tables are the largest part of a shard's memory
+        base[at, kind[after]] += n
+        base /= (total + kinds)[:, None]
         contexts.append(unique)
-        smooth.append((counts + kinds * base) / (total + kinds))
+        smooth.append(base)
         parents.append(up)
         keep.append((gain >= divergence) | (k <= short))
     for k in range(len(levels) - 1, 1, -1):
@@ -167,98 +175,201 @@ def level(packed: np.ndarray, n: np.ndarray, k: int, least: int) -> tuple[np.nda
     return c[often], (key & np.uint64(255)).astype(np.int64)[often], n[often]
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``chunk``: rows that follow each other, up to about ``CHUNK`` bytes."""
+def _coded(values: np.ndarray) -> bytes:
+    """``values`` compressed, with all bytes of one significance together."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T), codec="zstd", asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, at = TaskContext.get().partitionId() << 32, 0
-        for batch in batches:
-            size = at + np.cumsum(pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-            at = int(size[-1]) if len(size) else at
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + size // CHUNK)], names=["doc_id", "train", "text", "chunk"])
 
-    return rows.mapInArrow(run, "doc_id long, train boolean, text binary, chunk long")
+def _decoded(data: pa.Buffer, n: int, dtype: type) -> np.ndarray:
+    """The ``n`` values that ``_coded`` made ``data`` of."""
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=n * size, codec="zstd"), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(dtype).reshape(n)
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """``kind`` (0 word, 1 bytes, 2 rows), ``chunk``, ``key``, ``n``: words and rows of training
-    texts, and each run of bytes of a chunk with its count in training texts, which may be 0.
-    A task sums words in a table of at most about ``HELD`` keys and hands it on when full."""
+def _dealt(keys: np.ndarray, n_shards: int, kind: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each shard with the places of its words (kind 0) or runs (1, their bytes turned round) in ``keys``, which ascend."""
+    if kind == 1:  # few ends of runs, which are neighbours
+        end, many = _distinct(keys >> np.uint64(8 * (DEPTH - SHORT - 1)))
+        keys = mix(end & np.uint64((1 << (8 * SHORT + 8)) - 1))
+    shard = ((keys >> np.uint64(32)) * np.uint64(n_shards) >> np.uint64(32)).astype(np.int32)  # words of a shard are near each other
+    shard = np.repeat(shard, many) if kind == 1 else shard
+    order = np.argsort(shard, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+        if len(part):
+            yield int(shard[part[0]]), part
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        rows_seen = 0
 
-        def table(kind: int, chunk: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, dtype=np.int32)), pa.array(np.full(len(key), chunk, dtype=np.int64)),
-                                               pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "chunk", "key", "n"])
+def _firsts(turned: np.ndarray, depth: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each depth: the places of the runs whose state is so deep, and which of them are the first with their state and last byte.
+    Runs of one state and last byte ascend one after the other, but for runs of deeper states."""
+    for k in range(DEPTH + 1):
+        at = np.flatnonzero(depth == k)
+        state = turned[at] >> np.uint64(8 * (DEPTH - k))
+        yield at, np.append(True, state[1:] != state[:-1])[:len(at)]
+
+
+def _scores_coded(turned: np.ndarray, each: np.ndarray, depth: np.ndarray) -> tuple[bytes, bytes]:
+    """The scores of ascending runs, one for each state and last byte, and the depths of the states."""
+    return _coded(np.concatenate([each[at][first] for at, first in _firsts(turned, depth)])), _coded(depth)
+
+
+def _scores_decoded(turned: np.ndarray, data: pa.Buffer, depths: pa.Buffer) -> np.ndarray:
+    depth, out, done = _decoded(depths, len(turned), np.uint8), np.empty(len(turned), dtype=np.float32), 0
+    parts = list(_firsts(turned, depth))
+    values = _decoded(data, sum(int(first.sum()) for _, first in parts), np.float32)
+    for at, first in parts:
+        out[at] = values[done - 1 + np.cumsum(first)]
+        done += int(first.sum())
+    return out
+
+
+def _distinct(ascending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of an ascending array and how often each occurs."""
+    first = np.flatnonzero(np.append(True, ascending[1:] != ascending[:-1])[:len(ascending)])
+    return ascending[first], np.diff(np.append(first, len(ascending)))
+
+
+def _sorted_distinct(*parts: np.ndarray) -> np.ndarray:
+    keys = np.concatenate(parts)
+    keys.sort()
+    return keys[np.append(True, keys[1:] != keys[:-1])[:len(keys)]]
+
+
+FOUND = "kind int, chunk long, shard long, key long, n long, data binary, counts binary"
+
+
+def _counted(rows: DataFrame, n_shards: int) -> DataFrame:
+    """In one pass over the texts, by ``kind``: 0 the distinct words and 1 the distinct runs of bytes of a ``chunk`` that belong
+    to a ``shard`` (``n`` of them; ``data``: the steps between them, runs with their bytes turned round, so that those of
+    one end are neighbours; ``counts``: of each, in training texts, which may be 0); 2 the training texts of some
+    rows (``n``); 3 the last ``SHORT`` + 1 bytes of a chunk's runs with their counts; 4 some rows of a chunk as a compressed Arrow stream."""
+    fields = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("shard", pa.int64()), ("key", pa.int64()), ("n", pa.int64()),
+                        ("data", pa.binary()), ("counts", pa.binary())])
+
+    def table(kind: int, size: int, **columns) -> pa.RecordBatch:
+        columns["kind"] = pa.array(np.full(size, kind, dtype=np.int32))
+        return pa.RecordBatch.from_arrays([columns.get(f.name, pa.nulls(size, f.type)) for f in fields], schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        new: dict[tuple[int, bool], list] = defaultdict(list)  # words and runs, of training texts or others, as they come
+        parts: dict[tuple[int, int], list] = defaultdict(list)  # by kind and shard: ascending keys and their counts
+        ends: list = []
+
+        def sort_in() -> None:
+            for kind in (0, 1):
+                train, other = (np.concatenate([np.zeros(0, dtype=np.uint64), *new.pop((kind, of), [])]) for of in (True, False))
+                train.sort()
+                rest = _sorted_distinct(other)
+                keys, n = _merged([_distinct(train), (rest, np.zeros(len(rest), dtype=np.int64))])
+                if kind:
+                    end, at = np.unique(keys >> np.uint64(8 * (DEPTH - SHORT)), return_index=True)
+                    ends.append((end, np.add.reduceat(n, at) if len(at) else n))
+                for shard, part in _dealt(keys, n_shards, kind):
+                    parts[kind, shard].append((keys[part], n[part].astype(np.uint32)))
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            sort_in()
+            end, n = _merged(ends)
+            ends.clear()
+            yield table(3, len(end), key=pa.array((end << np.uint64(8 * (DEPTH - SHORT))).byteswap().view(np.int64)), n=pa.array(n))
+            while parts:
+                (kind, shard), found = parts.popitem()
+                keys, n = _merged(found) if len(found) > 1 else found[0]
+                yield table(kind, 1, chunk=pa.array([chunk]), shard=pa.array([shard]), n=pa.array([len(keys)]),
+                            data=pa.array([_coded(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), counts=pa.array([_coded(n.astype(np.uint32))], pa.binary()))
 
         for batch in batches:
-            chunks = batch.column(2).to_numpy()
-            bounds = np.concatenate([[0], np.flatnonzero(np.diff(chunks)) + 1, [len(chunks)]])
-            for lo, hi in zip(bounds[:-1], bounds[1:]):
-                if hi == lo:
-                    continue
-                train = batch.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
-                text = batch.column(1).slice(lo, hi - lo)
-                rows_seen += int(train.sum())
-                runs = []
-                for w in words_of(text, lower=True):
-                    b, begin, _ = spelled(flat(text)[0], w.starts, w.ends, w.off)
-                    of = train[w.first:w.first + w.rows]
-                    key, at = np.unique(grams(b, begin), return_inverse=True)
-                    runs.append((key, np.bincount(at, np.repeat(of, np.diff(begin) - 1), len(key)).astype(np.int64)))
-                    held.append(np.unique(w.hashes[np.repeat(of, np.diff(w.off))], return_counts=True))
-                    if sum(len(k) for k, _ in held) > HELD:
-                        held = [_merged(held)]
-                        if len(held[0][0]) > HELD // 2:
-                            yield table(0, 0, *held.pop())
-                if runs:
-                    yield table(1, int(chunks[lo]), *(_merged(runs) if len(runs) > 1 else runs[0]))
-        if held:
-            yield table(0, 0, *_merged(held))
-        if rows_seen:
-            yield table(2, 0, np.zeros(1, dtype=np.uint64), np.array([rows_seen]))
-
-    return rows.select("train", "text", "chunk").mapInArrow(run, "kind int, chunk long, key long, n long")
-
-
-def _run_scores(runs: DataFrame, n_runs: int, least: int, divergence: float) -> DataFrame:
-    """``chunk``, ``key``, ``s``: the log10 probability of each run's last byte."""
-    short = (runs.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * SHORT + 8)) - 1)).alias("key"))
-             .agg(F.sum("n").alias("n")).toArrow())  # as many as the alphabet has runs of SHORT + 1
+            trains, text = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), batch.column(2)
+            data, _ = flat(text)
+            yield table(2, 1, n=pa.array([int(trains.sum())]))
+            for w in words_of(text, lower=True):
+                b, begin, _ = spelled(data, w.starts, w.ends, w.off)
+                turned = turned_grams(b, begin)
+                if size and size + len(turned) > CHUNK:
+                    yield from closed()
+                    chunk, size = chunk + 1, 0
+                size += len(turned)
+                of = trains[w.first:w.first + w.rows]
+                for kind, keys, many in ((0, w.hashes, np.diff(w.off)), (1, turned, np.diff(begin) - 1)):
+                    mine = np.repeat(of, many)
+                    new[kind, True].append(keys[mine])
+                    new[kind, False].append(keys[~mine])
+                if sum(map(len, new[1, True])) + sum(map(len, new[1, False])) > HELD:
+                    sort_in()
+                sink, part = pa.BufferOutputStream(), batch.slice(w.first, w.rows)
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
+                    out.write_batch(part)
+                yield table(4, 1, chunk=pa.array([chunk]), data=pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+        if size:
+            yield from closed()
+
+    return rows.mapInArrow(run, FOUND)
+
+
+def _keys(table: pa.Table) -> Iterator[np.ndarray]:
+    """The ascending keys of each of a shard's rows."""
+    for n, data in zip(table["n"].to_pylist(), table["data"]):
+        yield np.cumsum(_decoded(data.as_buffer(), n, np.uint64))
+
+
+def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The ascending distinct keys of a shard's rows and their counts."""
+    key = _sorted_distinct(*_keys(table))
+    n = np.zeros(len(key), dtype=np.int64)
+    for keys, counts in zip(_keys(table), table["counts"]):
+        n[np.searchsorted(key, keys)] += _decoded(counts.as_buffer(), len(keys), np.uint32)
+    return key, n
+
+
+def _word_counts(found: DataFrame) -> DataFrame:
+    """``chunk``, ``shard``, ``n``, ``data``: the counts in training of the words of a chunk and shard, coded, in their order. Each shard's
+    first row has its ``tokens`` and ``kinds`` in training."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, n = _summed(table)
+        data = [_coded(n[np.searchsorted(key, keys)]) for keys in _keys(table)]
+        sums = [pa.array([int(x)] + [0] * (len(data) - 1), pa.int64()) for x in (n.sum(), (n > 0).sum())]
+        return pa.table({"chunk": table["chunk"], "shard": table["shard"], "n": table["n"], "data": pa.array(data, pa.binary()),
+                         "tokens": sums[0], "kinds": sums[1]})
+
+    return (found.where("kind = 0").select("chunk", "shard", "n", "data", "counts")
+            .groupBy("shard").applyInArrow(run, "chunk long, shard long, n long, data binary, tokens long, kinds long"))
+
+
+def _run_scores(found: DataFrame, least: int, divergence: float) -> DataFrame:
+    """``chunk``, ``shard``, ``n``, ``data``: the log10 probability of the last byte of each run of a chunk and shard, coded, in their order."""
+    short = found.where("kind = 3").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0").toArrow()  # as many as the alphabet has runs of SHORT + 1
     key, n = short["key"].to_numpy().astype(np.uint64), short["n"].to_numpy()
-    shared = runs.sparkSession.sparkContext.broadcast([level(key, n, k, least if k else 0) for k in range(SHORT + 1)])
+    shared = found.sparkSession.sparkContext.broadcast([level(key, n, k, least if k else 0) for k in range(SHORT + 1)])
 
     def run(table: pa.Table) -> pa.Table:
-        packed, at = np.unique(table["key"].to_numpy().view(np.uint64), return_inverse=True)
-        n = np.bincount(at, table["n"].to_numpy(), len(packed)).astype(np.int64)
+        turned, n = _summed(table)
+        packed = turned.byteswap()
         tree = grow([*shared.value, *(level(packed, n, k, least) for k in range(SHORT + 1, DEPTH + 1))], divergence, SHORT)
-        return pa.table({"chunk": table["chunk"], "key": table["key"], "s": pa.array(tree.scores(packed)[at].astype(np.float32))})
+        each, depth = tree.scores(packed)
+        out = [_scores_coded(keys, each[at], depth[at]) for keys in _keys(table) for at in [np.searchsorted(turned, keys)]]
+        return pa.table({"chunk": table["chunk"], "shard": table["shard"], "n": table["n"], "data": pa.array([x for x, _ in out], pa.binary()),
+                         "depths": pa.array([x for _, x in out], pa.binary())})
 
-    ending = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * SHORT + 8)) - 1))
-    return (runs.select("chunk", "key", "n", F.pmod(F.xxhash64(ending), F.lit(n_runs // SHARD + 1)).alias("shard"))
-            .groupBy("shard").applyInArrow(run, "chunk long, key long, s float"))
+    return (found.where("kind = 1").select("chunk", "shard", "n", "data", "counts")
+            .groupBy("shard").applyInArrow(run, "chunk long, shard long, n long, data binary, depths binary"))
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST,
           divergence: float = DIVERGENCE, unigram: float = UNIGRAM) -> DataFrame:
     """Per row: ``doc_id``, ``train``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(train, F.lit(True)).alias("train"), F.col(text_col).cast("binary").alias("text"))
-    rows = written(_chunked(rows), "chunks")
-    found = written(_counted(rows), "runs")
-    counts = written(found.where("kind != 1").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    totals = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    ends = totals[2]["n"] if 2 in totals else 0
-    n_all = ends + (totals[0]["n"] if 0 in totals else 0)
-    n_kinds = (ends > 0) + (totals[0]["v"] if 0 in totals else 0)
-
-    runs = found.where("kind = 1")
-    spelling_of = _run_scores(runs, runs.count(), least, divergence)
-    often = counts.where("kind = 0").where(F.col("n") * FREQUENT > n_all).select("key", "n").collect()  # fewer than FREQUENT rows
-    often.sort(key=lambda r: r["key"])
-    often_key, often_n = np.array([r["key"] for r in often], dtype=np.int64), np.array([r["n"] for r in often], dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((often_key, np.append(often_n + 1.0, 1.0)))
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n_shards = size // SHARD + 1
+    found = written(_counted(rows, n_shards), "runs")
+    counts = written(_word_counts(found), "counts")
+    ends = found.where("kind = 2").agg(F.sum("n").alias("n")).first()["n"] or 0
+    totals = counts.agg(F.sum("tokens").alias("n"), F.sum("kinds").alias("v")).first()
+    n_all = ends + (totals["n"] or 0)
+    n_kinds = (ends > 0) + (totals["v"] or 0)
+    spelling_of = _run_scores(found, least, divergence)
     room = float(n_all + n_kinds + 1)
     # of a token seen c times and spelled with probability p: by_spelling * p + by_count * c
     by_count = unigram / max(n_all + n_kinds, 1)
@@ -269,51 +380,57 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         with np.errstate(divide="ignore"):  # a long word's probability may be too small for a double
             return np.where(count > 0, np.log10(by_spelling * 10 ** spelling + by_count * count), log_spelling + spelling)
 
-    item = pa.struct([("key", pa.int64()), ("s", pa.float32())])
-    empty = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("hits", pa.int64()), ("base", pa.float64()),
-                       ("mixed", pa.float64()), ("rare", pa.list_(item))])
+    end_log, room_log = float(np.log10(ends + 1.0)), float(np.log10(room))
+    result = pa.schema([("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                        ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def run(texts: pa.Table, runs: pa.Table) -> pa.Table:
-        (known, weight), out = shared.value, []
-        order = np.argsort(runs["key"].to_numpy().view(np.uint64))
-        keys, logs = runs["key"].to_numpy().view(np.uint64)[order], runs["s"].to_numpy()[order]
-        for batch in texts.to_batches():
+    def batches(texts: pa.Table) -> Iterator[pa.RecordBatch]:
+        for data in texts["data"]:
+            yield from pa.ipc.open_stream(data.as_buffer())
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        turned, known, out = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), []
+        new: tuple[list, list] = ([], [])
+        for batch in batches(texts):
+            data, _ = flat(batch.column(2))
+            for w in words_of(batch.column(2), lower=True):
+                new[0].append(_sorted_distinct(w.hashes))
+                new[1].append(_sorted_distinct(turned_grams(*spelled(data, w.starts, w.ends, w.off)[:2])))
+            if sum(map(len, new[1])) > HELD:
+                known, turned, new = _sorted_distinct(known, *new[0]), _sorted_distinct(turned, *new[1]), ([], [])
+        known, turned, new = _sorted_distinct(known, *new[0]), _sorted_distinct(turned, *new[1]), ([], [])
+        logs, seen = np.empty(len(turned), dtype=np.float32), np.empty(len(known), dtype=np.int64)
+        place = {(k, shard): part for k, keys in enumerate((known, turned)) for shard, part in _dealt(keys, n_shards, k)}
+        for kind, shard, n, data, depths in zip(*(answers[c] for c in ("kind", "shard", "n", "data", "depths"))):
+            at = place[kind.as_py(), shard.as_py()]
+            if kind.as_py():
+                logs[at] = _scores_decoded(turned[at], data.as_buffer(), depths.as_buffer())
+            else:
+                seen[at] = _decoded(data.as_buffer(), n.as_py(), np.int64)
+        del place
+        for batch in batches(texts):
             data, _ = flat(batch.column(2))
             for w in words_of(batch.column(2), lower=True):
                 b, begin, tokens = spelled(data, w.starts, w.ends, w.off)
-                packed = grams(b, begin)
+                own, at = np.unique(turned_grams(b, begin), return_inverse=True)
                 each = np.zeros(len(b), dtype=np.float64)
-                each[_inside(begin) > 0] = logs[np.searchsorted(keys, packed)]
+                each[scored_bytes(begin)] = logs[np.searchsorted(turned, own)][at]
                 spelling = np.add.reduceat(each, tokens) if len(tokens) else np.zeros(0)
-                h, row = w.hashes.view(np.int64), w.row_of()
-                is_end = np.zeros(len(tokens), dtype=bool)
+                row, is_end = w.row_of(), np.zeros(len(tokens), dtype=bool)
                 is_end[w.off[1:] + np.arange(w.rows)] = True
-                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
-                is_known = known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
-                share = weight[np.where(is_known, at, len(known))]
-                mixed = mixture(spelling[~is_end], share - 1)
-                score = np.bincount(row[is_known], mixed[is_known], w.rows) + mixture(spelling[is_end], np.full(w.rows, ends))
-                base = np.bincount(row, np.log10(share), w.rows)
-                hits = np.bincount(row[is_known], minlength=w.rows).astype(np.int64)
-                rest = ~is_known
-                off = np.concatenate([[0], np.cumsum(np.bincount(row[rest], minlength=w.rows))]).astype(np.int32)
-                values = pa.StructArray.from_arrays([pa.array(h[rest]), pa.array(spelling[~is_end][rest].astype(np.float32))], names=["key", "s"])
+                own, at = np.unique(w.hashes, return_inverse=True)
+                count = seen[np.searchsorted(known, own)][at]
+                n_tokens = np.diff(w.off).astype(np.int64) + 1
+                score = np.bincount(row, mixture(spelling[~is_end], count), w.rows) + mixture(spelling[is_end], np.full(w.rows, ends))
+                base = np.bincount(row, np.log10(count + 1.0), w.rows) + end_log - n_tokens * room_log
+                hits = np.bincount(row, count > 0, w.rows).astype(np.int64) + (ends > 0)
                 out.append(pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(w.first, w.rows), batch.column(1).slice(w.first, w.rows), pa.array(np.diff(w.off).astype(np.int64) + 1),
-                     pa.array(hits), pa.array(base.astype(np.float64)), pa.array(score), pa.ListArray.from_arrays(pa.array(off), values).cast(pa.list_(item))],
-                    names=["doc_id", "train", "n_tokens", "hits", "base", "mixed", "rare"]))
-        return pa.Table.from_batches(out, None if out else empty)
-
-    scored = rows.groupBy("chunk").cogroup(spelling_of.groupBy("chunk")).applyInArrow(run, "doc_id long, train boolean, n_tokens long, hits long, base double, mixed double, rare array<struct<key:long,s:float>>")
-    scored = written(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.inline("rare"))
-    seen = F.log10(F.lit(by_spelling) * F.pow(F.lit(10.0), "s") + F.lit(by_count) * F.col("n"))
-    rare = (rare.join(counts.where("kind = 0").where(F.col("n") * FREQUENT <= n_all).select("key", "n"), "key", "left")
-            .groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("log"),
-                                F.sum(F.when(F.col("n").isNull(), F.lit(log_spelling) + F.col("s")).otherwise(seen)).alias("mix")))
-    end_log = float(np.log10(ends + 1.0))
-    out = scored.drop("rare").join(rare, "row", "left").fillna(0, ["more"]).fillna(0.0, ["log", "mix"])
-    return out.select(
-        "doc_id", "train", "n_tokens", (F.col("hits") + F.col("more") + F.lit(1 if ends else 0)).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("log") + F.lit(end_log) - F.col("n_tokens") * F.lit(float(np.log10(room)))).alias("base_score"),
-        (F.col("mixed") + F.col("mix")).alias("score"))
+                    [*batch.slice(w.first, w.rows).columns[:2], pa.array(n_tokens), pa.array(hits), pa.array(base), pa.array(score)], schema=result))
+        return pa.Table.from_batches(out, result)
+
+    texts = found.where("kind = 4").select("chunk", "data")
+    answers = counts.select("chunk", F.lit(0).alias("kind"), "shard", "n", "data", F.lit(None).cast("binary").alias("depths")).union(
+        spelling_of.select("chunk", F.lit(1), "shard", "n", "data", "depths"))
+    scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+        run, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "train", "n_tokens", "n_known", F.lit(int(n_all)).cast("long").alias("train_tokens"), "base_score", "score")
