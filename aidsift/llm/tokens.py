@@ -87,6 +87,7 @@ class Encoder:
         self.tok, self.kind, self.cache_words = load(path), kind, cache_words
         self.tokenize, self.letters = self.tok.model.tokenize, byte_letters()
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.mark = self.letters[32]
         self.tail = _TAIL if kind == "word" else _MARKS
         self.bare, self.spaced = Words(self._bare), Words(self._spaced)  # spaced: of " " + the word
         self.hard: list[str] = []  # words of ``spaced`` that are still to go through the whole tokenizer
@@ -95,15 +96,19 @@ class Encoder:
         self.blank[[i for t, i in self.tok.get_vocab().items() if t.startswith(self.letters[32])]] = True
 
     def encode(self, text: str) -> bytes:
-        if any(x in low for low in {text, text.lower()} for x in self.added):
-            return self._whole([text])[0]
+        lower = text.lower()
+        for x in self.added:
+            if x in text or x in lower:
+                return self._whole([text])[0]
         for words in (self.bare, self.spaced):
             if len(words.recent) > self.cache_words // 2:
                 words.age()
         if self.kind == "word":  # the normaliser lowers letters one by one; A-Z beforehand makes fewer words
             low = text.lower() if text.isascii() else text.encode().lower().decode()
             return b"".join(map(self.bare.recent.__getitem__, low.replace("\n", " ").split(" ")))
-        if _LONG_RUN.search(text):
+        line = text.replace("\n", " ")
+        # white space but the blank is not printable, so that a printable line needs no search character by character
+        if ("   " in line or line.endswith("  ")) if line.isprintable() else _LONG_RUN.search(text):
             return b"".join(map(self.bare.recent.__getitem__, _CUT.split(text)))
         first, *rest = text.replace("\n", " \n").split(" ")  # a newline stays with the word behind it
         known = self.spaced.recent
@@ -119,9 +124,18 @@ class Encoder:
         return self._whole([word])[0] if ids is None else ids
 
     def _spaced(self, word: str) -> bytes:
+        ids = self.spaced.older.get(word)
+        if ids:
+            return ids
+        if word.isascii():  # most new words: letters, or letters and a tail of marks, without the calls below
+            if word.isalpha():
+                return _bytes([t.id for t in self.tokenize(self.mark + word)])
+            body = word.rstrip(self.tail)
+            if body.isalpha():
+                return self.spaced.recent[body] + self.bare.recent[word[len(body):]]
         if word.startswith("\n"):
             return self.bare.recent["\n"] + self.bare.recent[word[1:]]
-        ids = self.spaced.older.get(word) or self._plain(word, self.spaced.recent, " ", self.letters[32])
+        ids = self._plain(word, self.spaced.recent, " ", self.mark)
         if ids is None:  # the hard words of a text are learnt together
             self.hard.append(word)
             return b""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from aidsift.llm import tokens, worker
@@ -71,3 +72,24 @@ def test_what_a_worker_drops_is_gone():
     held = weakref.ref(worker.kept(tokens.Encoder, BYTE, "byte"))
     worker.release()
     assert held() is None
+
+
+def test_new_words_take_the_short_way(monkeypatch):
+    """New words of ASCII letters, with or without a tail of marks, and lines without odd white space need no general step."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Some plain words, with tails; and (more) \"quoted\" ones...\nA new line here! the end?"
+    enc, want = tokens.Encoder(path, "byte"), Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    for word in ("Some", "A", "\n", "\nA", "(more)", '"quoted"'):
+        enc.bare.recent[word]
+    general, asked = enc._plain, []
+    monkeypatch.setattr(enc, "_plain", lambda word, known, before, mark: asked.append(word) if before else general(word, known, before, mark))
+    assert np.frombuffer(enc.encode(text), dtype="<u4").tolist() == want
+    assert asked == ["(more)", '"quoted"']
+
+
+@pytest.mark.parametrize("space", ["   ", " \n ", "\t\t\t", "\xa0\xa0\xa0", "   ", "\x85\r\n", "\x1c\x1d\x1e"])
+def test_long_white_space_is_not_cut(space):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    enc, tok = tokens.Encoder(path, "byte"), Tokenizer.from_file(path)
+    for text in (f"a{space}b c", f"a b{space}", f"a b{space[:2]}", f"{space}a\nb", f"é{space}b\n"):
+        assert np.frombuffer(enc.encode(text), dtype="<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
