@@ -48,7 +48,7 @@ LEAST = 20
 SHORT = 2
 CHUNK = 28 << 20
 #: Bytes of text for each shard; their runs are about a quarter as many.
-SHARD = 8 << 20
+SHARD = 4 << 20
 DIVERGENCE = 6.0
 UNIGRAM = 0.5
 #: Keys of a chunk that wait for being merged with the others.
@@ -236,16 +236,16 @@ def _sorted_distinct(*parts: np.ndarray) -> np.ndarray:
     return keys[np.append(True, keys[1:] != keys[:-1])[:len(keys)]]
 
 
-FOUND = "kind int, chunk long, shard long, key long, n long, data binary, counts binary"
+FOUND = "kind int, chunk long, shard long, key long, n long, data binary, counts binary, texts binary"
 
 
 def _counted(rows: DataFrame, n_shards: int) -> DataFrame:
     """In one pass over the texts, by ``kind``: 0 the distinct words and 1 the distinct runs of bytes of a ``chunk`` that belong
     to a ``shard`` (``n`` of them; ``data``: the steps between them, runs with their bytes turned round, so that those of
     one end are neighbours; ``counts``: of each, in training texts, which may be 0); 2 the training texts of some
-    rows (``n``); 3 the last ``SHORT`` + 1 bytes of a chunk's runs with their counts; 4 some rows of a chunk as a compressed Arrow stream."""
+    rows (``n``); 3 the last ``SHORT`` + 1 bytes of a chunk's runs with their counts; 4 some rows of a chunk as a compressed Arrow stream (``texts``)."""
     fields = pa.schema([("kind", pa.int32()), ("chunk", pa.int64()), ("shard", pa.int64()), ("key", pa.int64()), ("n", pa.int64()),
-                        ("data", pa.binary()), ("counts", pa.binary())])
+                        ("data", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary())])
 
     def table(kind: int, size: int, **columns) -> pa.RecordBatch:
         columns["kind"] = pa.array(np.full(size, kind, dtype=np.int32))
@@ -301,7 +301,7 @@ def _counted(rows: DataFrame, n_shards: int) -> DataFrame:
                 sink, part = pa.BufferOutputStream(), batch.slice(w.first, w.rows)
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", LEVEL))) as out:
                     out.write_batch(part)
-                yield table(4, 1, chunk=pa.array([chunk]), data=pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+                yield table(4, 1, chunk=pa.array([chunk]), texts=pa.array([sink.getvalue().to_pybytes()], pa.binary()))
         if size:
             yield from closed()
 
@@ -316,7 +316,12 @@ def _keys(table: pa.Table) -> Iterator[np.ndarray]:
 
 def _summed(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """The ascending distinct keys of a shard's rows and their counts."""
-    key = _sorted_distinct(*_keys(table))
+    key, new = np.zeros(0, dtype=np.uint64), []
+    for keys in _keys(table):
+        new.append(keys)
+        if sum(map(len, new)) > HELD:
+            key, new = _sorted_distinct(key, *new), []
+    key = _sorted_distinct(key, *new)
     n = np.zeros(len(key), dtype=np.int64)
     for keys, counts in zip(_keys(table), table["counts"]):
         n[np.searchsorted(key, keys)] += _decoded(counts.as_buffer(), len(keys), np.uint32)
@@ -385,8 +390,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                         ("base_score", pa.float64()), ("score", pa.float64())])
 
     def batches(texts: pa.Table) -> Iterator[pa.RecordBatch]:
-        for data in texts["data"]:
-            yield from pa.ipc.open_stream(data.as_buffer())
+        for rows in texts["texts"]:
+            yield from pa.ipc.open_stream(rows.as_buffer())
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         turned, known, out = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64), []
@@ -428,7 +433,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     [*batch.slice(w.first, w.rows).columns[:2], pa.array(n_tokens), pa.array(hits), pa.array(base), pa.array(score)], schema=result))
         return pa.Table.from_batches(out, result)
 
-    texts = found.where("kind = 4").select("chunk", "data")
+    texts = found.where("kind = 4").select("chunk", "texts")
     answers = counts.select("chunk", F.lit(0).alias("kind"), "shard", "n", "data", F.lit(None).cast("binary").alias("depths")).union(
         spelling_of.select("chunk", F.lit(1), "shard", "n", "data", "depths"))
     scored = texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
